@@ -6,7 +6,7 @@ import importlib
 
 from opsframe.checks.base import Case
 
-MODULES = ["logs"]
+MODULES = ["logs", "telemetry", "tables"]
 
 
 def all_cases() -> dict[str, Case]:
