@@ -6,7 +6,7 @@ import importlib
 
 from opsframe.checks.base import Case
 
-MODULES = ["logs", "telemetry", "tables", "incidents"]
+MODULES = ["logs", "telemetry", "tables", "incidents", "fleet"]
 
 
 def all_cases() -> dict[str, Case]:
