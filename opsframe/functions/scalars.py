@@ -100,12 +100,10 @@ def expand_ranges(c: Column | str, lo: int = 0, hi: int = 4095) -> Column:
     parts = F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", ""), ",")
 
     def one(p: Column) -> Column:
-        a = F.expr("cast(null as int)")
-        a = F.try_to_number(F.nullif(F.regexp_extract(p, r"^(\d{1,9})(?:-\d{1,9})?$", 1), F.lit("")), F.lit("999999999")).cast("int")
-        b = F.try_to_number(F.nullif(F.regexp_extract(p, r"^\d{1,9}-(\d{1,9})$", 1), F.lit("")), F.lit("999999999")).cast("int")
-        b = F.least(F.coalesce(b, a), F.lit(hi))
-        a = F.greatest(a, F.lit(lo))
-        return F.when(a.isNotNull() & (a <= b), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        first = grab(p, r"^(\d{1,9})(?:-\d{1,9})?$").try_cast("int")
+        last = F.coalesce(grab(p, r"^\d{1,9}-(\d{1,9})$").try_cast("int"), first)
+        a, b = F.greatest(first, F.lit(lo)), F.least(last, F.lit(hi))
+        return F.when(first.isNotNull() & (a <= b), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
 
