@@ -6,7 +6,7 @@ import importlib
 
 from opsframe.checks.base import Case
 
-MODULES = ["logs", "telemetry", "tables", "incidents", "fleet", "monitoring", "models"]
+MODULES = ["logs", "telemetry", "tables", "incidents", "fleet", "monitoring", "models", "captures"]
 
 
 def all_cases() -> dict[str, Case]:
