@@ -116,7 +116,7 @@ def _ingest(s, d):
 
 
 CASES = {
-    "inv_fixed_width": Case(lambda s, d: iv.fixed_width(iv.capture(c(STATUS)(s, d), "interface_status"), ["Port", "Name", "Status", "Vlan", "Duplex"]).select("device", F.col("Port").alias("port"), F.col("Vlan").alias("vlan")),
+    "inv_fixed_width": Case(lambda s, d: iv.fixed_width(iv.capture(c(STATUS)(s, d), "interface_status"), ["Port", "Name", "Status", "Vlan", "Duplex"]).select("device", F.col("cells.Port").alias("port"), F.col("cells.Vlan").alias("vlan")),
         f"with b as ({BASE}) select device, {NAME} as port, {VLAN} as vlan from b"),
     "inv_interfaces": Case(lambda s, d: iv.interfaces(c(STATUS)(s, d)).select("device", "name", "description", "status", "vlan", "mode"), f"""with b as ({BASE}) select device, {NAME} as name, case when k % 3 > 0 then 'port ' || cast(k as varchar) end as description, case when k % 2 = 0 then 'connected' else 'notconnect' end as status,
         case when k % 4 = 2 then cast(k % 90 as varchar) end as vlan, case k % 4 when 0 then 'trunk' when 1 then 'routed' when 2 then 'access' else 'unknown' end as mode from b"""),

@@ -130,7 +130,7 @@ CASES = {
     "met_rank_rows": Case(lambda s, d: met.rank_row_contributions(contrib(s, d).withColumn("row_id", F.col("row_id") % 300), 2).select("row_id", "feature", "rank", F.round("value", 3).alias("value")).groupBy("row_id").agg(F.max("rank").alias("k"), F.round(F.max(F.abs("value")), 3).alias("top")),
         f"with x as (select row_id % 300 as row_id, value from ({CONTRIB})) select row_id, least(2, count(*)) as k, round(max(abs(value)), 3) as top from x group by 1"),
     "exp_index": Case(_index, R + " select experiment_id, case when stage <> 'candidate' then 'test' else 'train' end as split, case when stage <> 'candidate' then round(f1, 6) else 1 end as f1, case when stage <> 'candidate' then accuracy else 1 end as accuracy, 'depth=' || cast(cast(size_mb as double) as varchar) || ';lr=0.1' as params from r"),
-    "exp_latest_runs": Case(lambda s, d: ex.latest_runs(runs(s, d)).select("dataset", "model_type", "experiment_id", "runs"), R + " select dataset, model_type, arg_max(experiment_id, coalesce(created_at, '') || experiment_id) as experiment_id, count(*) as runs from r group by all"),
+    "exp_latest_runs": Case(lambda s, d: ex.latest_runs(runs(s, d)).select("dataset", "model_type", "experiment_id", "runs"), R + " select dataset, model_type, arg_max(experiment_id, coalesce(created_at, '0000-00-00') || experiment_id) as experiment_id, count(*) as runs from r group by all"),
     "exp_leaderboard": Case(lambda s, d: ex.leaderboard(runs(s, d)).groupBy("dataset", "rank").agg(F.max("f1").alias("f1"), F.max("accuracy").alias("accuracy")), LB + " select dataset, rank, f1, accuracy from lb"),
     "exp_model_means": Case(lambda s, d: rnd(ex.model_means(runs(s, d)), "f1", "accuracy", "roc_auc", "train_seconds"), R + " select model_type, round(avg(f1), 6) as f1, round(avg(accuracy), 6) as accuracy, round(avg(roc_auc), 6) as roc_auc, round(avg(train_seconds), 6) as train_seconds, count(distinct dataset) as datasets from r group by 1"),
     "exp_family_means": Case(lambda s, d: rnd(ex.family_means(runs(s, d)).drop("fastest", "top_f1_model"), "f1", "accuracy", "train_seconds"), R + " select case when model_type in ('xgboost', 'lightgbm') then 'tree' when model_type in ('mlp', 'lstm') then 'deep' else 'other' end as family, round(avg(f1), 6) as f1, round(avg(accuracy), 6) as accuracy, round(avg(train_seconds), 6) as train_seconds from r group by 1"),

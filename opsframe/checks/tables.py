@@ -13,7 +13,7 @@ from opsframe.operators import tables as tb
 
 TABLE = """
 select o_orderkey as id, case when o_orderkey % 13 = 0 then null else o_totalprice end as price,
-  case when o_orderkey % 97 = 0 then cast('Infinity' as double) when o_orderkey % 89 = 0 then cast('-Infinity' as double) else o_totalprice / 128 end as rate,
+  case when o_orderkey % 97 = 0 then cast('Infinity' as double) when o_orderkey % 89 = 0 then cast('-Infinity' as double) else o_totalprice / 3 end as rate,
   o_custkey % 50 as cust, case when o_orderkey % 17 = 0 then null else o_orderpriority end as prio, o_orderstatus as label, 7 as konst, cast(null as string) as gone
 from orders
 """

@@ -12,6 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsframe.session import cut_lineage
+
 BUCKETS = 256
 SAMPLES_PER_BUCKET = 16
 
@@ -60,12 +62,14 @@ def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> D
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), buckets: int = BUCKETS, costly: bool = False
 ) -> DataFrame:
     """Add, for each ``{out: source}``, the total of ``source`` over all earlier rows.
 
-    ``order`` must be unique inside ``by`` and not null.
+    ``order`` must be unique inside ``by`` and not null. The input is read three times;
+    ``costly`` writes it to the checkpoint folder first.
     """
+    df = cut_lineage(df) if costly else df
     cut = with_bucket(df, [*by, *order], buckets)
     part = cut.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_b_{o}") for o, s in sums.items()])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,9 +83,9 @@ def running_totals(
     return out.drop("_bucket", *[f"_b_{o}" for o in sums])
 
 
-def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rank", buckets: int = BUCKETS, costly: bool = False) -> DataFrame:
     """1-based position in a total order over the whole table or inside ``by``."""
-    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, {out: "_one"}, by, buckets)
+    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, {out: "_one"}, by, buckets, costly)
     return ranked.withColumn(out, (F.col(out) + 1).cast("long")).drop("_one")
 
 
@@ -106,5 +110,5 @@ def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), out: s
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Distinct values of one column with their tie-averaged rank (nulls left out)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    tot = running_totals(counts, [value], {"_before": "_n"})
+    tot = running_totals(counts, [value], {"_before": "_n"}, costly=True)
     return tot.select(value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))

@@ -19,7 +19,7 @@ def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     distinct = df.select(pairs.alias("p")).select("p.*").where("value is not null").distinct()
-    return global_rank(distinct, ["value"], ["column"], "idx").withColumn("idx", F.col("idx") - 1)
+    return global_rank(distinct, ["value"], ["column"], "idx", costly=True).withColumn("idx", F.col("idx") - 1)
 
 
 @dataclass(frozen=True)

@@ -54,7 +54,7 @@ def efficiency_leaders(df: DataFrame) -> DataFrame:
     """Leader per criterion: fastest training, smallest, fastest inference, F1 per minute, F1 per MB."""
     crit = {
         "train_seconds": -F.col("train_seconds"), "size_mb": -F.col("size_mb"), "inference_seconds": -F.col("inference_seconds"),
-        "f1_per_minute": F.try_divide(F.col("f1"), F.col("train_seconds") / 60), "f1_per_mb": F.try_divide(F.col("f1"), F.col("size_mb")),
+        "f1_per_minute": F.try_divide(F.col("f1").cast("double"), F.col("train_seconds").cast("double") / 60), "f1_per_mb": F.try_divide(F.col("f1").cast("double"), F.col("size_mb").cast("double")),
     }
     slots = F.explode(F.array(*[F.struct(F.lit(k).alias("criterion"), e.cast("double").alias("v")) for k, e in crit.items()]))
     d = df.select("dataset", "model_type", slots.alias("p")).select("dataset", "model_type", "p.*").where("v is not null")

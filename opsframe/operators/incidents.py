@@ -315,7 +315,7 @@ def incident_evidence(members: DataFrame, c: DataFrame) -> DataFrame:
 
 def correlate(signals: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
     """(incidents, members) of every run."""
-    c = classify(signals)
+    c = cut_lineage(classify(signals))  # every rule reads it
     cross = cut_lineage(cross_members(c, t))  # read by the fallbacks and by the scoring
     members = cross.unionByName(rule_uncovered(c, cross, t))
     fine = cut_lineage(fine_members(members, c))

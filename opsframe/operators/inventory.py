@@ -52,7 +52,7 @@ def _separator(line: Column) -> Column:
 
 
 def fixed_width(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows of a fixed-width table: the header is the line naming most columns (at least two)."""
+    """Rows of a fixed-width table as a ``cells`` struct: the header is the line naming most columns (at least two)."""
     hits = sum((F.contains("line", F.lit(n)).cast("int") for n in names[1:]), F.contains("line", F.lit(names[0])).cast("int"))
     heads = df.withColumn("_hits", hits).where("_hits >= 2").groupBy(*CAPTURE).agg(
         F.min_by(F.struct(F.col("line").alias("head"), F.col("line_no").alias("head_no")), F.struct(-F.col("_hits"), "line_no")).alias("h"))
@@ -66,16 +66,20 @@ def fixed_width(df: DataFrame, names: Sequence[str]) -> DataFrame:
         text = F.trim(F.when(nxt.isNotNull(), F.substring("line", s, nxt - s)).otherwise(F.substring("line", s, F.length("line"))))
         return F.when(s > 0, F.nullif(text, F.lit("")))
 
-    out = j.select(*PLACE, "line_no", *[cell(n).alias(n) for n in names])
-    return out.where(F.col(f"`{names[0]}`").isNotNull())
+    out = j.select(*PLACE, "line_no", F.struct(*[cell(n).alias(n) for n in names]).alias("cells"))
+    return out.where(F.col("cells")[names[0]].isNotNull())
+
+
+def _cell(n: str) -> Column:
+    return F.col("cells")[n]
 
 
 def interfaces(df: DataFrame, command: str = "interface_status") -> DataFrame:
-    v = F.lower(F.coalesce("Vlan", F.lit("")))
+    v = F.lower(F.coalesce(_cell("Vlan"), F.lit("")))
     mode = pick([(v == "trunk", "trunk"), (v == "routed", "routed"), (v.rlike("^[0-9]+$"), "access")], "unknown")
     return fixed_width(capture(df, command), STATUS_COLUMNS).select(
-        *PLACE, F.col("Port").alias("name"), F.col("Name").alias("description"), F.col("Status").alias("status"), F.when(mode == "access", F.col("Vlan")).alias("vlan"),
-        mode.alias("mode"), F.col("Duplex").alias("duplex"), F.col("Speed").alias("speed"))
+        *PLACE, _cell("Port").alias("name"), _cell("Name").alias("description"), _cell("Status").alias("status"), F.when(mode == "access", _cell("Vlan")).alias("vlan"),
+        mode.alias("mode"), _cell("Duplex").alias("duplex"), _cell("Speed").alias("speed"))
 
 
 def _ports(c: Column) -> Column:
@@ -111,8 +115,8 @@ def trunks(df: DataFrame, command: str = "trunk") -> DataFrame:
 
 def neighbors(df: DataFrame, lldp: str = "lldp_neighbors", cdp: str = "cdp_neighbors") -> DataFrame:
     def part(command: str, names: Sequence[str], local: str, protocol: str) -> DataFrame:
-        d = fixed_width(capture(df, command), names).where(F.col(f"`{local}`").isNotNull())
-        return d.select(*PLACE, F.col(f"`{local}`").alias("local_interface"), F.col("`Device ID`").alias("remote_device"), F.col("`Port ID`").alias("remote_interface"), F.lit(protocol).alias("protocol"), F.col("line_no").alias("ord"))
+        d = fixed_width(capture(df, command), names).where(_cell(local).isNotNull())
+        return d.select(*PLACE, _cell(local).alias("local_interface"), _cell("Device ID").alias("remote_device"), _cell("Port ID").alias("remote_interface"), F.lit(protocol).alias("protocol"), F.col("line_no").alias("ord"))
 
     return part(lldp, LLDP_COLUMNS, "Local Intf", "lldp").unionByName(part(cdp, CDP_COLUMNS, "Local Intrfce", "cdp"))
 
@@ -123,10 +127,10 @@ def mac_table(df: DataFrame, command: str = "mac_table") -> DataFrame:
 
 
 def poe(df: DataFrame, command: str = "power_inline") -> DataFrame:
-    known = lambda c: F.when(~F.lower(c).isin("n/a", "na", "-"), F.col(c))
+    known = lambda c: F.when(~F.lower(_cell(c)).isin("n/a", "na", "-"), _cell(c))
     return fixed_width(capture(df, command), POE_COLUMNS).select(
-        *PLACE, F.col("Interface").alias("interface"), F.lower("Admin").alias("admin_state"), F.lower("Oper").alias("oper_state"), num("Power").alias("power_watts"),
-        known("Device").alias("powered_device"), F.when(F.lower("Class") != "n/a", F.col("Class")).alias("poe_class"), num("Max").alias("max_watts"))
+        *PLACE, _cell("Interface").alias("interface"), F.lower(_cell("Admin")).alias("admin_state"), F.lower(_cell("Oper")).alias("oper_state"), num(_cell("Power")).alias("power_watts"),
+        known("Device").alias("powered_device"), F.when(F.lower(_cell("Class")) != "n/a", _cell("Class")).alias("poe_class"), num(_cell("Max")).alias("max_watts"))
 
 
 def stp(df: DataFrame, command: str = "spanning_tree") -> DataFrame:

@@ -72,7 +72,7 @@ def roc_auc(df: DataFrame, positive: str, score: str, by: Sequence[str] = ()) ->
     """Rank statistic with ties at one half, from running totals over distinct scores."""
     d = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
     g = d.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    r = running_totals(g, ["_s"], {"below": "neg"}, by)
+    r = running_totals(g, ["_s"], {"below": "neg"}, by, costly=True)
     parts = r.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return parts.select(*by, F.try_divide(F.col("u"), F.col("p").cast("double") * F.col("n")).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.ranking import global_rank, hash_rank
 from opsframe.functions.scalars import pick
+from opsframe.session import cut_lineage
 
 RATIOS = (0.70, 0.15, 0.15)
 
@@ -43,6 +44,7 @@ def split_report(df: DataFrame, label: str) -> DataFrame:
 
 def split_by_position(df: DataFrame, order: Sequence[str], ratios: Sequence[float] = RATIOS, host: str = "hostname", holdout: str | None = None) -> DataFrame:
     """Chronological split by row position; ``order`` must be unique. A held-out host goes to test."""
+    df = cut_lineage(df)  # counted, sampled, ranked and, with a hold-out, unioned
     rest = df if holdout is None else df.where(F.col(host) != holdout)
     n = rest.count()
     n_train = int(n * ratios[0])
