@@ -73,13 +73,18 @@ RECORD = [
 ]
 
 
-def kv_map(c: Column) -> Column:
-    """Lower-cased key=value pairs of a text as a map; the last of repeated keys wins."""
-    keys = F.transform(F.regexp_extract_all(c, F.lit(KV), F.lit(1)), F.lower)
-    quoted, bare = F.regexp_extract_all(c, F.lit(KV), F.lit(2)), F.regexp_extract_all(c, F.lit(KV), F.lit(3))
-    pairs = F.zip_with(keys, F.zip_with(quoted, bare, lambda q, b: F.when(b != "", b).otherwise(q)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["key"]))
-    return F.map_from_entries(last)
+def with_kv(df: DataFrame, c: Column, out: str = "f") -> DataFrame:
+    """Lower-cased key=value pairs of a text as a map column; the last of repeated keys wins.
+
+    The three regex passes are made once per row; everything after works on their arrays.
+    """
+    part = lambda i: F.regexp_extract_all(c, F.lit(KV), F.lit(i))
+    d = once(df, _k=F.transform(part(1), F.lower), _q=part(2), _b=part(3))
+    value = F.zip_with("_q", "_b", lambda q, b: F.when(b != "", b).otherwise(q))
+    pairs = F.zip_with("_k", value, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice("_k", i + 2, F.greatest(F.size("_k"), F.lit(1))), p["key"]))
+    unique = F.size(F.array_distinct("_k")) == F.size("_k")
+    return once(d, **{out: F.map_from_entries(F.when(unique, pairs).otherwise(last))}).drop("_k", "_q", "_b")
 
 
 def _field(*names: str) -> Column:
@@ -104,9 +109,9 @@ def _record(df: DataFrame, vendor: str, product: str, source_type: str, key: str
 def parse_kv_syslog(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Firewall key=value lines: (records, error lines). Blank lines are neither."""
     text = strip(F.col("line"))
-    payload = F.regexp_replace(text, KV_HEADER, "")
-    d = lines.withColumn("_text", text).where("_text <> ''")
-    d = once(d, _ts=F.nullif(F.regexp_extract("_text", KV_HEADER, 1), F.lit("")), f=kv_map(payload))
+    d = once(lines, _text=text).where("_text <> ''")
+    d = once(d, _ts=F.nullif(F.regexp_extract("_text", KV_HEADER, 1), F.lit("")), _payload=F.regexp_replace("_text", KV_HEADER, ""))
+    d = with_kv(d, F.col("_payload"))
     bad = d.where("size(f) = 0").select(*[c for c in ("ord",) if c in lines.columns], F.concat(F.lit("No key=value pairs in syslog line: "), F.substring("_text", 1, 80)).alias("error"))
     subtype = [lookup(F.lower(F.trim(F.element_at("f", k))), SUBTYPE_CATEGORY) for k in ("log_subtype", "log_type", "log_component")]
     src, dst = _field("src_ip", "source_ip", "srcip"), _field("dst_ip", "dest_ip", "dstip")
@@ -126,7 +131,7 @@ def parse_traps(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.col("_text").rlike(TRAP_LINE)
     bad = d.where(~ok).select(*[c for c in ("ord",) if c in lines.columns], F.concat(F.lit("Unparsable trap line: "), F.substring("_text", 1, 80)).alias("error"))
     part = lambda i: F.regexp_extract("_text", TRAP_LINE, i)
-    d = once(d.where(ok), _ts=part(1), _ip=part(2), _trap=part(3), f=kv_map(part(4)))
+    d = with_kv(once(d.where(ok), _ts=part(1), _ip=part(2), _trap=part(3), _rest=part(4)), F.col("_rest"))
     name = F.lower("_trap")
     cat, sub, sev = (lookup(name, {k: v[i] for k, v in TRAPS.items()}) for i in range(3))
     iface = _field("ifname", "interface", "ifindex")

@@ -102,7 +102,8 @@ def test_isolation_forest_ranks_outliers(spark):
 def test_sources_roundtrip(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo\n")
     lines = readers.read_log_lines(spark, [str(tmp_path / "a.log")]).where("line <> ''").orderBy("ord").collect()
-    assert [(r["ord"], r["line"]) for r in lines] == [(0, "one"), (1, "two")]
+    assert [r["line"] for r in lines] == ["one", "two"] and lines[0]["ord"] < lines[1]["ord"]
+    assert logs.parse_events(readers.read_log_lines(spark, [str(tmp_path / "a.log")])).count() == 0
     (tmp_path / "t.csv").write_text(" dur ,label\n1,x\n")
     cap = readers.read_capture_csvs(spark, [str(tmp_path / "t.csv")])
     assert cap.columns == ["dur", "label", "source_file"] and cap.first()["source_file"] == "t.csv"
