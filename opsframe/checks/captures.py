@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsframe.checks.base import SERIES, Case, bind, log_lines, table
 from opsframe.checks.fleet import INTERFACES, MACS, POE, STP
@@ -14,6 +13,7 @@ from opsframe.operators import telemetry as tl
 from opsframe.plans import flows
 from opsframe.sources import readers as rd
 from opsframe.sources import sinks as sk
+from opsframe.session import scratch_dir
 from opsframe.streaming import jobs
 
 BASE = "select p_partkey as k, 'D' || cast(p_partkey % 5 as string) as device, 10 + row_number() over (partition by p_partkey % 5 order by p_partkey) as n from part"
@@ -57,13 +57,9 @@ def _count(df, *keys):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _dir() -> str:
-    return tempfile.mkdtemp(prefix="opsframe-run-")
-
-
 def _logs_stream(s, d):
     """Batch lines written as files, read back as a stream, run to completion."""
-    root = _dir()
+    root = scratch_dir(s)
     log_lines(s, d).write.parquet(f"{root}/in")
     lines = s.readStream.schema("source string, ord long, line string").parquet(f"{root}/in")
     jobs.start_window_features(lines, 60, f"{root}/out", f"{root}/ckpt", "40 days").awaitTermination()
@@ -74,7 +70,7 @@ def _ingest_stream(s, d):
     from opsframe.checks.monitoring import kv
     from opsframe.operators import vendor as vd
 
-    root = _dir()
+    root = scratch_dir(s)
     kv(s, d).write.parquet(f"{root}/in")
     lines = s.readStream.schema("ord long, line string").parquet(f"{root}/in")
     jobs.start_ingest(vd.parse_kv_syslog(lines)[0], f"{root}/out", f"{root}/ckpt").awaitTermination()
@@ -115,7 +111,74 @@ def _ingest(s, d):
     return rows
 
 
+ORD = "select o_orderkey as id, o_orderstatus as status, o_custkey % 5 as device_id from orders"
+
+
+def _csv(s, d, *conds):
+    """Derived rows written as one CSV folder per condition."""
+    root = scratch_dir(s)
+    for i, cond in enumerate(conds):
+        bind(s, d, ORD).where(cond).write.option("header", "true").csv(f"{root}/part{i}")
+    return root
+
+
+def _split_csv(s, d):
+    root = _csv(s, d, "id % 3 = 0", "id % 3 > 0")
+    return _count(rd.read_split_csv(s, {"train": f"{root}/part0", "test": f"{root}/part1"}, "id long, status string, device_id int", ["device_id"], "status"), "split", "status")
+
+
+def _telemetry_csv(s, d):
+    return _count(rd.read_telemetry(s, f"{_csv(s, d, 'true')}/part0", ["1", "3"]), "device_id")
+
+
+def _capture_csv(s, d):
+    root = _csv(s, d, "id % 2 = 0", "id % 2 = 1")
+    return _count(rd.read_capture_csvs(s, [f"{root}/part0", f"{root}/part1"], {"id": "long"}), "status")
+
+
+def _headerless(s, d):
+    root = scratch_dir(s)
+    bind(s, d, ORD).write.csv(f"{root}/x")
+    return _count(rd.read_headerless_csv(s, {"train": f"{root}/x"}, "id long, status string, device_id int"), "split", "status")
+
+
+def _table(s, d):
+    root = scratch_dir(s)
+    sk.write_table(bind(s, d, ORD), f"{root}/t", partition_by=["status"])
+    return _count(rd.read_table(s, f"{root}/t"), "status")
+
+
+def _jsonl(s, d):
+    root = scratch_dir(s)
+    bind(s, d, "select case when o_orderkey % 7 = 0 then 'not json' else to_json(named_struct('id', o_orderkey, 'st', o_orderstatus)) end as value from orders").write.text(f"{root}/j")
+    good, bad = rd.read_events_jsonl(s, f"{root}/j", T.StructType([T.StructField("id", T.LongType()), T.StructField("st", T.StringType())]))
+    return _count(good, "st").unionByName(_count(bad.withColumn("st", F.lit("bad")), "st"))
+
+
+def _log_files(s, d):
+    from opsframe.operators import logs as lg
+
+    root = scratch_dir(s)
+    log_lines(s, d).orderBy("ord").select(F.col("line").alias("value")).coalesce(1).write.text(f"{root}/l")
+    return _count(lg.parse_events(rd.read_log_lines(s, [f"{root}/l"])), "parse_status")
+
+
+def _append(s, d):
+    root = scratch_dir(s)
+    for k in (0, 1):
+        sk.append_events(bind(s, d, ORD).where(f"id % 2 = {k}").withColumnRenamed("status", "source_key"), f"{root}/e")
+    return _count(s.read.parquet(f"{root}/e"), "source_key")
+
+
 CASES = {
+    "src_split_csv": Case(_split_csv, "select case when o_orderkey % 3 = 0 then 'train' else 'test' end as split, o_orderstatus as status, count(*) as n from orders group by all"),
+    "src_headerless_csv": Case(_headerless, "select 'train' as split, o_orderstatus as status, count(*) as n from orders group by all"),
+    "src_capture_csvs": Case(_capture_csv, "select o_orderstatus as status, count(*) as n from orders group by all"),
+    "src_telemetry_csv": Case(_telemetry_csv, "select cast(o_custkey % 5 as varchar) as device_id, count(*) as n from orders where o_custkey % 5 in (1, 3) group by all"),
+    "src_table_roundtrip": Case(_table, "select o_orderstatus as status, count(*) as n from orders group by all"),
+    "src_events_jsonl": Case(_jsonl, "select case when o_orderkey % 7 = 0 then 'bad' else o_orderstatus end as st, count(*) as n from orders group by all"),
+    "src_log_lines": Case(_log_files, findings_cte().replace("|| cast(user_id % 3 as string) as source, event_id % 24", "|| '' as source, event_id % 24") + " select parse_status, count(*) as n from ev group by all"),
+    "src_append_events": Case(_append, "select o_orderstatus as source_key, count(*) as n from orders group by all"),
     "inv_fixed_width": Case(lambda s, d: iv.fixed_width(iv.capture(c(STATUS)(s, d), "interface_status"), ["Port", "Name", "Status", "Vlan", "Duplex"]).select("device", F.col("cells.Port").alias("port"), F.col("cells.Vlan").alias("vlan")),
         f"with b as ({BASE}) select device, {NAME} as port, {VLAN} as vlan from b"),
     "inv_interfaces": Case(lambda s, d: iv.interfaces(c(STATUS)(s, d)).select("device", "name", "description", "status", "vlan", "mode"), f"""with b as ({BASE}) select device, {NAME} as name, case when k % 3 > 0 then 'port ' || cast(k as varchar) end as description, case when k % 2 = 0 then 'connected' else 'notconnect' end as status,

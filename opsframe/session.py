@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,24 @@ def build_session(app: str = "opsframe", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def _shared_dir(spark: SparkSession) -> str | None:
+    """Shared folder the session names, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """New folder for files every executor must see; machine-local only in local mode."""
+    shared = _shared_dir(spark)
+    if shared:
+        return f"{shared.rstrip('/')}/opsframe-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="opsframe-")
 
-    The folder is set here only when the session names none and runs in local mode.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            named = tempfile.mkdtemp(prefix="opsframe-ckpt-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(_shared_dir(df.sparkSession) or scratch_dir(df.sparkSession))
     return df.checkpoint(eager=True)

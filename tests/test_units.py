@@ -12,7 +12,7 @@ from opsframe.sources import readers, sinks
 SAMPLE = """=~=~=~= PuTTY log 2026.07.13 =~=~=~=
 SW1#sh logging
 \x1b[0m\x1b[1;37mSep  8 2025 16:33:15 SW1 MPU0 %TELNET-LOGOUT_OK-5:Telnet(vty0) is closed by client (192.168.100.1) OK.\x1b[0m
----MORE---     \x1b[1;33mSep 14 2025 05:08:51 SW1 MPU0 %SNMP-USER_AUTH_FAILED-3:User belden authentication failed.\x1b[0m
+---MORE---     \x1b[1;33mSep 14 2025 05:08:51 SW1 MPU0 %SNMP-USER_AUTH_FAILED-3:User op1 authentication failed.\x1b[0m
 Jan  1 1970 00:00:15 switch %DCM-PROCESS_START-5:Process sysmgmtaddr is starting...
 Jun 13 2026 18:42:00 SW3 M-0/MPU0 %SNMP-COMMUNITY_AUTHOR_FAILED-3:Community public authentication failed.
 Jun 13 2026 18:42:00 SW3 M-0/MPU0 %SNMP-COMMUNITY_AUTHOR_FAILED-3:Community public authentication failed.
