@@ -75,7 +75,8 @@ from (
       when 16 then '%HA-UNIT_STATE_NORMAL-5:Unit 0 is up.'
       when 17 then '%CLKM-DEV_CLOCK_CHANGE-6:Clock was set.'
       when 18 then '%TELNET-LOGIN_OK-5:Telnet(vty0) opened by (192.168.100.' || cast(user_id % 9 as string) || ') OK.'
-      when 19 then '%WEB-LOGIN_OK-6:Web(10.0.0.' || cast(user_id % 200 as string) || ') login OK.'
+      when 19 then case when user_id % 2 = 0 then '%WEB-LOGIN_OK-6:Web(10.0.0.' || cast(user_id % 200 as string) || ') login OK.'
+        when user_id % 3 = 0 then '%SYSMGMT-4:unclassified event' else '%AAA-OTHER' || cast(user_id % 40 as string) || '-7:unclassified event' end
       else '%SYSMGMT-' || case when ord_odd = 1 then '4' else 'OTHER-7' end || ':unclassified event'
     end as body
   from (select *, event_id % 2 as ord_odd from events) e

@@ -62,7 +62,7 @@ def _logs_stream(s, d):
     root = scratch_dir(s)
     log_lines(s, d).write.parquet(f"{root}/in")
     lines = s.readStream.schema("source string, ord long, line string").parquet(f"{root}/in")
-    jobs.start_window_features(lines, 60, f"{root}/out", f"{root}/ckpt", "40 days").awaitTermination()
+    jobs.start_window_features(lines, 60, f"{root}/out", f"{root}/ckpt", "1 hour").awaitTermination()
     return s.read.parquet(f"{root}/out").groupBy("scope").agg(F.count(F.lit(1)).alias("windows"), F.sum("total_events").alias("events"))
 
 
