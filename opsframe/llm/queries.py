@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import pii, token_files, urls
+from opsframe.llm import pii, simhash, token_files, urls
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
 
@@ -29,6 +29,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(token_files.read_tokens(spark, path))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -36,6 +41,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op7_token_files": op7_token_files,
+    "op9_simhash": op9_simhash,
     "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {}
