@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import pii, simhash, token_files, urls
+from opsframe.llm import pii, simhash, token_files, toxicity, urls
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+TOXIC_SCORE = 0.7
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
@@ -29,6 +30,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(token_files.read_tokens(spark, path))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return model.score(docs).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"),
+        "n_words", *toxicity.FEATURES)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -41,6 +50,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_personal_data": op10_personal_data,
 }
