@@ -220,7 +220,7 @@ def features(docs: DataFrame, model: Broadcast, *keep: str, limit: int = 300_000
             texts = [WORD.findall(t.lower()) for t in b.column(len(keep)).to_pylist()]
             if len(known) > limit:
                 known.clear()
-            new = list(set().union(*texts) - known.keys())
+            new = [w for w in set().union(*texts) if w not in known]
             for at in range(0, len(new), 20_000):
                 known.update(zip(new[at:at + 20_000], model.value.words(new[at:at + 20_000]).tolist()))
             values = np.array([document_features(words, known) for words in texts], float).reshape(-1, len(FEATURES))
