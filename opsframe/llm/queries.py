@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import pii, simhash, token_files, toxicity, urls
+from opsframe.llm import lines, pii, simhash, sketches, token_files, toxicity, urls
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
 
@@ -20,10 +20,19 @@ URL_RULES = [
 ]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_recurring(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_chars", F.size("_dropped").cast("long").alias("n_dropped"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tokens"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_TOKENIZER), end_id=2)
@@ -48,7 +57,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_url_filters": op4_url_filters,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
