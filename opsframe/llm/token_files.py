@@ -29,28 +29,42 @@ SCHEMA = "doc_id long, pos long, ids array<int>"
 class ChunkEncoder:
     """Ids of a text as little-endian 32-bit integers.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are those of its chunks
-    between blanks. Chunks seen before are looked up; the store is emptied beyond ``limit`` bytes.
+    The vocabulary lower-cases, drops white space and no token spans it, so a text's ids are those of its
+    lower-cased chunks between blanks; a comma or full stop after a letter is a token of its own. Chunks
+    seen before are looked up; the store is emptied beyond ``limit`` bytes. Texts whose case matters
+    (special tokens, final sigma) are not lower-cased here.
     """
 
-    def __init__(self, path: str, limit: int = 48 << 20):
+    def __init__(self, path: str, limit: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.known, self.size = {"": b""}, 0
 
+    def _learn(self, chunks: list[str]) -> None:
+        ends = {c for c in chunks if len(c) > 1 and c[-1] in ",." and c[-2].lower().isalpha()}
+        words = {c[:-1] if c in ends else c for c in chunks}
+        new = [w for w in words | {",", "."} if w not in self.known]
+        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[word] = np.array(got.ids, "<u4").tobytes()
+        for c in ends:
+            self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
+        self.size += sum(200 + 5 * len(c) for c in chunks)
+
     def encode(self, text: str) -> bytes:
+        if "<|" not in text and "\u03a3" not in text:
+            text = text.lower()
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = list(set(chunks) - self.known.keys())
+        known = self.known
+        new = [c for c in set(chunks) if c not in known]
         if new:
             if self.size > self.limit:
-                self.known, self.size = {"": b""}, 0
+                known.clear()
+                self.size, known[""] = 0, b""
                 new = list(set(chunks) - {""})
-            for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[chunk] = ids = np.array(got.ids, "<u4").tobytes()
-                self.size += 150 + len(chunk) + len(ids)
-        return b"".join(map(self.known.__getitem__, chunks))
+            self._learn(new)
+        return b"".join(map(known.__getitem__, chunks))
 
 
 @lru_cache(2)
