@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import lines, pii, simhash, sketches, token_files, toxicity, urls
+from opsframe.llm import lines, packing, pieces, pii, simhash, sketches, token_files, toxicity, urls
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
 
-WORD_TOKENIZER = "word_bpe_49k.json"
+WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOXIC_SCORE = 0.7
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -25,10 +25,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_chars", F.size("_dropped").cast("long").alias("n_dropped"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_MODEL)
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_packing": op3_packing,
     "op4_url_filters": op4_url_filters,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,

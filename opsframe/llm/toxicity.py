@@ -211,20 +211,26 @@ def document_features(words: list[str], known: dict[str, float]) -> tuple[float,
     return sum(v * n for v, n in values) / len(words), *top[:3], math.log(len(words))
 
 
-def features(docs: DataFrame, model: Broadcast, *keep: str, limit: int = 300_000) -> DataFrame:
+def feature_rows(texts: list[str], known: dict[str, float], model: Evidence, limit: int = 300_000) -> tuple[list[int], np.ndarray]:
+    """Number of words and ``FEATURES`` of every text; ``known`` keeps the evidence of words."""
+    words = [WORD.findall(t.lower()) for t in texts]
+    if len(known) > limit:
+        known.clear()
+    new = [w for w in set().union(*words) if w not in known]
+    for at in range(0, len(new), 20_000):
+        known.update(zip(new[at:at + 20_000], model.words(new[at:at + 20_000]).tolist()))
+    values = [document_features(w, known) for w in words]
+    return [len(w) for w in words], np.array(values, float).reshape(-1, len(FEATURES))
+
+
+def features(docs: DataFrame, model: Broadcast, *keep: str) -> DataFrame:
     """``keep`` columns (longs) of every row with ``n_words`` and ``FEATURES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for b in slices(batches):
-            texts = [WORD.findall(t.lower()) for t in b.column(len(keep)).to_pylist()]
-            if len(known) > limit:
-                known.clear()
-            new = [w for w in set().union(*texts) if w not in known]
-            for at in range(0, len(new), 20_000):
-                known.update(zip(new[at:at + 20_000], model.value.words(new[at:at + 20_000]).tolist()))
-            values = np.array([document_features(words, known) for words in texts], float).reshape(-1, len(FEATURES))
-            columns = [pa.array([len(w) for w in texts], pa.int64()), *(pa.array(c) for c in values.T)]
+            n_words, values = feature_rows(b.column(len(keep)).to_pylist(), known, model.value)
+            columns = [pa.array(n_words, pa.int64()), *(pa.array(c) for c in values.T)]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *columns], names=[*keep, "n_words", *FEATURES])
 
     kinds = [f"{k} long" for k in [*keep, "n_words"]] + [f"{k} double" for k in FEATURES]
@@ -259,6 +265,20 @@ class ToxicityModel:
         rows = features(docs, self.evidence, "doc_id")
         return rows.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), "n_words", *FEATURES)
 
+    def keep_below(self, docs: DataFrame, score: float) -> DataFrame:
+        """The rows of ``docs`` that score below ``score``, where they lie and with all columns."""
+        text, model = docs.columns.index("text"), self.evidence
+        weights = np.array(self.weights)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, float] = {}
+            for b in slices(batches):
+                x = feature_rows([t or "" for t in b.column(text).to_pylist()], known, model.value)[1]
+                z = weights[0] + ((x - CENTRE) / SCALE) @ weights[1:]
+                yield b.filter(pa.array(z < math.log(score / (1 - score))))
+
+        return docs.mapInArrow(run, docs.schema)
+
 
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3."""
