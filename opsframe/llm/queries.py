@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import lines, packing, pieces, pii, simhash, sketches, token_files, toxicity, urls
+from opsframe.llm import lines, packing, pieces, pii, search, simhash, sketches, token_files, toxicity, urls
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
 
@@ -20,6 +20,11 @@ URL_RULES = [
 ]
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_recurring(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_chars", F.size("_dropped").cast("long").alias("n_dropped"))
@@ -67,6 +72,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_search": op1_search,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_url_filters": op4_url_filters,
