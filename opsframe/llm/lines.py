@@ -71,8 +71,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 2) -> DataFrame:
-    """``docs`` without the recurring lines, all columns kept, and ``_dropped``, the dropped line numbers."""
+def drop_recurring(docs: DataFrame, min_docs: int = 2, report: str | None = None) -> DataFrame:
+    """``docs`` without the recurring lines, all columns kept; ``report`` names a column for the dropped line numbers."""
     rows = docs.select(F.struct("*").alias("_row"), _document().alias("doc"))
     out = rows.join(dropped_lines(docs, min_docs), "doc", "left")
     kept = F.filter(F.split(F.col("_row.text"), "\n"), lambda _, i: ~F.array_contains(F.col("dropped"), i))
@@ -86,4 +86,4 @@ def drop_recurring(docs: DataFrame, min_docs: int = 2) -> DataFrame:
         else:
             columns.append(F.col("_row")[c].alias(c))
     out = out.select("_row", "dropped", text.alias("new_text"))
-    return out.select(*columns, F.coalesce("dropped", F.array().cast("array<int>")).alias("_dropped"))
+    return out.select(*columns, *([F.coalesce("dropped", F.array().cast("array<int>")).alias(report)] if report else []))

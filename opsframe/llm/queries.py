@@ -26,8 +26,8 @@ def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_recurring(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", "n_chars", F.size("_dropped").cast("long").alias("n_dropped"))
+    out = lines.drop_recurring(table(spark, sf_dir, "documents"), report="dropped")
+    return out.select("doc_id", "text", "n_chars", F.size("dropped").cast("long").alias("n_dropped"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
