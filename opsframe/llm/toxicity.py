@@ -3,7 +3,7 @@
 Each class (toxic, ordinary) has interpolated Kneser-Ney probabilities: its own counts of n-grams of
 ``TOP`` characters, and below them one chain of continuation counts, from ``SHARED`` characters down,
 that both classes share, so expressions that are rare in a class take their probability from the shared
-counts. A word's evidence is the difference of its log-likelihoods under both models; words over
+counts; n-grams of ``TOP`` characters that occur less than ``MIN_COUNT`` times have no others. A word's evidence is the difference of its log-likelihoods under both models; words over
 ``LONG_WORD`` characters are normalised to that length. A document is described by its mean evidence per
 word, its three strongest words (one word up to three times) and the logarithm of its length, and a
 logistic function fitted to held-back labelled rows turns them into a score from 0 to 1.
@@ -12,8 +12,9 @@ What is learned from: all labelled rows that the caller marks for training. At m
 of them, and at most a quarter, fit the logistic function (a bounded sample, those with the smallest hash
 of ``doc_id``); all others are counted. Counts are tables that grow with the input. For scoring, every
 cell of a fixed number of ``CELLS`` keeps the most frequent n-gram that falls into it, with a tag to tell
-it from others; what finds no place is scored by its shared backoff alone. Those 32 MB are all that is
-broadcast, at any size of the corpus.
+it from others and its evidence in thousandths; what finds no place is scored by its shared backoff alone.
+Those 16 MB are all that is broadcast at any size of the corpus, besides labels: the label table is
+broadcast up to ``BROADCAST_LABELS`` rows and joined by a shuffle beyond.
 
 Null and empty texts have no words: all features are 0, and the score is the logistic function's. Repeated rows are scored alike; repeated labels of a document count once, toxic if any is.
 Rows without ``doc_id`` are scored and never learned from. Without labels of both classes all evidence is
@@ -37,13 +38,16 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.common import slices, whole, written
 
-TOP, SHARED, DISCOUNT, LONG_WORD = 12, 5, 0.75, 24
-CELLS = 1 << 22
-CALIBRATION_ROWS = 20_000
+TOP, SHARED, DISCOUNT, LONG_WORD, MIN_COUNT = 12, 5, 0.75, 24, 2
+CELLS, RANGE = 1 << 22, 1 << 16
+CALIBRATION_ROWS, BROADCAST_LABELS = 20_000, 1_000_000
 WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+CHAR_BITS = 12
+#: Thousandths of evidence are kept as 16 bits above this value.
+ZERO = 1 << 15
 FEATURES = ["mean_evidence", "top_1", "top_2", "top_3", "log_words"]
 #: Values that bring the features near -1 to 1, and the prior weights (constant first).
 CENTRE, SCALE = np.array([0.0, 8.0, 6.0, 5.0, 6.0]), np.array([1.0, 4.0, 4.0, 4.0, 1.5])
@@ -58,11 +62,12 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For every character of every word, and its end: index of the word, suffix hashes, context hashes.
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every character of every word, and its end: the word's index and three longs.
 
-    The suffix hashes cover the last 1 to ``SHARED`` and the last ``TOP`` characters up to this one, the
-    context hashes the same without this one.
+    These are hashes of the last ``TOP`` characters and of those without the last, and the last ``SHARED``
+    characters themselves, ``CHAR_BITS`` bits each, the last one lowest. Characters from U+0800 on share
+    2,048 such codes.
     """
     pad = START * (TOP - 1)
     codes = np.frombuffer("".join([f"{pad}{w}{END}" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -70,16 +75,15 @@ def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
     starts = np.cumsum(lengths + TOP - 1) - lengths
     word = np.repeat(np.arange(len(words)), lengths)
     at = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-    suffix, context = [], []
-    s, x = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    short = np.where(codes < 2048, codes, np.uint64(2048) + (codes * np.uint64(BASE) >> np.uint64(53)))
+    top, context, shared = (np.zeros(len(at), np.uint64) for _ in range(3))
     for k in range(TOP):
-        s = s + codes[at - k] * np.uint64(pow(BASE, k, 1 << 64))
-        if k < SHARED or k + 1 == TOP:
-            context.append(_mixed(x, k))
-            suffix.append(_mixed(s, k + 1))
-        if k + 1 < TOP:
-            x = x + codes[at - k - 1] * np.uint64(pow(BASE, k, 1 << 64))
-    return word, suffix, context
+        top = top + codes[at - k] * np.uint64(pow(BASE, k, 1 << 64))
+        if k:
+            context = context + codes[at - k] * np.uint64(pow(BASE, k - 1, 1 << 64))
+        if k < SHARED:
+            shared = shared | short[at - k] << np.uint64(CHAR_BITS * k)
+    return word, _mixed(top, TOP), _mixed(context, TOP - 1), shared.view(np.int64)
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -107,51 +111,47 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """One row per n-gram of ``TOP`` characters: hashes ``s1..`` and ``x0..``, counts per class."""
-    orders = [*range(1, SHARED + 1), TOP]
-    names = [f"s{k}" for k in orders] + [f"x{k - 1}" for k in orders]
+    """``gram, context, shared, toxic, ordinary`` of every n-gram of ``TOP`` characters."""
+    names = ["gram", "context", "shared", "toxic", "ordinary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 20_000):
-            word, suffix, context = grams(b.column(0).to_pylist())
+            word, *hashes = grams(b.column(0).to_pylist())
             if not len(word):
                 continue
-            _, first, back = np.unique(suffix[-1], return_index=True, return_inverse=True)
+            _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
             sums = [np.bincount(back, b.column(i).to_numpy()[word]).astype(np.int64) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*(h[first] for h in suffix + context), *sums]], names=[*names, "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*(h[first] for h in hashes), *sums]], names=names)
 
-    rows = words.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "toxic", "ordinary"]))
-    top = f"s{TOP}"
-    return rows.groupBy(top).agg(
-        *[F.min(n).alias(n) for n in names if n != top], F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = words.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("gram").agg(
+        F.min("context").alias("context"), F.min("shared").alias("shared"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def shared_backoff(top: DataFrame) -> DataFrame:
-    """``s`` and ``p``: shared continuation probability of every n-gram of ``SHARED`` characters."""
-    levels, above = {}, top
-    for k in range(SHARED, 0, -1):
-        lower = [F.min(f"s{j}").alias(f"s{j}") for j in range(1, k)] + [F.min(f"x{j}").alias(f"x{j}") for j in range(k)]
-        above = above.groupBy(f"s{k}").agg(F.count("*").alias("n"), *lower)
-        levels[k] = above
+    """``shared`` and ``p``: continuation probability of every n-gram of ``SHARED`` characters."""
+    last = lambda k: F.col("shared").bitwiseAND((1 << CHAR_BITS * k) - 1)
+    levels = {SHARED: top.groupBy("shared").agg(F.count("*").alias("n"))}
+    for k in range(SHARED - 1, 0, -1):
+        levels[k] = levels[k + 1].groupBy(last(k).alias("shared")).agg(F.count("*").alias("n"))
     p = None
     for k in range(1, SHARED + 1):
-        context = Window.partitionBy(f"x{k - 1}")  # at most one row for each character that can follow
+        context = Window.partitionBy(F.shiftright("shared", CHAR_BITS))  # at most one row for each character that can follow
         rows = levels[k].withColumns({"total": F.sum("n").over(context), "kinds": F.count("*").over(context)})
         if p is None:
             below = 1.0 / (F.col("kinds") + 1)
         else:
-            rows = rows.join(p.withColumnRenamed("s", f"s{k - 1}").withColumnRenamed("p", "below"), f"s{k - 1}")
+            rows = rows.withColumn("lower", last(k - 1)).join(p.select(F.col("shared").alias("lower"), F.col("p").alias("below")), "lower")
             below = F.col("below")
         kept = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
-        p = rows.select(F.col(f"s{k}").alias("s"), (kept + DISCOUNT * F.col("kinds") / F.col("total") * below).alias("p"))
+        p = rows.select("shared", (kept + DISCOUNT * F.col("kinds") / F.col("total") * below).alias("p"))
     return p
 
 
 def evidence(top: DataFrame) -> DataFrame:
     """``hash, weight, llr``: log-likelihood differences of n-grams, and of contexts for unseen n-grams."""
-    below, ctx = f"s{SHARED}", f"x{TOP - 1}"
-    context = Window.partitionBy(ctx)  # at most one row for each character that can follow
-    rows = top.join(shared_backoff(top).withColumnRenamed("s", below), below)
+    context = Window.partitionBy("context")  # at most one row for each character that can follow
+    rows = top.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT).join(shared_backoff(top), "shared")
     rows = rows.withColumns({f"{c}_total": F.sum(c).over(context) for c in ("toxic", "ordinary")})
     rows = rows.withColumns({f"{c}_kinds": F.count_if(F.col(c) > 0).over(context) for c in ("toxic", "ordinary")})
 
@@ -162,28 +162,27 @@ def evidence(top: DataFrame) -> DataFrame:
         own = F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
         return own + left(c) * F.col("p")
 
-    seen = rows.select(F.col(f"s{TOP}").alias("hash"), (F.col("toxic") + F.col("ordinary")).alias("weight"), F.log(prob("toxic") / prob("ordinary")).alias("llr"))
-    unseen = rows.groupBy(F.col(ctx).alias("hash")).agg(
+    seen = rows.select(F.col("gram").alias("hash"), (F.col("toxic") + F.col("ordinary")).alias("weight"), F.log(prob("toxic") / prob("ordinary")).alias("llr"))
+    unseen = rows.groupBy(F.col("context").alias("hash")).agg(
         F.sum(F.col("toxic") + F.col("ordinary")).alias("weight"), F.max(F.log(left("toxic") / left("ordinary"))).alias("llr"))
     return seen.union(unseen)
 
 
 @dataclass(frozen=True)
 class Evidence:
-    """Fixed-size look-up of log-likelihood differences by n-gram hash."""
+    """Fixed-size look-up of log-likelihood differences by n-gram hash: a tag and thousandths in each cell."""
 
-    tags: np.ndarray
-    llr: np.ndarray
+    cells: np.ndarray
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = hashes & (len(self.tags) - 1)
-        return self.tags[cell] == (hashes >> 32).astype(np.int32), self.llr[cell]
+        cell = self.cells[hashes & (len(self.cells) - 1)]
+        return cell >> 16 == hashes >> 48, ((cell & 0xFFFF) - ZERO) / 1000
 
     def words(self, words: list[str]) -> np.ndarray:
         """Evidence of every word for the toxic class."""
-        word, suffix, context = grams(words)
-        hit, value = self._find(suffix[-1])
-        known, back = self._find(context[-1])
+        word, top, context, _ = grams(words)
+        hit, value = self._find(top)
+        known, back = self._find(context)
         each = np.where(hit, value, np.where(known, back, 0.0))
         size = np.array([len(w) for w in words])
         return np.bincount(word, each, len(words)) * np.minimum(1.0, LONG_WORD / np.maximum(size, 1))
@@ -192,14 +191,24 @@ class Evidence:
 def fit_evidence(labelled: DataFrame, cells: int = CELLS) -> Evidence:
     """Both models from rows ``toxic`` (1 or 0) and ``text``."""
     top = written(gram_counts(word_counts(labelled)))
+    size = min(RANGE, cells)
     cell = F.col("hash").bitwiseAND(cells - 1)
-    tag = F.shiftright("hash", 32).cast("int")
-    best = evidence(top).groupBy(cell.cast("int").alias("cell")).agg(F.max(F.struct("weight", tag.alias("tag"), "llr")).alias("b"))
-    rows = best.select("cell", "b.tag", F.col("b.llr").cast("float").alias("llr")).toPandas()  # one row a cell at most
-    tags, llr = np.zeros(cells, np.int32), np.zeros(cells, np.float32)
-    at = rows["cell"].to_numpy(np.int64)
-    tags[at], llr[at] = rows["tag"].to_numpy(np.int32), rows["llr"].to_numpy(np.float32)
-    return Evidence(tags, llr)
+    thousandths = F.round(F.least(F.greatest(F.col("llr"), F.lit(-32.0)), F.lit(32.0)) * 1000).cast("long") + ZERO
+    # weight, tag and evidence in one long: the largest is that of the most frequent n-gram
+    packed = F.least(F.col("weight"), F.lit((1 << 31) - 1)) * (1 << 32) + F.shiftrightunsigned("hash", 48) * (1 << 16) + thousandths
+    best = evidence(top).groupBy(cell.alias("cell")).agg(F.max(packed).alias("best"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        values = np.full(size, ZERO, np.uint32)
+        at = rows.column("cell").to_numpy()
+        values[at % size] = (rows.column("best").to_numpy() & 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"part": pa.array([int(at[0]) // size], pa.int64()), "values": pa.array([values.tobytes()], pa.binary())})
+
+    parts = best.withColumn("part", F.floor(F.col("cell") / size)).groupBy("part").applyInArrow(pack, "part long, values binary")
+    out = np.full(cells, ZERO, np.uint32)
+    for row in parts.collect():  # cells / RANGE rows at most
+        out[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["values"], np.uint32)
+    return Evidence(out.view(np.int32))
 
 
 def document_features(words: list[str], known: dict[str, float]) -> tuple[float, ...]:
@@ -293,7 +302,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, calibra
     if use is not None:
         known = known.where(use)
     cut = F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1)
-    share = min(0.25, calibration_rows / max(1, known.count()))
+    n_labels = known.count()
+    share = min(0.25, calibration_rows / max(1, n_labels))
+    known = F.broadcast(known) if n_labels <= BROADCAST_LABELS else known
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     if use is not None:
         texts = texts.where(use)
