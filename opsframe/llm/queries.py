@@ -22,7 +22,7 @@ URL_RULES = [
 
 def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search.search(docs, docs.where("doc_id % 50 = 0"), k=10)
+    return search.search(docs, docs.where("doc_id % 50 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +83,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_personal_data": op10_personal_data,
 }
-SQL: dict[str, str] = {}
+_SEARCH = r"""
+with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as w from documents),
+c as (select doc_id, w, count(*) as tf from t group by all),
+l as (select doc_id, count(*) as len from t group by doc_id),
+s as (select (select count(*) from documents) as n, (select count(*) from t) * 1.0 / (select count(*) from documents) as mean),
+f as (select w, count(*) as df from c group by w),
+q as (select doc_id as query_id, w, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) as weight from c join f using (w), s where doc_id % 50 = 0),
+h as (select query_id, c.doc_id, sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score
+      from q join c using (w) join l on l.doc_id = c.doc_id, s group by all),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from h)
+select query_id, rank, doc_id, round(score, 6) as score from r where rank <= 10
+"""
+
+_LINES = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, i, ls[i] as line from (select doc_id, ls, unnest(generate_series(1, len(ls))) as i from d)),
+t as (select doc_id, i, string_split(trim(regexp_replace(regexp_replace(line, '\S*[0-9]\S*', '*', 'g'), '\s+', ' ', 'g'), ' '), ' ') as tk from l),
+w as (select doc_id, i, tk, len(tk) as n, cast(ceil((len(tk) - 2) / 4.0) as int) as w from t where len(tk) >= 3),
+k as (select doc_id, i, unnest(case when n >= 10 then [
+        'x ' || array_to_string(tk, ' '),
+        '0 ' || n || ' ' || array_to_string(tk[1:2] || tk[3 + w:], ' '),
+        '1 ' || n || ' ' || array_to_string(tk[1:2 + w] || tk[3 + 2 * w:], ' '),
+        '2 ' || n || ' ' || array_to_string(tk[1:2 + 2 * w] || tk[3 + 3 * w:], ' '),
+        '3 ' || n || ' ' || array_to_string(tk[1:2 + 3 * w], ' ')] else ['x ' || array_to_string(tk, ' ')] end) as key from w),
+g as (select distinct k.doc_id, i from k join (select key, min(doc_id) as first from k group by key) f using (key) where first < k.doc_id),
+o as (select l.doc_id, count(g.i) as n_dropped, coalesce(string_agg(line, chr(10) order by l.i) filter (g.i is null), '') as text
+      from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id)
+select doc_id, text, length(text) as n_chars, n_dropped from o
+"""
+
+SQL: dict[str, str] = {"op1_search": _SEARCH, "op2_line_dedup": _LINES}

@@ -230,6 +230,50 @@ def test_url_rules_and_templates(spark):
     assert urls.judge(df.where("false"), RULES).count() == 0
 
 
+def plain_judge(pages, rules):
+    """Verdict and purity of every (id, url), counted in dictionaries."""
+    rows, tree = [], {}
+    for i, u in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].translate(str.maketrans(urls.UPPER, urls.LOWER)), m[2]) if m else ("", "")
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        looks = [re.sub(urls.VARIABLE, lambda x: "*" + (x[1] or ""), x) for x in path.split("/") if x]
+        rows.append((i, host, looks, max(fits)[1] if fits else None))
+        for k, x in enumerate(looks):
+            seen = tree.setdefault((host, tuple(looks[:k])), Counter())
+            seen[x] += 1
+    form = lambda host, looks: "/" + "/".join(
+        "*" if len(c := tree[host, tuple(looks[:k])]) > 8 and c[x] < 0.05 * sum(c.values()) else x for k, x in enumerate(looks))
+    count = Counter()
+    for _, host, looks, v in rows:
+        f = form(host, looks)
+        for key in ((host, f), ("form", None, f), ("host", host)):
+            count[key, v] += 1
+    smooth = lambda key, prior: (count[key, "block"] + 4 * prior) / (count[key, "block"] + count[key, "allow"] + 4)
+    out = {}
+    for i, host, looks, v in rows:
+        f = form(host, looks)
+        p_host = smooth(("host", host), smooth(("form", None, f), 0.5))
+        n, n_host = count[(host, f), "block"] + count[(host, f), "allow"], count[("host", host), "block"] + count[("host", host), "allow"]
+        share = count[("host", host), "block"] / n_host if n_host else 0
+        merged = n == 0 or share in (0, 1) or abs(count[(host, f), "block"] / n - share) / math.sqrt(share * (1 - share) / n) < 1.96
+        p = p_host if merged else smooth((host, f), p_host)
+        out[i] = (v or ("block" if p > 0.5 else "allow"), round(p, 9))
+    return out
+
+
+def test_verdicts_equal_plain_counts(spark):
+    rng = random.Random(12)
+    pages = []
+    for i in range(900):
+        host = rng.choice(["a.example.com", "b.net", "www.example.com", "c.org"]) if i % 3 else "hot.net"
+        path = rng.choice(["/en/", "/es/", "/fr/x/", "/"]) + rng.choice([str(rng.randint(1, 99)), "p" + rng.choice(WORDS) + rng.choice("abcd"), "about.html", ""])
+        pages.append((i, f"http://{host}{path}?q={i}"))
+    rules = RULES + [("block", "net", "/es/"), ("block", "net", "/fr/"), ("allow", "net", "/en/1")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()
+    assert {r["page_id"]: (r["verdict"], round(r["purity"], 9)) for r in got} == plain_judge(pages, rules)
+
+
 def test_purity_follows_labels(spark):
     rows = [(f"http://h.org/bad/{i}", 1) for i in range(40)] + [(f"http://h.org/good/{i}", 0) for i in range(40)]
     rows += [("http://h.org/bad/x9999", None), ("http://h.org/bad/777", None), ("http://h.org/good/888", None), ("http://new.org/bad/5", None)] * 2
