@@ -33,7 +33,7 @@ STATUS = cap("interface_status", f"rpad({NAME}, 10, ' ') || rpad(case when k % 3
 VLANS = cap("vlan_brief", "case when k % 3 = 0 then '        Gi9/' || cast(k as string) || ', Gi8/' || cast(k as string) else cast(k as string) || '   VLAN' || cast(k as string) || '  active  Gi0/' || cast(k as string) end", (1, "'VLAN Name Status Ports'"), (2, "'7000  first  active'"))
 TRUNK = " union all ".join([
     f"select 's1' as snapshot_id, device, 'trunk' as command, n as line_no, {NAME} || '  on  802.1q  trunking  ' || cast(k % 3 as string) as line from ({BASE}) a", f"select 's1', device, 'trunk', 1, 'Port Mode Encapsulation Status Native vlan' from ({HEAD}) h",
-    f"select 's1', device, 'trunk', 100000000, 'Port Vlans allowed on trunk' from ({HEAD}) h", f"select 's1', device, 'trunk', 100000000 + n, {NAME} || '  1,10-' || cast(10 + k % 3 as string) from ({BASE}) b where k % 2 = 0",
+    f"select 's1', device, 'trunk', 100000000, 'Port Vlans allowed on trunk' from ({HEAD}) h", f"select 's1', device, 'trunk', 100000000 + n, {NAME} || case when k % 4 = 0 then '  ALL,none,5000' else '  1,10-' || cast(10 + k % 3 as string) end from ({BASE}) b where k % 2 = 0",
     f"select 's1', device, 'trunk', 200000000, 'Port Vlans in spanning tree' from ({HEAD}) h", f"select 's1', device, 'trunk', 200000001, 'Gi0/1  999' from ({HEAD}) h"])
 LLDP = cap("lldp_neighbors", f"rpad('core' || cast(k as string), 20, ' ') || rpad({NAME}, 15, ' ') || rpad('120', 11, ' ') || rpad('B', 12, ' ') || 'Te1/' || cast(k as string)", (1, "rpad('Device ID', 20, ' ') || rpad('Local Intf', 15, ' ') || rpad('Hold-time', 11, ' ') || rpad('Capability', 12, ' ') || 'Port ID'"))
 MAC = cap("mac_table", "'  ' || cast(k % 50 as string) || '    00AA.' || lpad(cast(k % 10000 as string), 4, '0') || '.bbbb    dynamic   Gi0/' || cast(k as string)", (1, "'Vlan Mac Type Ports'"))
@@ -187,7 +187,7 @@ CASES = {
         select device, cast(v as varchar) as vlan_id, case when v = 7000 and bool_and(k % 3 = 0) then 'first' else 'VLAN' || cast(v as varchar) end as name, coalesce(string_agg(case when k % 3 = 0 then 'Gi9/' || cast(k as varchar) || ';Gi8/' || cast(k as varchar) else 'Gi0/' || cast(k as varchar) end, ';' order by n), '') as ports from m group by device, v
         union all select h.device, '7000', 'first', '' from ({HEAD}) h where not exists (select 1 from m where m.device = h.device and v = 7000)"""),
     "inv_trunks": Case(lambda s, d: iv.trunks(c(TRUNK)(s, d)).select("device", "interface", "native_vlan", "trunking_status", F.array_join("allowed_vlans", ",").alias("allowed")),
-        f"with b as ({BASE}) select device, {NAME} as interface, cast(k % 3 as varchar) as native_vlan, 'trunking' as trunking_status, case when k % 2 = 0 then case k % 3 when 0 then '1,10' when 1 then '1,10,11' else '1,10,11,12' end else '' end as allowed from b"),
+        f"with b as ({BASE}) select device, {NAME} as interface, cast(k % 3 as varchar) as native_vlan, 'trunking' as trunking_status, case when k % 4 = 0 then 'ALL,none,5000' when k % 2 = 0 then case k % 3 when 0 then '1,10' when 1 then '1,10,11' else '1,10,11,12' end else '' end as allowed from b"),
     "inv_neighbors": Case(lambda s, d: iv.neighbors(c(LLDP)(s, d)).select("device", "local_interface", "remote_device", "remote_interface", "protocol"), f"with b as ({BASE}) select device, {NAME} as local_interface, 'core' || cast(k as varchar) as remote_device, 'Te1/' || cast(k as varchar) as remote_interface, 'lldp' as protocol from b"),
     "inv_mac_table": Case(lambda s, d: iv.mac_table(c(MAC)(s, d)).drop("snapshot_id"), f"with b as ({BASE}) select device, cast(k % 50 as varchar) as vlan, '00aa.' || lpad(cast(k % 10000 as varchar), 4, '0') || '.bbbb' as mac_address, {NAME} as interface, 'DYNAMIC' as entry_type from b"),
     "inv_poe": Case(lambda s, d: iv.poe(c(POWER)(s, d)).drop("snapshot_id"), f"with b as ({BASE}) select device, {NAME} as interface, case when k % 2 = 0 then 'auto' else 'off' end as admin_state, 'on' as oper_state, case when k % 5 > 0 then 7.5 end as power_watts, case when k % 3 > 0 then 'IP Phone' end as powered_device, '2' as poe_class, 30.0 as max_watts from b"),

@@ -313,7 +313,7 @@ CASES = {
         f"select snapshot_id, 'interfaces' as metric, count(*) as n from ({INTERFACES}) group by all union all select snapshot_id, 'trunks', count(*) from ({TRUNKS}) group by all union all select snapshot_id, 'findings', count(*) from ({FIND}) group by all"),
     "rsk_timeline": Case(lambda s, d: rk.timeline(bind(s, d, "select cast(o_orderkey as string) as snapshot_id, case when o_orderkey % 3 > 0 then cast(o_custkey as string) end as captured, cast(o_orderkey % 7 as string) as planned from orders")),
         "select cast(o_orderkey as varchar) as snapshot_id, 'captured' as step, cast(o_custkey as varchar) as at from orders where o_orderkey % 3 > 0 union all select cast(o_orderkey as varchar), 'planned', cast(o_orderkey % 7 as varchar) from orders"),
-    "rsk_findings_view": Case(lambda s, d: rk.findings_view(scored(s, d)), SCORE + ", v as (select snapshot_id, finding_id, severity, risk_score, row_number() over (partition by snapshot_id order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end, risk_score desc, finding_id) as position from sc) select * from v where position <= 10"),
+    "rsk_findings_view": Case(lambda s, d: rk.findings_view(scored(s, d)), SCORE + ", v as (select snapshot_id, finding_id, severity, risk_score, row_number() over (partition by snapshot_id order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end, risk_score desc, finding_id) as position from sc) select *, position <= 10 as is_top from v"),
     "rsk_graph_view": Case(lambda s, d: rk.graph_view(tp.nodes(dev(s, d), nbr(s, d)), tp.edges(nbr(s, d)), _warnings(s, d), scored(s, d))[0].select("snapshot_id", "node_id", "max_risk", "findings"),
         GRAPH + ", " + SCORE[len("with "):].replace(f"iface as ({INTERFACES}), ", "") + " select node.snapshot_id, node_id, coalesce(max(risk_score), 0) as max_risk, count(finding_id) as findings from node left join sc on sc.snapshot_id = node.snapshot_id and sc.device = node.node_id group by all"),
     "rsk_actions_view": Case(lambda s, d: rk.actions_view(actions(s, d)), ACT + " select 'device' as dimension, device as value, count(*) as n from ac group by all union all select 'risk_level', risk_level, count(*) from ac group by all union all select 'status', status, count(*) from ac group by all"),

@@ -49,7 +49,7 @@ KV_CTE = f"""with k as ({KV}), r as (select ord, 'Firewall ' || case ord % 3 whe
  case ord % 3 when 0 then 'firewall' when 1 then 'ips' else 'web_filter' end as category, regexp_extract(line, 'priority=([a-z]+)', 1) as severity, '2024-01-01 10:00:00' as "timestamp", 'L' || cast(ord as varchar) as raw_ref from k where ord % 20 > 1),
 q as (select *, case when ord % 7 = 0 then 'blocked flow' else made end as message from r)"""
 CATALOG = "select case event_type when 'error' then 'Error ' when 'click' then '3' when 'view' then 'weird' when 'signup' then null else 'Warn' end as w, event_id from events"
-FUN = """select event_id, case event_id % 6 when 0 then '1,10-12' when 1 then '5-3,7' when 2 then 'x,4' when 3 then ' 2 - 4 , 3 ' when 4 then null else '100' end as r,
+FUN = """select event_id, case event_id % 6 when 0 then '1,10-12' when 1 then '5-3,7' when 2 then 'x,4' when 3 then ' 2 - 4 , 3 ' when 4 then null else '100,5000,4999-5001' end as r,
  case event_id % 5 when 0 then '2024-03-01T10:20:30Z' when 1 then '2024-03-01 10:20:30' when 2 then 'nope' when 3 then '2024-03-01T10:20:30+05:30' else '' end as t, case event_id % 3 when 0 then ' ' when 1 then ' a ' end as o, 'If-In  Octets(' || event_type || ')' as n from events"""
 
 CASES = {
@@ -137,7 +137,9 @@ CASES = {
     "fun_vlan_sort": Case(lambda s, d: bind(s, d, "select event_id, split(cast(event_id % 500 as string) || ',9,x,10,' || cast(user_id as string), ',') as v from events").select("event_id", F.array_join(sc.sort_vlans(F.col("v")), ",").alias("v")),
         "with e as (select event_id, unnest([event_id % 500, 9, 10, user_id]) as v from events) select event_id, string_agg(cast(v as varchar), ',' order by v) || ',x' as v from e group by event_id"),
     "fun_expand_ranges": Case(lambda s, d: bind(s, d, FUN).select("event_id", F.array_join(F.transform(sc.expand_ranges("r"), lambda x: x.cast("string")), ",").alias("v")),
-        "select event_id, case event_id % 6 when 0 then '1,10,11,12' when 1 then '7' when 2 then '4' when 3 then '2,3,4' when 4 then '' else '100' end as v from events"),
+        "select event_id, case event_id % 6 when 0 then '1,10,11,12' when 1 then '7' when 2 then '4' when 3 then '2,3,4' when 4 then '' else '100,4999,5000,5001' end as v from events"),
+    "fun_expand_list": Case(lambda s, d: bind(s, d, FUN.replace("'x,4'", "'ALL,none,4'")).select("event_id", F.array_join(sc.expand_list("r"), ",").alias("v")),
+        "select event_id, case event_id % 6 when 0 then '1,10,11,12' when 1 then '7' when 2 then 'ALL,none,4' when 3 then '2 - 4,3' when 4 then '' else '100,5000,4999,5000,5001' end as v from events"),
     "fun_top_counts": Case(lambda s, d: mon.count_by(bind(s, d, FIND), "device").orderBy(F.desc("n"), "value").limit(5), f"select device as value, count(*) as n from ({FIND}) group by 1 order by n desc, value limit 5"),
     "fun_as_text": Case(lambda s, d: bind(s, d, INC).select("incident_id", sc.as_text("devices", True).alias("d"), sc.as_text("ord").alias("o")), f"select incident_id, array_to_string(devices, ';') as d, cast(ord as varchar) as o from ({INC})"),
 }

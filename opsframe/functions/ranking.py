@@ -77,7 +77,8 @@ def running_totals(
     if not by:
         base = F.broadcast(base)  # at most ``buckets`` rows
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(base, [*by, "_bucket"])
+    same = [cut[c].eqNullSafe(base[c]) for c in [*by, "_bucket"]]  # a null group is a group
+    out = cut.join(base, same).select(cut["*"], *[base[f"_b_{o}"] for o in sums])
     for o, s in sums.items():
         out = out.withColumn(o, F.col(f"_b_{o}") + F.coalesce(F.sum(s).over(inside), F.lit(0)))
     return out.drop("_bucket", *[f"_b_{o}" for o in sums])

@@ -83,9 +83,11 @@ def snake(c: Column | str) -> Column:
 def vlan_sort_key(c: Column | str) -> Column:
     """Sort key putting numeric ids first in numeric order, then words."""
     numeric = col(c).rlike("^[0-9]+$")
+    digits = F.regexp_replace(col(c), "^0+(?=.)", "")
     return F.struct(
         F.when(numeric, 0).otherwise(1).alias("kind"),
-        F.when(numeric, F.lpad(col(c), 12, "0")).otherwise(col(c)).alias("key"),
+        F.when(numeric, F.length(digits)).otherwise(0).alias("size"),
+        F.when(numeric, digits).otherwise(col(c)).alias("key"),
     )
 
 
@@ -95,15 +97,33 @@ def sort_vlans(arr: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["v"])
 
 
-def expand_ranges(c: Column | str, lo: int = 0, hi: int = 4095) -> Column:
-    """``1,10-12`` to ``[1,10,11,12]`` (distinct, ascending); malformed parts are skipped."""
+WIDEST = 1 << 20
+
+
+def expand_list(c: Column | str, widest: int = WIDEST) -> Column:
+    """``1,10-12,ALL`` to ``["1","10","11","12","ALL"]`` in the order given.
+
+    A range that runs backwards gives nothing; words, and ranges of more than ``widest`` ids, stay as written.
+    """
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), lambda p: F.trim(p))
+
+    def one(p: Column) -> Column:
+        first, last = (grab(p, r"^(\d{1,18})-(\d{1,18})$", g).try_cast("long") for g in (1, 2))
+        ids = F.transform(F.sequence(first, last), lambda v: v.cast("string"))
+        none = F.array().cast("array<string>")
+        return F.when(first <= last, F.when(last - first < widest, ids).otherwise(F.array(p))).when(first > last, none).otherwise(F.array(p))
+
+    return F.flatten(F.transform(F.filter(parts, lambda p: p != ""), one))
+
+
+def expand_ranges(c: Column | str, widest: int = WIDEST) -> Column:
+    """``1,10-12`` to ``[1,10,11,12]`` (distinct, ascending); malformed parts, and ranges of more than ``widest`` ids, are skipped."""
     parts = F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", ""), ",")
 
     def one(p: Column) -> Column:
         first = grab(p, r"^(\d{1,9})(?:-\d{1,9})?$").try_cast("int")
         last = F.coalesce(grab(p, r"^\d{1,9}-(\d{1,9})$").try_cast("int"), first)
-        a, b = F.greatest(first, F.lit(lo)), F.least(last, F.lit(hi))
-        return F.when(first.isNotNull() & (a <= b), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        return F.when((first <= last) & (last - first < widest), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
 

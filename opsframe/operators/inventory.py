@@ -12,7 +12,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.functions.scalars import expand_ranges, grab, lookup, num, pick
+from opsframe.functions.scalars import expand_list, expand_ranges, grab, lookup, num, pick
 
 CAPTURE = ["snapshot_id", "device", "command"]
 PLACE = ["snapshot_id", "device"]
@@ -101,7 +101,7 @@ def vlans(df: DataFrame, command: str = "vlan_brief") -> DataFrame:
 
 
 def trunks(df: DataFrame, command: str = "trunk") -> DataFrame:
-    """Summary and allowed sections of the trunk table joined per port; VLAN ranges expanded."""
+    """Summary and allowed sections of the trunk table joined per port; VLAN ranges expanded, words such as ``ALL`` kept."""
     line, low = F.col("line"), F.lower("line")
     section = F.when(low.startswith("port"), pick([(low.contains("native vlan"), "summary"), (low.contains("vlans allowed on trunk"), "allowed")], "other"))
     d = carry_down(capture(df, command).where(F.trim(line) != ""), {"section": section}).where(~low.startswith("port"))
@@ -109,7 +109,7 @@ def trunks(df: DataFrame, command: str = "trunk") -> DataFrame:
     s = d.where((F.col("section") == "summary") & (F.size(words) >= 5)).groupBy(*PLACE, F.get(words, F.lit(0)).alias("interface")).agg(
         F.max_by(F.struct(F.get(words, F.lit(3)).alias("trunking_status"), F.get(words, F.lit(4)).alias("native_vlan")), "line_no").alias("s"))
     a = d.where((F.col("section") == "allowed") & (F.size(words) >= 2)).groupBy(*PLACE, F.get(words, F.lit(0)).alias("interface")).agg(F.max_by(F.get(words, F.lit(1)), "line_no").alias("spec"))
-    allowed = F.transform(expand_ranges("spec"), lambda x: x.cast("string"))
+    allowed = F.when(F.col("spec").isNull(), F.array().cast("array<string>")).otherwise(expand_list("spec"))
     return s.join(a, [*PLACE, "interface"], "full_outer").select(*PLACE, "interface", allowed.alias("allowed_vlans"), "s.native_vlan", "s.trunking_status")
 
 
@@ -209,12 +209,12 @@ def vrp_config(df: DataFrame, command: str = "running_config") -> tuple[DataFram
     addr = F.when(F.col("block") == "i:Vlanif200", grab(text, r"^ip address (\S+)"))
     who = d.groupBy(*PLACE).agg(last(host).alias("hostname"), last(F.trim(plat)).alias("platform"), F.min_by(addr, at(addr)).alias("management_ip"),
                                 F.bool_or(text == "telnet server enable").alias("telnet_server"), F.bool_or(text.startswith("snmp-agent community")).alias("snmp_community"))
-    ports = d.where(F.col("block").startswith("i:")).groupBy(*PLACE, F.substring("block", 3, 200).alias("name")).agg(
+    ports = d.where(F.col("block").startswith("i:")).groupBy(*PLACE, F.expr("substring(block, 3)").alias("name")).agg(
         last(grab(text, "^port link-type (trunk|access)$")).alias("linked"), last(grab(text, r"^port default vlan (\S+)$")).alias("vlan"), last(grab(text, r"^port trunk pvid vlan (\S+)$")).alias("native_vlan"),
         last(grab(text, "^port trunk allow-pass vlan (.+)$")).alias("allow_spec"), last(grab(text, "^description (.+)$")).alias("description"))
     mode = F.coalesce("linked", F.when(F.col("name").startswith("Vlanif"), "routed").otherwise("unknown"))
     ports = ports.select(*PLACE, "name", mode.alias("mode"), F.coalesce("vlan", F.when(mode == "access", "1")).alias("vlan"), "native_vlan", "allow_spec", "description")
-    defined = d.where(F.col("block").startswith("v:")).groupBy(*PLACE, F.substring("block", 3, 10).alias("vlan_id")).agg(last(grab(text, "^name (.+)$")).alias("name"))
+    defined = d.where(F.col("block").startswith("v:")).groupBy(*PLACE, F.expr("substring(block, 3)").alias("vlan_id")).agg(last(grab(text, "^name (.+)$")).alias("name"))
     return who, ports, defined
 
 

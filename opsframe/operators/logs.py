@@ -28,10 +28,10 @@ TIME_LINE = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{4}\s+\d{2}:\d{2}:\d{2})\s+(.*)$"
 HOST_LINE = r"^(\S+)\s+(?:([^%\s]\S*)\s+)?(%.*)$"
 CODE_LINE = r"^%([A-Z0-9]+)-(?:([A-Z0-9_]+)-)?(\d):(.*)$"
 
-# Colour codes, severity digits, zone offsets in minutes.
+# Colour codes, severity digits, zone abbreviations.
 COLOR_HINTS = {"33": "yellow", "36": "cyan", "37": "white"}
 SEVERITY_LABELS = {0: "emergency", 1: "alert", 2: "critical", 3: "error", 4: "warning", 5: "notice", 6: "info", 7: "debug"}
-ZONE_OFFSET_MINUTES = {"Asia/Kolkata": 330, "IST": 330, "UTC": 0}
+ZONE_NAMES = {"IST": "Asia/Kolkata"}
 
 # Message patterns.
 IFACE = r"(?i)interface\s+([A-Za-z]+\d[\d/]*)"
@@ -183,10 +183,16 @@ def log_time(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(strip(text), r"\s+", " "), F.lit("MMM d yyyy HH:mm:ss"))
 
 
-def iso_text(ts: Column, offset_minutes: int) -> Column:
-    sign = "-" if offset_minutes < 0 else "+"
-    hh, mm = divmod(abs(offset_minutes), 60)
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f"{sign}{hh:02d}:{mm:02d}"))
+def to_utc(ts: Column, zone: str) -> Column:
+    """UTC time of a wall-clock time in any named zone, daylight saving included."""
+    return F.to_utc_timestamp(ts, ZONE_NAMES.get(zone, zone))
+
+
+def iso_text(ts: Column, zone: str = "UTC") -> Column:
+    """ISO text of a wall-clock time with its zone's offset at that time."""
+    minutes = ((F.unix_seconds(ts) - F.unix_seconds(to_utc(ts, zone))) / 60).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(minutes / 60).cast("int"), F.abs(minutes) % 60)
+    return F.when(ts.isNotNull(), F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), offset))
 
 
 def severity_label(code: Column) -> Column:
@@ -199,7 +205,6 @@ def log_severity_rank(label: Column) -> Column:
 
 def parse_syslog(df: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
     """Grammar parse of ``cleaned_line``; lines that fail keep a tag with the reason."""
-    offset = ZONE_OFFSET_MINUTES[zone]
     line = F.col("cleaned_line")
     rest, code = F.col("_rest"), F.col("_code")
     staged = (
@@ -229,9 +234,9 @@ def parse_syslog(df: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
     ).drop("_stamp", "_rest", "_code", "_ok")
     ts = F.col("ts")
     return (
-        out.withColumn("ts_utc", ts - F.make_interval(mins=F.lit(offset)))
-        .withColumn("timestamp", iso_text(ts, offset))
-        .withColumn("timestamp_utc", iso_text(F.col("ts_utc"), 0))
+        out.withColumn("ts_utc", to_utc(ts, zone))
+        .withColumn("timestamp", iso_text(ts, zone))
+        .withColumn("timestamp_utc", iso_text(F.col("ts_utc")))
         .withColumn("timezone", F.lit(zone))
         .withColumn("clock_unreliable", F.coalesce(F.year(ts) < 2000, F.lit(False)))
         .withColumn("severity_label", severity_label(F.col("severity_code")))

@@ -189,11 +189,11 @@ def timeline(stamps: DataFrame) -> DataFrame:
 
 
 def findings_view(scored: DataFrame, top: int = 10) -> DataFrame:
-    """Findings ordered by severity, then risk; ``top`` marks the first rows of a snapshot."""
+    """All findings with their place by severity, then risk; ``is_top`` marks the first ``top`` of a snapshot."""
     w = Window.partitionBy(SNAP).orderBy("severity_rank", F.desc("risk_score"), "finding_id")
     d = scored.withColumn("severity_rank", severity_rank("severity", SEVERITY_RANK))
-    ranked = d.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top)
-    return ranked.select(SNAP, "finding_id", "severity", "risk_score", "position")
+    ranked = d.withColumn("position", F.row_number().over(w))
+    return ranked.select(SNAP, "finding_id", "severity", "risk_score", "position", (F.col("position") <= top).alias("is_top"))
 
 
 def graph_view(nodes: DataFrame, edges: DataFrame, warnings: DataFrame, scored: DataFrame) -> tuple[DataFrame, DataFrame]:

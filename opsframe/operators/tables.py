@@ -174,8 +174,10 @@ def constant_columns(df: DataFrame) -> list[str]:
     """Columns with at most one distinct value, null counted as a value; one min/max aggregate."""
     if not df.columns:
         return []
+    kinds = dict(df.dtypes)
+    orderable = lambda c: F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] else F.col(f"`{c}`")  # noqa: E731 - maps have no order
     row = df.agg(*[x for i, c in enumerate(df.columns) for x in (
-        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.count(c).alias(f"n{i}"))], F.count(F.lit(1)).alias("rows")).first()
+        F.min(orderable(c)).alias(f"lo{i}"), F.max(orderable(c)).alias(f"hi{i}"), F.count(f"`{c}`").alias(f"n{i}"))], F.count(F.lit(1)).alias("rows")).first()
     return [c for i, c in enumerate(df.columns) if row[f"n{i}"] == 0 or (row[f"n{i}"] == row["rows"] and row[f"lo{i}"] == row[f"hi{i}"])]
 
 
@@ -244,7 +246,10 @@ def impute_categorical(df: DataFrame, strategy: str = "most_frequent", fill: str
         modes = {}
     else:
         raise ValueError(f"unknown categorical strategy: {strategy}")
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes.get(c) if modes.get(c) is not None else fill)) for c in need})
+    kinds = dict(df.dtypes)
+    # the text fill goes into text columns only; other types without a mode stay missing
+    values = {c: F.lit(modes[c]) if modes.get(c) is not None else F.lit(fill) for c in need if modes.get(c) is not None or kinds[c] == "string"}
+    return df.withColumns({c: F.coalesce(F.col(c), v) for c, v in values.items()})
 
 
 def iqr_bounds(df: DataFrame, factor: float = 1.5, cols: Sequence[str] | None = None) -> dict[str, tuple[float, float]]:

@@ -261,9 +261,22 @@ def redact(df: DataFrame, literals: Sequence[str] = ()) -> DataFrame:
     return df.select(*[_redacted(F.col(f"`{f.name}`"), f.dataType, f.name, literals).alias(f.name) for f in df.schema.fields])
 
 
+def _leaves(c: Column, kind: T.DataType) -> Column:
+    """All values below ``c`` as one text."""
+    join = lambda parts: F.array_join(parts, "\x00")
+    if isinstance(kind, T.StructType):
+        return F.concat_ws("\x00", *[_leaves(c[f.name], f.dataType) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return join(F.transform(c, lambda v: _leaves(v, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        return F.concat_ws("\x00", join(F.transform(F.map_keys(c), lambda v: _leaves(v, kind.keyType))), join(F.transform(F.map_values(c), lambda v: _leaves(v, kind.valueType))))
+    return c.cast("string")
+
+
 def leak_audit(df: DataFrame, needles: Sequence[str]) -> DataFrame:
-    """Per needle, whether it survives in any column."""
-    text = F.to_json(F.struct(*df.columns))
+    """Per needle, whether it survives in any text or number of any column, nested ones included."""
+    # values as they are, apart by a character that JSON would escape: no needle is missed for its quotes or backslashes
+    text = F.concat_ws("\x00", *[_leaves(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
     row = df.agg(*[F.coalesce(F.bool_or(F.contains(text, F.lit(n))), F.lit(False)).alias(f"n{i}") for i, n in enumerate(needles)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("needle"), F.col(f"n{i}").alias("leaked")) for i, n in enumerate(needles)])).alias("p")).select("p.*")
 

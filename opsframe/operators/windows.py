@@ -165,7 +165,7 @@ def weak_labels(rows: DataFrame, thresholds: dict | None = None) -> DataFrame:
 
 def window_features(
     events: DataFrame, sizes: int | Sequence[int] = 5, drop_unreliable: bool = True, thresholds: dict | None = None,
-    maps: bool = True, offset_minutes: int = 330,
+    maps: bool = True, zone: str = "Asia/Kolkata",
 ) -> DataFrame:
     """Full feature and label rows for one or more bin sizes."""
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
@@ -177,7 +177,7 @@ def window_features(
     rows = rows.withColumn("port_flap_count", F.col("lineproto_up_count") + F.col("lineproto_down_count"))
     rows = rows.withColumn("window_end", F.col("window_start") + F.make_interval(mins=F.col("window_minutes")))
     for c in ("window_start", "window_end"):
-        rows = rows.withColumn(f"{c}_iso", iso_text(F.col(c), offset_minutes))
+        rows = rows.withColumn(f"{c}_iso", iso_text(F.col(c), zone))
     return weak_labels(rows, thresholds)
 
 

@@ -32,8 +32,7 @@ def ingest_logs(lines: DataFrame, config: IngestConfig = IngestConfig()) -> dict
     classified = logs.classify_noise(logs.clean_lines(lines))
     collapsed = logs.collapse_repeats(logs.kept_lines(classified))
     events = cut_lineage(logs.enrich(logs.dispatch_code(logs.parse_syslog(collapsed, config.zone))))
-    offset = logs.ZONE_OFFSET_MINUTES[config.zone]
-    make = lambda sizes: windows.window_features(events, sizes, config.drop_unreliable, dict(config.thresholds), offset_minutes=offset)
+    make = lambda sizes: windows.window_features(events, sizes, config.drop_unreliable, dict(config.thresholds), zone=config.zone)
     main = splits.split_by_position(make(config.minutes), ["window_start_iso", "hostname", "scope", "interface_id"], config.ratios, holdout=config.holdout)
     out = {
         "events": events, "dropped": logs.dropped_lines(classified), "duplicates": logs.collapsed_groups(collapsed), "windows": main,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,18 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_split_csv(spark: SparkSession, files: Mapping[str, str], schema: str | T.StructType, drop: Sequence[str] = (), label: str | None = None) -> DataFrame:
-    """One headered CSV per split, tagged and unioned; a missing label or an empty split is an error."""
+    """One headered CSV per split, tagged and unioned; columns are taken by header name and cast.
+
+    A declared column or label that a header lacks, and an empty split, are errors; values that do not cast are null.
+    """
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
     parts = []
     for split, path in files.items():
-        d = spark.read.csv(path, header=True, schema=schema)
-        if label and label not in d.columns:
-            raise ValueError(f"label column '{label}' not found in {path}")
+        raw = spark.read.csv(path, header=True)
+        absent = [c for c in [f.name for f in fields] + ([label] if label else []) if c not in raw.columns]
+        if absent:
+            raise ValueError(f"columns {absent} not found in {path}")
+        d = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
         if d.isEmpty():
             raise ValueError(f"no rows in {path}")
         parts.append(d.drop(*drop).withColumn("split", F.lit(split)))
@@ -32,8 +38,19 @@ def read_split_csv(spark: SparkSession, files: Mapping[str, str], schema: str |
 
 
 def read_headerless_csv(spark: SparkSession, files: Mapping[str, str], schema: str | T.StructType, drop: Sequence[str] = ()) -> DataFrame:
-    """Headerless CSV with declared columns; a row with another field count fails the read."""
-    return _union([spark.read.csv(p, schema=schema, mode="FAILFAST", enforceSchema=True).drop(*drop).withColumn("split", F.lit(s)) for s, p in files.items()])
+    """Headerless CSV with declared columns; a row with another field count fails any read, whatever columns it uses."""
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    parts = []
+    for split, path in files.items():
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        row = lines.select("value", F.from_csv("value", text.simpleString()[7:-1].replace(":", " "), {"escape": "\""}).alias("r"))
+        n = F.size(F.split(F.regexp_replace("value", '"(?:[^"]|"")*"', "q"), ",", -1))
+        bad = F.concat(F.lit(f"expected {len(fields)} fields: "), "value")
+        # the generated row keeps the check from being pruned with unused columns
+        kept = row.select(F.explode(F.array(F.when(n == len(fields), F.col("r")).otherwise(F.raise_error(bad).cast(text)))).alias("r"))
+        parts.append(kept.select(*[F.col(f"r.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields]).drop(*drop).withColumn("split", F.lit(split)))
+    return _union(parts)
 
 
 def read_capture_csvs(spark: SparkSession, paths: Sequence[str], schema_ddl: Mapping[str, str] | None = None) -> DataFrame:
@@ -79,9 +96,15 @@ def read_log_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("source"), ordinal.alias("ord"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
+def _path_parts() -> Column:
+    """Names on the way to a row's file, as ``p``; Spark gives paths URI-encoded, where a plus sign stays one."""
+    names = F.split(F.col("_metadata.file_path"), "/")
+    return F.transform(names, lambda n: F.url_decode(F.replace(n, F.lit("+"), F.lit("%2B")))).alias("p")
+
+
 def read_captures(spark: SparkSession, root: str, expected: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(captures, missing) under ``root/<snapshot>/<device>/<command>.txt``."""
-    whole = spark.read.text(f"{root}/*/*/*.txt", wholetext=True).select(F.split(F.col("_metadata.file_path"), "/").alias("p"), "value")
+    whole = spark.read.text(f"{root}/*/*/*.txt", wholetext=True).select(_path_parts(), "value")
     part = lambda i: F.element_at("p", i)
     named = whole.select(part(-3).alias("snapshot_id"), part(-2).alias("device"), F.regexp_replace(part(-1), r"\.txt$", "").alias("command"), "value")
     captures = named.select("snapshot_id", "device", "command", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
@@ -92,7 +115,7 @@ def read_captures(spark: SparkSession, root: str, expected: Sequence[str]) -> tu
 
 def read_manifests(spark: SparkSession, root: str, schema: str | T.StructType) -> DataFrame:
     """Run manifests under ``root/<dataset>/<model>/<run>/manifest.json``; unreadable files are skipped."""
-    whole = spark.read.text(f"{root}/*/*/*/manifest.json", wholetext=True).select(F.split(F.col("_metadata.file_path"), "/").alias("p"), F.from_json("value", schema).alias("m"))
+    whole = spark.read.text(f"{root}/*/*/*/manifest.json", wholetext=True).select(_path_parts(), F.from_json("value", schema).alias("m"))
     part = lambda i: F.element_at("p", i)
     return whole.where("m is not null").select(part(-4).alias("dataset"), part(-3).alias("model_type"), part(-2).alias("run_dir"), "m.*")
 
@@ -102,7 +125,9 @@ def fingerprint(df: DataFrame, source: str | None = None) -> DataFrame:
 
     Row digests are summed, so no file or group is ever held whole.
     """
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns if c != source]
+    # the separator and the escape are escaped, so that no two rows of cells read alike
+    plain = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+    cells = [F.coalesce(plain(F.col(f"`{c}`").cast("string")), F.lit("\x00")) for c in df.columns if c != source]
     d = df.select(F.col(source).cast("string").alias("source") if source else F.lit("all").alias("source"), F.concat_ws("|", *cells).alias("_row"))
     per = d.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), set_digest("_row").alias("digest"))
     total = per.agg(F.sum("rows").alias("rows"), F.sum("digest").cast("decimal(38,0)").alias("digest")).select(F.lit("__all__").alias("source"), "rows", "digest")

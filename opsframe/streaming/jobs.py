@@ -20,16 +20,27 @@ def _start(df: DataFrame, path: str, checkpoint: str, available_now: bool, parti
 
 def start_ingest(records: DataFrame, out: str, checkpoint: str, literals: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
     """Source records (any vendor parser's output, streaming) to redacted, normalised, routed events, one folder per source."""
-    events, _rejects = vendor.normalize_events(vendor.redact(records, literals))
+    events, _ = vendor.normalize_events(vendor.redact(records, literals))
     return _start(events, out, checkpoint, available_now, ["source_key"])
 
 
+def start_rejects(records: DataFrame, out: str, checkpoint: str, literals: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
+    """The records of the same stream that ``start_ingest`` can't normalise, redacted, with the reason."""
+    _, rejects = vendor.normalize_events(vendor.redact(records, literals))
+    return _start(rejects, out, checkpoint, available_now)
+
+
+def start_raw(records: DataFrame, out: str, checkpoint: str, literals: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
+    """All records of the stream, redacted, as they came."""
+    return _start(vendor.redact(records, literals), out, checkpoint, available_now)
+
+
 def stream_log_events(lines: DataFrame, zone: str = "Asia/Kolkata", delay: str = "10 minutes") -> DataFrame:
-    """Streaming lines to parsed events; exact repeats inside the watermark are dropped by event id."""
+    """Streaming lines to parsed events; every line counts, repeats too, as in the batch job's weights."""
     kept = logs.kept_lines(logs.classify_noise(logs.clean_lines(lines)))
     once = kept.withColumn("duplicate_count", F.lit(1).cast("long"))
     events = logs.enrich(logs.dispatch_code(logs.parse_syslog(once, zone)))
-    return windows.eligible(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["source", "event_id"])
+    return windows.eligible(events).withWatermark("ts", delay)
 
 
 def stream_window_features(events: DataFrame, minutes: int) -> DataFrame:
@@ -67,4 +78,4 @@ def start_monitoring(events: DataFrame, sink: Callable[[DataFrame, int], None],
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-__all__ = ["start_ingest", "start_monitoring", "start_window_features", "stream_log_events", "stream_window_features"]
+__all__ = ["start_ingest", "start_monitoring", "start_raw", "start_rejects", "start_window_features", "stream_log_events", "stream_window_features"]

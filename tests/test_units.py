@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsframe.functions import quantiles, ranking, scalars
-from opsframe.operators import encoding, learning, logs, metrics, series, tables, windows
+from opsframe.operators import encoding, learning, logs, metrics, series, tables, vendor, windows
 from opsframe.sources import readers, sinks
 
 SAMPLE = """=~=~=~= PuTTY log 2026.07.13 =~=~=~=
@@ -63,8 +63,11 @@ def test_narrowed_quantiles_match_sorting(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     small = quantiles.exact_quantiles(df, ["x"], probs)["x"]
-    narrowed = quantiles.exact_quantiles(df, ["x"], probs, exact_limit=50)["x"]
-    assert narrowed == pytest.approx(small)
+    narrowed = quantiles.exact_quantiles(df.withColumn("y", -F.col("x")), ["x", "y"], probs, bracket_rows=50)
+    assert narrowed["x"] == pytest.approx(small)
+    assert narrowed["y"] == pytest.approx([-q for q in quantiles.exact_quantiles(df, ["x"], [1 - p for p in probs])["x"]])
+    ordered = sorted(xs)
+    assert narrowed["x"][0] == ordered[0] and narrowed["x"][-1] == ordered[-1]
 
 
 def test_global_rank_is_total(spark):
@@ -78,6 +81,73 @@ def test_range_expansion_and_vlan_order(spark):
     assert row["r"] == [1, 10, 11, 12] and row["v"] == ["9", "10", "x"]
 
 
+def test_words_and_large_ids_survive_range_expansion(spark):
+    cell = spark.range(1).select(
+        scalars.expand_list(F.lit("5000,none,7-8, ALL ,9-1,0-99999999")).alias("l"), scalars.expand_ranges(F.lit("5000,none,7,0-99999999")).alias("r"),
+        scalars.sort_vlans(F.array(F.lit("1234567890123456"), F.lit("x"), F.lit("9"))).alias("v")).first()
+    assert cell["l"] == ["5000", "none", "7", "8", "ALL", "0-99999999"] and cell["r"] == [7, 5000] and cell["v"] == ["9", "1234567890123456", "x"]
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 2), ("a", 1, 5), (None, 2, 3)], "g string, o int, v int")
+    got = ranking.running_totals(df, ["o"], {"before": "v"}, ["g"]).orderBy("g", "o").collect()
+    assert [(r["g"], r["before"]) for r in got] == [(None, 0), (None, 2), ("a", 0)]
+
+
+def test_readers_check_their_files(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("b,a,label\n1,2,x\n")
+    row = readers.read_split_csv(spark, {"train": str(tmp_path / "s.csv")}, "a int, b int, label string", label="label").first()
+    assert (row["a"], row["b"]) == (2, 1)
+    with pytest.raises(ValueError):
+        readers.read_split_csv(spark, {"train": str(tmp_path / "s.csv")}, "a int, z int")
+    (tmp_path / "n.csv").write_text("1,2\n")
+    with pytest.raises(ValueError):
+        readers.read_split_csv(spark, {"train": str(tmp_path / "n.csv")}, "a int, label string", label="label")
+    (tmp_path / "h.csv").write_text('1,"tcp, ""q""",normal\n2,udp,x\n')
+    d = readers.read_headerless_csv(spark, {"train": str(tmp_path / "h.csv")}, "d int, p string, label string")
+    assert d.count() == 2 and d.where("d = 1").first()["p"] == 'tcp, "q"'
+    for text in ("1,tcp\n", "1,tcp,a,b\n"):
+        (tmp_path / "h.csv").write_text("2,udp,x\n" + text)
+        d = readers.read_headerless_csv(spark, {"train": str(tmp_path / "h.csv")}, "d int, p string, label string")
+        for action in (d.count, d.groupBy("d").count().collect):
+            with pytest.raises(Exception):
+                action()
+
+
+def test_captures_with_odd_names(spark, tmp_path):
+    folder = tmp_path / "caps" / "snap 1" / "dev a+b"
+    folder.mkdir(parents=True)
+    (folder / "mac table.txt").write_text("one\r\ntwo\n")
+    captures, missing = readers.read_captures(spark, str(tmp_path / "caps"), ["mac table", "trunk"])
+    rows = captures.where("line <> ''").orderBy("line_no").collect()
+    assert [(r["snapshot_id"], r["device"], r["command"], r["line"]) for r in rows] == [("snap 1", "dev a+b", "mac table", "one"), ("snap 1", "dev a+b", "mac table", "two")]
+    assert [r["command"] for r in missing.collect()] == ["trunk"]
+
+
+def test_leak_audit_sees_quotes_and_nested_values(spark):
+    df = spark.createDataFrame([('say a"b\\c', ["x", "tab\there"], {"k": "v"})], "t string, l array<string>, m map<string,string>")
+    got = {r["needle"]: r["leaked"] for r in vendor.leak_audit(df, ['a"b\\c', "tab\there", "v", "k", "absent"]).collect()}
+    assert got == {'a"b\\c': True, "tab\there": True, "v": True, "k": True, "absent": False}
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    one, two = (readers.fingerprint(spark.createDataFrame([r], "a string, b string")).first()["digest"] for r in (("a|b", "c"), ("a", "b|c")))
+    assert one != two
+
+
+def test_zone_with_daylight_saving(spark):
+    df = spark.createDataFrame([("2025-07-01 12:00:00",), ("2025-01-01 12:00:00",)], "t string").select(F.to_timestamp("t").alias("t"))
+    got = [r[0] for r in df.select(logs.iso_text(F.col("t"), "America/New_York")).collect()]
+    assert got == ["2025-07-01T12:00:00-04:00", "2025-01-01T12:00:00-05:00"]
+
+
+def test_columns_without_text_or_order(spark):
+    df = spark.sql("select cast(null as date) as d, map('a', 1) as m, cast(null as string) as s union all select date'2024-01-01', map('a', 1), 'x'")
+    out = tables.impute_categorical(df.drop("m"), "constant").collect()
+    assert {r["s"] for r in out} == {"x", "__missing__"} and None in {r["d"] for r in out}
+    assert tables.constant_columns(df) == ["m"]
+
+
 def test_dirty_table(spark):
     df = spark.createDataFrame([(1.0, "a", 7), (1.0, "a", 7), (float("inf"), None, 7), (None, "b", 7), (3.0, "b", 7)], "num double, cat string, const int")
     out, report = tables.clean(df)
