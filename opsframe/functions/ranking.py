@@ -1,81 +1,42 @@
 """Total orders, ranks and running totals without a single-task window.
 
-A global window would pull the table into one task. Here rows are first cut
-into key ranges of near-equal size, per-range totals are summed on a table of
-at most ``buckets`` rows per group, and ranks are finished inside each range.
+A global window would pull the table into one task. Here rows are first dealt
+into key ranges of near-equal size, as many as the session's shuffles have
+partitions; per-range totals are summed on a table of one row per range and
+group, and ranks are finished inside each range.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.session import cut_lineage
 
-BUCKETS = 256
-SAMPLES_PER_BUCKET = 16
 
+def in_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``_bucket``, the number of their range of ``keys``, ascending with them (null first).
 
-def cut_points(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> list[tuple]:
-    """Ascending key tuples that cut ``df`` into about equal ranges.
-
-    The keys with the smallest hashes form a uniform, repeatable sample of
-    bounded size; it only decides where to cut, every row is kept.
+    Written to the checkpoint folder: a plan that ran twice could sample other bounds.
     """
-    picked = (
-        df.select(*keys)
-        .orderBy(F.xxhash64(*keys), *keys)
-        .limit(buckets * SAMPLES_PER_BUCKET)
-        .orderBy(*keys)
-        .collect()
-    )
-    step = max(1, len(picked) // buckets)
-    bounds: list[tuple] = []
-    for row in picked[step::step]:
-        if not bounds or tuple(row) != bounds[-1]:
-            bounds.append(tuple(row))
-    return bounds
-
-
-def range_bucket(keys: Sequence[str], bounds: Sequence[tuple], types: Sequence[str]) -> Column:
-    """Bucket number by binary search over literal bounds."""
-    key = F.struct(*keys)
-
-    def bound(i: int) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, bounds[i], types)])
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bound(mid), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
-
-
-def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``, monotone in the (non-null) ``keys``."""
-    types = [df.schema[k].dataType.simpleString() for k in keys]
-    return df.withColumn("_bucket", range_bucket(keys, cut_points(df, keys, buckets), types))
-
-
-def running_totals(
-    df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), buckets: int = BUCKETS, costly: bool = False
-) -> DataFrame:
+    return cut_lineage(df.repartitionByRange(*keys).withColumn("_bucket", F.spark_partition_id()))
+
+
+def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), costly: bool = False) -> DataFrame:
     """Add, for each ``{out: source}``, the total of ``source`` over all earlier rows.
 
-    ``order`` must be unique inside ``by`` and not null. The input is read three times;
-    ``costly`` writes it to the checkpoint folder first.
+    ``order`` must be unique inside ``by``. The input is read twice, to find the ranges and to deal the
+    rows; ``costly`` writes it to the checkpoint folder first.
     """
-    df = cut_lineage(df) if costly else df
-    cut = with_bucket(df, [*by, *order], buckets)
+    cut = in_ranges(cut_lineage(df) if costly else df, [*by, *order])
     part = cut.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_b_{o}") for o, s in sums.items()])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = part.select(*by, "_bucket", *[F.coalesce(F.sum(f"_b_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
     if not by:
-        base = F.broadcast(base)  # at most ``buckets`` rows
+        base = F.broadcast(base)  # one row per range
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     same = [cut[c].eqNullSafe(base[c]) for c in [*by, "_bucket"]]  # a null group is a group
     out = cut.join(base, same).select(cut["*"], *[base[f"_b_{o}"] for o in sums])
@@ -84,17 +45,19 @@ def running_totals(
     return out.drop("_bucket", *[f"_b_{o}" for o in sums])
 
 
-def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rank", buckets: int = BUCKETS, costly: bool = False) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rank", costly: bool = False) -> DataFrame:
     """1-based position in a total order over the whole table or inside ``by``."""
-    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, {out: "_one"}, by, buckets, costly)
+    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, {out: "_one"}, by, costly)
     return ranked.withColumn(out, (F.col(out) + 1).cast("long")).drop("_one")
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), out: str = "rank", bits: int = 10) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), out: str = "rank", bits: int | None = None) -> DataFrame:
     """Seeded pseudo-random position inside ``by``; ``key`` must be unique.
 
-    Hash prefixes are uniform, so each (group, prefix) range stays even however large one group is.
+    Hash prefixes are uniform, so each (group, prefix) range stays even however large one group is. There
+    are at least four prefixes for each partition of the session's shuffles.
     """
+    bits = bits or max(10, math.ceil(math.log2(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     h = h.withColumn("_p", F.shiftright("_h", 64 - bits))
     part = h.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
