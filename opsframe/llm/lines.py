@@ -24,7 +24,7 @@ from opsframe.llm.common import whole, written
 
 DEPTH, PARTS = 2, 4
 MIN_TOKENS, WILD_TOKENS = 3, 10
-VARIABLE = r"\S*[0-9]\S*"
+VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 LAST = (1 << 63) - 1
 
 
@@ -35,8 +35,11 @@ def _document() -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """``doc, line_no, tokens`` of every line with a template."""
     every = docs.select(_document().alias("doc"), F.posexplode(F.split(whole("text"), "\n")).alias("line_no", "line"))
-    tokens = F.split(F.trim(F.regexp_replace(F.regexp_replace("line", VARIABLE, "*"), r"\s+", " ")), " ")
-    return every.select("doc", "line_no", tokens.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    line = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "*")).otherwise(F.col("line"))
+    tokens = F.split(F.trim(line, F.lit(" \t\r\f\x0b")), r"\s+")
+    # a generated row: the tokens are made once, however often they are used below
+    once = every.select("doc", "line_no", F.explode(F.array(tokens)).alias("tokens"))
+    return once.where(F.size("tokens") >= MIN_TOKENS)
 
 
 def template_keys(tokens: Column) -> Column:
@@ -47,11 +50,13 @@ def template_keys(tokens: Column) -> Column:
     runs = [F.xxhash64(F.slice(tokens, F.lit(DEPTH + 1) + width * i, width)) for i in range(PARTS)]
     exact = F.xxhash64(leaf, *runs)
     wild = [F.xxhash64(leaf, F.lit(i), *runs[:i], *runs[i + 1:]) for i in range(PARTS)]
-    return F.when(n >= WILD_TOKENS, F.array(exact, *wild)).otherwise(F.array(exact))
+    # all are made and then cut off, as columns inside a condition would be computed again and again
+    return F.slice(F.array(exact, *wild), 1, F.when(n >= WILD_TOKENS, PARTS + 1).otherwise(1))
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    return lines(docs).select("doc", "line_no", F.explode(template_keys(F.col("tokens"))).alias("key"))
+    keys = lines(docs).select("doc", "line_no", template_keys(F.col("tokens")).alias("keys"))
+    return keys.select("doc", "line_no", F.explode("keys").alias("key"))
 
 
 def recurring_templates(keys: DataFrame, min_docs: int = 2) -> DataFrame:
@@ -65,7 +70,7 @@ def recurring_templates(keys: DataFrame, min_docs: int = 2) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_docs: int = 2) -> DataFrame:
     """``doc`` and ``dropped``: numbers of the lines to drop, ascending, for documents that lose any."""
-    keys = line_keys(docs)
+    keys = written(line_keys(docs))  # read twice
     again = written(recurring_templates(keys, min_docs))
     gone = keys.join(again, "key").where("doc > first").select("doc", "line_no")
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
