@@ -117,7 +117,7 @@ def with_next(docs: DataFrame, given: Callable[[DataFrame], DataFrame], ranges:
     moved = [(first, starts[i - 1][0], 0 if i else 1) for i, (_, first) in enumerate(starts)]
     if starts:
         moved[0] = (starts[0][1], starts[-1][0], 1)
-    heads = spark.createDataFrame(moved, "order long, range int, wrap int")
+    heads = F.broadcast(spark.createDataFrame(moved, "order long, range int, wrap int"))  # one row a range
     copies = rows.drop("range").join(heads, "order").select("doc_id", "text", "order", "range", "wrap", F.lit(False).alias("own"))
     every = rows.select("doc_id", "text", "order", "range", F.lit(0).alias("wrap"), F.lit(True).alias("own")).union(copies)
     every = given(every)
