@@ -82,6 +82,11 @@ def variants(distinct: DataFrame) -> DataFrame:
     return out.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), "fp")
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Set bits of longs; of signed numbers numpy would count those of the absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Verified links that join the same fingerprints as all verified links do."""
     out, rest = [], fps
@@ -89,7 +94,7 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
+            near = _bits(rest ^ x) <= radius
             if near.any():
                 found = rest[near].tolist()
                 out += [(int(x), f) for f in found]
@@ -106,7 +111,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         two = starts[sizes == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+        two = two[_bits(fp[two] ^ fp[two + 1]) <= RADIUS]
         a, b = [fp[two]], [fp[two + 1]]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
             if got := spanning_links(fp[s:s + n]):
