@@ -42,21 +42,18 @@ def lines(docs: DataFrame) -> DataFrame:
     return once.where(F.size("tokens") >= MIN_TOKENS)
 
 
-def template_keys(tokens: Column) -> Column:
-    """Hashes of all templates of a line."""
-    n = F.size(tokens)
-    leaf = F.xxhash64(n, *[tokens[i] for i in range(DEPTH)])
-    width = F.ceil((n - DEPTH) / PARTS).cast("int")
-    runs = [F.xxhash64(F.slice(tokens, F.lit(DEPTH + 1) + width * i, width)) for i in range(PARTS)]
-    exact = F.xxhash64(leaf, *runs)
-    wild = [F.xxhash64(leaf, F.lit(i), *runs[:i], *runs[i + 1:]) for i in range(PARTS)]
-    # all are made and then cut off, as columns inside a condition would be computed again and again
-    return F.slice(F.array(exact, *wild), 1, F.when(n >= WILD_TOKENS, PARTS + 1).otherwise(1))
-
-
 def line_keys(docs: DataFrame) -> DataFrame:
-    keys = lines(docs).select("doc", "line_no", template_keys(F.col("tokens")).alias("keys"))
-    return keys.select("doc", "line_no", F.explode("keys").alias("key"))
+    """``doc, line_no, key``: hashes of all templates of every line."""
+    tokens, n = F.col("tokens"), F.size("tokens")
+    width = F.ceil((n - DEPTH) / PARTS).cast("int")
+    parts = {f"run{i}": F.xxhash64(F.slice(tokens, F.lit(DEPTH + 1) + width * i, width)) for i in range(PARTS)}
+    # plain columns: inside the generator the hashes would be computed again for every template
+    hashed = lines(docs).select("doc", "line_no", n.alias("n"), F.xxhash64(n, *[tokens[i] for i in range(DEPTH)]).alias("leaf"), *[h.alias(c) for c, h in parts.items()])
+    runs = list(parts)
+    exact = F.xxhash64("leaf", *runs)
+    wild = [F.xxhash64(F.col("leaf"), F.lit(i), *runs[:i], *runs[i + 1:]) for i in range(PARTS)]
+    keys = F.when(F.col("n") >= WILD_TOKENS, F.array(exact, *wild)).otherwise(F.array(exact))
+    return hashed.select("doc", "line_no", F.explode(keys).alias("key"))
 
 
 def recurring_templates(keys: DataFrame, min_docs: int = 2) -> DataFrame:
