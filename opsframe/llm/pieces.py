@@ -45,7 +45,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 class Pieces:
     """Pieces of a BPE model with byte fallback, and the ids of the units seen so far."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -143,7 +143,7 @@ class Pieces:
         end = start + self.sizes[which]
         order = np.lexsort((start, end))
         starts, ends, ids = start[order].tolist(), end[order].tolist(), self.sorted_ids[which[order]].tolist()
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         known, at, edge, total = self.pairs.get, 0, 0, len(ends)
         ends.append(1 << 62)
@@ -207,7 +207,7 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.array([np.array(r, np.int32) for r in rows], pa.list_(pa.int32()))
 
 
-def encode(docs: DataFrame, model: str, rows: int = 2000) -> DataFrame:
+def encode(docs: DataFrame, model: str, rows: int = 400) -> DataFrame:
     """``doc_id`` and ``ids`` of every row; ``rows`` texts are matched at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
