@@ -10,10 +10,9 @@ logistic function fitted to held-back labelled rows turns them into a score from
 
 What is learned from: all labelled rows that the caller marks for training. At most ``calibration_rows``
 of them, and at most a quarter, fit the logistic function (a bounded sample, those with the smallest hash
-of ``doc_id``); all others are counted. Counts are tables that grow with the input. For scoring, every
-cell of a fixed number of ``CELLS`` keeps the most frequent n-gram that falls into it, with a tag to tell
-it from others and its evidence in thousandths; what finds no place is scored by its shared backoff alone.
-Those 16 MB are all that is broadcast at any size of the corpus, besides labels: the label table is
+of ``doc_id``); all others are counted. Counts and evidence are written tables that grow with the input.
+For scoring, the distinct words' n-grams are joined with the evidence table, and the words' sums with
+batches of documents, which hold each distinct word once with the rows that have it. The label table is
 broadcast up to ``BROADCAST_LABELS`` rows and joined by a shuffle beyond.
 
 Null and empty texts have no words: all features are 0, and the score is the logistic function's. Repeated rows are scored alike; repeated labels of a document count once, toxic if any is.
@@ -28,26 +27,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import slices, whole, written
 
 TOP, SHARED, DISCOUNT, LONG_WORD, MIN_COUNT = 12, 5, 0.75, 24, 2
-CELLS, RANGE = 1 << 22, 1 << 16
 CALIBRATION_ROWS, BROADCAST_LABELS = 20_000, 1_000_000
 WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 CHAR_BITS = 12
-#: Thousandths of evidence are kept as 16 bits above this value.
-ZERO = 1 << 15
 FEATURES = ["mean_evidence", "top_1", "top_2", "top_3", "log_words"]
 #: Values that bring the features near -1 to 1, and the prior weights (constant first).
 CENTRE, SCALE = np.array([0.0, 8.0, 6.0, 5.0, 6.0]), np.array([1.0, 4.0, 4.0, 4.0, 1.5])
@@ -149,7 +144,7 @@ def shared_backoff(top: DataFrame) -> DataFrame:
 
 
 def evidence(top: DataFrame) -> DataFrame:
-    """``hash, weight, llr``: log-likelihood differences of n-grams, and of contexts for unseen n-grams."""
+    """``hash, llr``: log-likelihood differences of n-grams, and of contexts for unseen n-grams."""
     context = Window.partitionBy("context")  # at most one row for each character that can follow
     rows = top.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT).join(shared_backoff(top), "shared")
     rows = rows.withColumns({f"{c}_total": F.sum(c).over(context) for c in ("toxic", "ordinary")})
@@ -162,89 +157,125 @@ def evidence(top: DataFrame) -> DataFrame:
         own = F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
         return own + left(c) * F.col("p")
 
-    seen = rows.select(F.col("gram").alias("hash"), (F.col("toxic") + F.col("ordinary")).alias("weight"), F.log(prob("toxic") / prob("ordinary")).alias("llr"))
-    unseen = rows.groupBy(F.col("context").alias("hash")).agg(
-        F.sum(F.col("toxic") + F.col("ordinary")).alias("weight"), F.max(F.log(left("toxic") / left("ordinary"))).alias("llr"))
+    seen = rows.select(F.col("gram").alias("hash"), F.log(prob("toxic") / prob("ordinary")).alias("llr"))
+    unseen = rows.groupBy(F.col("context").alias("hash")).agg(F.max(F.log(left("toxic") / left("ordinary"))).alias("llr"))
     return seen.union(unseen)
 
 
+def word_grams(words: DataFrame) -> DataFrame:
+    """``id, size, gram, context`` for every character of every word, and its end."""
+    names = ["id", "size", "gram", "context"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 5_000):
+            word, top, context, _ = grams(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(b.column(i).to_numpy()[word]) for i in range(2)), pa.array(top), pa.array(context)], names=names)
+
+    rows = words.select(word_id().alias("id"), F.char_length("word").cast("long").alias("size"), "word")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def word_id() -> Column:
+    return F.xxhash64("word")
+
+
 @dataclass(frozen=True)
 class Evidence:
-    """Fixed-size look-up of log-likelihood differences by n-gram hash: a tag and thousandths in each cell."""
+    """Written table of ``hash`` and ``llr``: log-likelihood differences of n-grams and contexts."""
 
-    cells: np.ndarray
+    table: DataFrame
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = self.cells[hashes & (len(self.cells) - 1)]
-        return cell >> 16 == hashes >> 48, ((cell & 0xFFFF) - ZERO) / 1000
+    def values(self, words: DataFrame) -> DataFrame:
+        """``id, value``: evidence for the toxic class of every one of the distinct ``word``."""
+        own = self.table.select(F.col("hash").alias("gram"), F.col("llr").alias("own"))
+        back = self.table.select(F.col("hash").alias("context"), F.col("llr").alias("back"))
+        each = word_grams(words).join(own, "gram", "left").join(back, "context", "left")
+        value = F.sum(F.coalesce("own", "back", F.lit(0.0))) * F.least(F.lit(1.0), LONG_WORD / F.min("size"))
+        return each.groupBy("id").agg(value.alias("value"))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Evidence of every word for the toxic class."""
-        word, top, context, _ = grams(words)
-        hit, value = self._find(top)
-        known, back = self._find(context)
-        each = np.where(hit, value, np.where(known, back, 0.0))
-        size = np.array([len(w) for w in words])
-        return np.bincount(word, each, len(words)) * np.minimum(1.0, LONG_WORD / np.maximum(size, 1))
-
-
-def fit_evidence(labelled: DataFrame, cells: int = CELLS) -> Evidence:
-    """Both models from rows ``toxic`` (1 or 0) and ``text``."""
-    top = written(gram_counts(word_counts(labelled)))
-    size = min(RANGE, cells)
-    cell = F.col("hash").bitwiseAND(cells - 1)
-    thousandths = F.round(F.least(F.greatest(F.col("llr"), F.lit(-32.0)), F.lit(32.0)) * 1000).cast("long") + ZERO
-    # weight, tag and evidence in one long: the largest is that of the most frequent n-gram
-    packed = F.least(F.col("weight"), F.lit((1 << 31) - 1)) * (1 << 32) + F.shiftrightunsigned("hash", 48) * (1 << 16) + thousandths
-    best = evidence(top).groupBy(cell.alias("cell")).agg(F.max(packed).alias("best"))
-
-    def pack(rows: pa.Table) -> pa.Table:
-        values = np.full(size, ZERO, np.uint32)
-        at = rows.column("cell").to_numpy()
-        values[at % size] = (rows.column("best").to_numpy() & 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"part": pa.array([int(at[0]) // size], pa.int64()), "values": pa.array([values.tobytes()], pa.binary())})
-
-    parts = best.withColumn("part", F.floor(F.col("cell") / size)).groupBy("part").applyInArrow(pack, "part long, values binary")
-    out = np.full(cells, ZERO, np.uint32)
-    for row in parts.collect():  # cells / RANGE rows at most
-        out[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["values"], np.uint32)
-    return Evidence(out.view(np.int32))
-
-
-def document_features(words: list[str], known: dict[str, float]) -> tuple[float, ...]:
-    if not words:
-        return 0.0, 0.0, 0.0, 0.0, 0.0
-    counts = Counter(words)
-    values = [(known[w], n) for w, n in counts.items()]
-    top = [v for v, n in nlargest(3, values) for _ in range(min(n, 3))] + [0.0, 0.0]
-    return sum(v * n for v, n in values) / len(words), *top[:3], math.log(len(words))
-
-
-def feature_rows(texts: list[str], known: dict[str, float], model: Evidence, limit: int = 300_000) -> tuple[list[int], np.ndarray]:
-    """Number of words and ``FEATURES`` of every text; ``known`` keeps the evidence of words."""
-    words = [WORD.findall(t.lower()) for t in texts]
-    if len(known) > limit:
-        known.clear()
-    new = [w for w in set().union(*words) if w not in known]
-    for at in range(0, len(new), 20_000):
-        known.update(zip(new[at:at + 20_000], model.words(new[at:at + 20_000]).tolist()))
-    values = [document_features(w, known) for w in words]
-    return [len(w) for w in words], np.array(values, float).reshape(-1, len(FEATURES))
-
-
-def features(docs: DataFrame, model: Broadcast, *keep: str) -> DataFrame:
-    """``keep`` columns (longs) of every row with ``n_words`` and ``FEATURES``."""
+        """Evidence of a few words."""
+        asked = self.table.sparkSession.createDataFrame([(w,) for w in set(words)], "word string")
+        found = {r["word"]: r["value"] for r in asked.withColumn("id", word_id()).join(self.values(asked), "id").collect()}
+        return np.array([found[w] for w in words])
 
+
+def fit_evidence(labelled: DataFrame, cells: int | None = None) -> Evidence:
+    """Both models from rows ``toxic`` (1 or 0) and ``text``. ``cells`` bounds nothing any more."""
+    return Evidence(written(evidence(written(gram_counts(word_counts(labelled))))))
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        seen: set[str] = set()
         for b in slices(batches):
-            n_words, values = feature_rows(b.column(len(keep)).to_pylist(), known, model.value)
-            columns = [pa.array(n_words, pa.int64()), *(pa.array(c) for c in values.T)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *columns], names=[*keep, "n_words", *FEATURES])
+            for text in b.column(0).to_pylist():
+                seen.update(WORD.findall(text.lower()))
+            if len(seen) > 300_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+
+    return docs.select(whole("text")).mapInArrow(run, "word string").distinct()
+
+
+POSTINGS = "batch long, word string, row array<int>, times array<int>, ids array<long>"
 
-    kinds = [f"{k} long" for k in [*keep, "n_words"]] + [f"{k} double" for k in FEATURES]
-    source = docs.select(*[F.col(k).cast("long").alias(k) for k in keep], whole("text").alias("text"))
-    return source.mapInArrow(run, ", ".join(kinds))
+
+def postings(docs: DataFrame, keep: str) -> DataFrame:
+    """The rows in batches: each distinct word of a batch with its rows and how often they have it.
+
+    One more line for each batch, whose word has a blank and so is none, holds the rows' ``keep`` (longs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ints = TaskContext.get().partitionId(), pa.list_(pa.int32())
+        for k, b in enumerate(slices(batches)):
+            batch, index = task << 32 | k, {}
+            ids = [[index.setdefault(w, len(index)) for w in WORD.findall(t.lower())] for t in b.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            both, times = np.unique(np.fromiter((i for x in ids for i in x), np.int64, len(rows)) * len(ids) + rows, return_counts=True)
+            ends = pa.array(np.r_[np.searchsorted(both, np.arange(len(index) + 1) * len(ids)), len(both)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (both % max(1, len(ids)), times)]
+            kept = pa.array([*[None] * len(index), b.column(0).to_pylist()], pa.list_(pa.int64()))
+            words = pa.array([*index, f" {batch}"], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(words), batch)), words, *(x.cast(ints) for x in lists), kept], names=["batch", "word", "row", "times", "ids"])
+
+    return docs.select(F.col(keep).cast("long").alias("id"), whole("text").alias("text")).mapInArrow(run, POSTINGS)
+
+
+def batch_features(row: np.ndarray, times: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words and ``FEATURES`` of ``n`` rows from their distinct words."""
+    n_words = np.bincount(row, times, n)
+    x = np.zeros((n, len(FEATURES)))
+    x[:, 0] = np.bincount(row, times * value, n) / np.maximum(n_words, 1)
+    again = np.minimum(times, 3)
+    r, v = np.repeat(row, again), np.repeat(value, again)
+    order = np.lexsort((-v, r))
+    r, v = r[order], v[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    x[r[place < 3], 1 + place[place < 3]] = v[place < 3]
+    x[:, 4] = np.log(np.maximum(n_words, 1))
+    return n_words.astype(np.int64), x
+
+
+def features(docs: DataFrame, model: Evidence, keep: str) -> DataFrame:
+    """Column ``keep`` (a long) of every row with ``n_words`` and ``FEATURES``. ``docs`` is read twice."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        batch = batch.combine_chunks()
+        ids = next(x for x in batch.column("ids").to_pylist() if x is not None)
+        size = batch.column("row").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        row, times = (batch.column(c).combine_chunks().flatten().to_numpy() for c in ("row", "times"))
+        n_words, x = batch_features(row, times, np.repeat(batch.column("value").to_numpy(), size), len(ids))
+        return pa.table([pa.array(ids, pa.int64()), pa.array(n_words), *(pa.array(c) for c in x.T)], names=[keep, "n_words", *FEATURES])
+
+    value = written(model.values(distinct_words(docs)))
+    rows = postings(docs, keep).withColumn("id", word_id()).drop("word").join(value, "id", "left")
+    rows = rows.select("batch", "row", "times", "ids", F.coalesce("value", F.lit(0.0)).alias("value"))
+    kinds = [f"{k} long" for k in (keep, "n_words")] + [f"{k} double" for k in FEATURES]
+    return rows.groupBy("batch").applyInArrow(run, ", ".join(kinds))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 0.05, steps: int = 50) -> np.ndarray:
@@ -263,30 +294,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 0.05, steps: in
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    evidence: Broadcast
+    evidence: Evidence
     weights: tuple[float, ...]
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, score, n_words`` and the features of every row."""
+    def _scored(self, docs: DataFrame, keep: str) -> DataFrame:
         z = F.lit(self.weights[0])
         for name, centre, scale, weight in zip(FEATURES, CENTRE.tolist(), SCALE.tolist(), self.weights[1:]):
             z = z + (F.col(name) - centre) * (weight / scale)
-        rows = features(docs, self.evidence, "doc_id")
-        return rows.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), "n_words", *FEATURES)
-
-    def keep_below(self, docs: DataFrame, score: float) -> DataFrame:
-        """The rows of ``docs`` that score below ``score``, where they lie and with all columns."""
-        text, model = docs.columns.index("text"), self.evidence
-        weights = np.array(self.weights)
+        rows = features(docs, self.evidence, keep)
+        return rows.select(keep, (1 / (1 + F.exp(-z))).alias("score"), "n_words", *FEATURES)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, float] = {}
-            for b in slices(batches):
-                x = feature_rows([t or "" for t in b.column(text).to_pylist()], known, model.value)[1]
-                z = weights[0] + ((x - CENTRE) / SCALE) @ weights[1:]
-                yield b.filter(pa.array(z < math.log(score / (1 - score))))
+    def score(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, score, n_words`` and the features of every row."""
+        return self._scored(docs, "doc_id")
 
-        return docs.mapInArrow(run, docs.schema)
+    def keep_below(self, docs: DataFrame, score: float) -> DataFrame:
+        """The rows of ``docs`` that score below ``score``, with all columns; equal texts score alike."""
+        key = F.xxhash64(whole("text"))
+        gone = written(self._scored(docs.select(key.alias("key"), "text"), "key").where(F.col("score") >= score).select("key").distinct())
+        rows = docs.select(F.struct("*").alias("_row"), key.alias("key"))
+        return rows.join(gone, "key", "left_anti").select("_row.*")
 
 
 def fold(doc_id: Column) -> Column:
@@ -296,7 +323,6 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
     """Model from the rows of ``docs`` whose id has a ``toxic`` label and fulfils ``use`` (all by default)."""
-    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if use is not None:
@@ -309,7 +335,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, calibra
     if use is not None:
         texts = texts.where(use)
     rows = written(texts.join(known, "doc_id").select("doc_id", "toxic", (cut < math.floor(share * (1 << 30))).alias("held"), "text"))
-    model = spark.sparkContext.broadcast(fit_evidence(rows.where("not held").select("toxic", "text")))
-    sample = features(rows.where("held").orderBy(cut).limit(2 * calibration_rows), model, "toxic").select("toxic", *FEATURES).toPandas()
+    model = fit_evidence(rows.where("not held").select("toxic", "text"))
+    held = written(rows.where("held").orderBy(cut).limit(2 * calibration_rows).select("toxic", "text"))
+    sample = features(held, model, "toxic").toPandas()
     weights = fit_logistic(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float))
     return ToxicityModel(model, tuple(float(w) for w in weights))

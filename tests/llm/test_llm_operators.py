@@ -426,6 +426,22 @@ def test_evidence_of_small_models(spark):
     assert x > a > e
 
 
+def test_evidence_of_every_counted_ngram_is_kept(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(400)]
+    rows = [(i % 2, " ".join(words[i::2] * 2)) for i in range(2)]
+    labelled = spark.createDataFrame(rows, "toxic int, text string")
+    each = toxicity.fit_evidence(labelled, cells=1 << 4).words(words)  # 16 cells once kept 16 n-grams
+    assert all((x < 0) if i % 2 == 0 else (x > 0) for i, x in enumerate(each))
+
+
+def test_batch_features_equal_counts_by_document():
+    row, times, value = np.array([0, 0, 2, 2, 2, 2]), np.array([5, 1, 1, 2, 1, 1]), np.array([-1.0, 2.0, 0.5, 3.0, -2.0, 1.0])
+    n_words, x = toxicity.batch_features(row, times, value, 3)
+    assert n_words.tolist() == [6, 0, 5]
+    assert np.allclose(x, [[-0.5, 2, -1, -1, math.log(6)], [0, 0, 0, 0, 0], [1.1, 3, 3, 1, math.log(5)]])
+
+
 def test_toxicity_odd(odd, spark):
     labels = spark.createDataFrame([(4, 0), (5, 1), (5, 0)], "doc_id long, toxic int")
     for known in (labels, labels.where("false")):
