@@ -3,7 +3,7 @@
 Each class (toxic, ordinary) has interpolated Kneser-Ney probabilities: its own counts of n-grams of
 ``TOP`` characters, and below them one chain of continuation counts, from ``SHARED`` characters down,
 that both classes share, so expressions that are rare in a class take their probability from the shared
-counts; n-grams of ``TOP`` characters that occur less than ``MIN_COUNT`` times have no others. A word's evidence is the difference of its log-likelihoods under both models; words over
+counts. N-grams seen once count like all others. A word's evidence is the difference of its log-likelihoods under both models; words over
 ``LONG_WORD`` characters are normalised to that length. A document is described by its mean evidence per
 word, its three strongest words (one word up to three times) and the logarithm of its length, and a
 logistic function fitted to held-back labelled rows turns them into a score from 0 to 1.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.common import slices, whole, written
 
-TOP, SHARED, DISCOUNT, LONG_WORD, MIN_COUNT = 12, 5, 0.75, 24, 2
+TOP, SHARED, DISCOUNT, LONG_WORD = 12, 5, 0.75, 24
 CALIBRATION_ROWS, BROADCAST_LABELS = 20_000, 1_000_000
 WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
@@ -126,7 +126,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 def shared_backoff(top: DataFrame) -> DataFrame:
     """``shared`` and ``p``: continuation probability of every n-gram of ``SHARED`` characters."""
     last = lambda k: F.col("shared").bitwiseAND((1 << CHAR_BITS * k) - 1)
-    levels = {SHARED: top.groupBy("shared").agg(F.count("*").alias("n"))}
+    levels = {SHARED: written(top.groupBy("shared").agg(F.count("*").alias("n")))}  # read once a level
     for k in range(SHARED - 1, 0, -1):
         levels[k] = levels[k + 1].groupBy(last(k).alias("shared")).agg(F.count("*").alias("n"))
     p = None
@@ -144,22 +144,21 @@ def shared_backoff(top: DataFrame) -> DataFrame:
 
 
 def evidence(top: DataFrame) -> DataFrame:
-    """``hash, llr``: log-likelihood differences of n-grams, and of contexts for unseen n-grams."""
-    context = Window.partitionBy("context")  # at most one row for each character that can follow
-    rows = top.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT).join(shared_backoff(top), "shared")
-    rows = rows.withColumns({f"{c}_total": F.sum(c).over(context) for c in ("toxic", "ordinary")})
-    rows = rows.withColumns({f"{c}_kinds": F.count_if(F.col(c) > 0).over(context) for c in ("toxic", "ordinary")})
+    """``context, back, grams``: log-likelihood differences of a context's n-grams, and ``back`` of unseen ones."""
+    classes = ("toxic", "ordinary")
+    totals = [F.sum(c).alias(f"{c}_total") for c in classes] + [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in classes]
+    grams = F.collect_list(F.struct("gram", *classes, "p"))  # at most one for each character that can follow
+    rows = top.join(shared_backoff(top), "shared").groupBy("context").agg(grams.alias("grams"), *totals)
 
     def left(c: str) -> Column:
         return F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0)
 
-    def prob(c: str) -> Column:
-        own = F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
-        return own + left(c) * F.col("p")
+    def prob(c: str, g: Column) -> Column:
+        own = F.when(F.col(f"{c}_total") > 0, F.greatest(g[c] - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
+        return own + left(c) * g["p"]
 
-    seen = rows.select(F.col("gram").alias("hash"), F.log(prob("toxic") / prob("ordinary")).alias("llr"))
-    unseen = rows.groupBy(F.col("context").alias("hash")).agg(F.max(F.log(left("toxic") / left("ordinary"))).alias("llr"))
-    return seen.union(unseen)
+    seen = F.transform("grams", lambda g: F.struct(g["gram"], F.log(prob("toxic", g) / prob("ordinary", g))))
+    return rows.select("context", F.log(left("toxic") / left("ordinary")).alias("back"), F.map_from_entries(seen).alias("grams"))
 
 
 def word_grams(words: DataFrame) -> DataFrame:
@@ -181,16 +180,14 @@ def word_id() -> Column:
 
 @dataclass(frozen=True)
 class Evidence:
-    """Written table of ``hash`` and ``llr``: log-likelihood differences of n-grams and contexts."""
+    """Written table of ``evidence``."""
 
     table: DataFrame
 
     def values(self, words: DataFrame) -> DataFrame:
         """``id, value``: evidence for the toxic class of every one of the distinct ``word``."""
-        own = self.table.select(F.col("hash").alias("gram"), F.col("llr").alias("own"))
-        back = self.table.select(F.col("hash").alias("context"), F.col("llr").alias("back"))
-        each = word_grams(words).join(own, "gram", "left").join(back, "context", "left")
-        value = F.sum(F.coalesce("own", "back", F.lit(0.0))) * F.least(F.lit(1.0), LONG_WORD / F.min("size"))
+        each = word_grams(words).join(self.table, "context", "left")
+        value = F.sum(F.coalesce(F.try_element_at("grams", F.col("gram")), "back", F.lit(0.0))) * F.least(F.lit(1.0), LONG_WORD / F.min("size"))
         return each.groupBy("id").agg(value.alias("value"))
 
     def words(self, words: list[str]) -> np.ndarray:

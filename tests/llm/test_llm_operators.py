@@ -435,6 +435,16 @@ def test_evidence_of_every_counted_ngram_is_kept(spark):
     assert all((x < 0) if i % 2 == 0 else (x > 0) for i, x in enumerate(each))
 
 
+def test_ngrams_seen_once_are_evidence(spark):
+    rows = [(1, "stone stone zorgat"), (0, "stone stone river")]
+    labelled = spark.createDataFrame(rows, "toxic int, text string")
+    model = toxicity.fit_evidence(labelled)
+    bad, good = model.words(["zorgat", "river"])
+    assert bad > 1 and good < -1  # each occurs once
+    top = toxicity.gram_counts(toxicity.word_counts(labelled)).select("gram", "context")
+    assert {(g, r["context"]) for r in model.table.collect() for g in r["grams"]} == {tuple(r) for r in top.collect()}
+
+
 def test_batch_features_equal_counts_by_document():
     row, times, value = np.array([0, 0, 2, 2, 2, 2]), np.array([5, 1, 1, 2, 1, 1]), np.array([-1.0, 2.0, 0.5, 3.0, -2.0, 1.0])
     n_words, x = toxicity.batch_features(row, times, value, 3)
