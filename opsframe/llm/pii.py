@@ -32,7 +32,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_GROUP = re.compile(r" ?[A-Z0-9]+")
+#: Characters by country; of several valid ends the one of this length is taken.
+IBAN_SIZE = {k: int(n) for n, ks in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for k in ks.split(",")}
 NATIONAL = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 
@@ -64,6 +70,25 @@ def mod97(code: str) -> bool:
     return rest == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Every group end of 15 to 34 characters after a start is tried; failed starts take nothing with them."""
+    done = 0
+    for m in IBAN.finditer(text):
+        start, at, code, ends = m.start(), m.end(), m[0], []
+        if start < done:
+            continue
+        while len(code) <= 34:
+            if len(code) >= 15 and not (at < len(text) and text[at].isascii() and text[at].isalnum()) and mod97(code):
+                ends.append((len(code) != IBAN_SIZE.get(code[:2]), at))
+            group = IBAN_GROUP.match(text, at, at + 32)
+            if not group:
+                break
+            at, code = group.end(), code + group[0].strip()
+        if ends:
+            done = min(ends)[1]
+            yield start, done
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -104,10 +129,7 @@ def _context(kind: str, text: str, start: int, end: int) -> float:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], min_score: float) -> list[tuple[str, int, int, float]]:
-    found = []
-    for m in IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            found.append(("iban", m.start(), m.end(), CHECKSUM_GAIN))
+    found = [("iban", i, j, CHECKSUM_GAIN) for i, j in _ibans(text)]
     for m in NATIONAL.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             found.append(("national_id", m.start(), m.end(), 0.0))

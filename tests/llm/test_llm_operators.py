@@ -548,6 +548,17 @@ def test_added_kinds_need_proof():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_iban_ends_before_what_follows():
+    found = lambda t: [t[i:j] for k, i, j, _ in pii.find_spans(t) if k == "iban"]
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    for iban, rest in ((de, " BIC COBADEFFXXX"), (spaced, " EUR 50"), (gb, " 2024"), (no, " A B C"), (gb, "."), (spaced, " Now")):
+        assert found(f"IBAN {iban}{rest}") == [iban], rest
+    assert found(f"AB12 {de} {gb} {no}") == [de, gb, no] and found(de + "X") == found("X" + de) == []
+    assert found(de[:-1] + "1 EUR 50") == [] and found(de + "x") == []
+    assert found("DE12 " * 50_000 + de) == [de] and found("AB12" * 50_000) == []
+
+
 def test_masks_and_odd(odd, spark):
     assert pii.mask("write to a@b.de or +1 (555) 010-9999!") == "write to [EMAIL] or [PHONE]!"
     out = pii.redact(odd.withColumn("n_chars", F.lit(9).cast("long")))
