@@ -8,6 +8,11 @@ its purity, the smoothed share of blocked urls, exceeds ``max_purity``. Smoothin
 the next level's purity: template, host, templates of the same form on all hosts, and at last one half. Urls
 that a rule judges are the labelled ones, unless the caller passes labels.
 
+With ``siblings`` branches are not compared with their host but with each other: of one parent's labelled
+branches, in the order of their blocked share, each is merged with those before it unless a two-sample test
+tells them apart. A template's purity is smoothed along its branches from the host down. A template without
+labels is unknown: it has the purity of its form on all hosts, smoothed towards all labelled urls.
+
 Null urls and urls without ``://`` have empty host and path, fit no rule and fall to the tree, where they
 share one template. Repeated rows are judged alike. Every step is a grouped count or an equi-join whose
 rows are combined first, so a host with a third of all urls is summed in parts.
@@ -15,6 +20,8 @@ rows are combined first, so a host with a third of all urls is summed in parts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,9 +101,60 @@ def template_purity(labelled: DataFrame, alpha: float = 4.0, merge_z: float = 1.
         "host", "form", F.when(merged, F.col("p_host")).otherwise(smooth("", F.col("p_host"))).alias("purity"), merged.alias("merged"))
 
 
+def alike(a: tuple[int, int], b: tuple[int, int], merge_z: float) -> bool:
+    """Two-sample test of (blocked, allowed) counts."""
+    m, n = sum(a), sum(b)
+    pooled = (a[0] + b[0]) / (m + n)
+    return abs(a[0] / m - b[0] / n) < merge_z * math.sqrt(pooled * (1 - pooled) * (1 / m + 1 / n)) or pooled in (0, 1)
+
+
+def merge_siblings(branches: list, merge_z: float) -> list[tuple[str, bool, int, int, bool]]:
+    """``(node, leaf, blocked, allowed, merged)`` with the counts of what each labelled branch is merged with."""
+    groups: list[tuple[list, int, int]] = []
+    for node, leaf, b, a in sorted(branches, key=lambda x: (x[2] / (x[2] + x[3]), x[0], x[1])):
+        if groups and alike(groups[-1][1:], (b, a), merge_z):
+            members, gb, ga = groups[-1]
+            groups[-1] = ([*members, (node, leaf)], gb + b, ga + a)
+        else:
+            groups.append(([(node, leaf)], b, a))
+    return [(*m, b, a, len(members) > 1) for members, b, a in groups for m in members]
+
+
+def sibling_purity(labelled: DataFrame, alpha: float = 4.0, merge_z: float = 1.96) -> DataFrame:
+    """As ``template_purity``, with branches merged among siblings and unlabelled ones unknown."""
+    by = labelled.groupBy("host", "form").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+
+    def smooth(b: Column, a: Column, prior: Column) -> Column:
+        return (b + alpha * prior) / (b + a + alpha)
+
+    total = by.agg(F.sum("blocked").alias("all_b"), F.sum("allowed").alias("all_a")).select(
+        smooth(F.coalesce("all_b", F.lit(0)), F.coalesce("all_a", F.lit(0)), F.lit(0.5)).alias("p_all"))
+    forms = by.groupBy("form").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).crossJoin(F.broadcast(total))
+    forms = forms.select("form", smooth(F.col("b"), F.col("a"), F.col("p_all")).alias("p_form"))
+    hosts = by.groupBy("host").agg(F.sum("blocked").alias("host_b"), F.sum("allowed").alias("host_a"))
+    segs = F.split(F.expr("substring(form, 2)"), "/")
+    prefix = lambda k: F.concat(F.lit("/"), F.array_join(F.slice(segs, 1, k), "/"))
+    steps = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.struct(
+        k.alias("level"), prefix(k).alias("node"), (k == F.size(segs)).alias("leaf"), F.when(k > 1, prefix(k - 1)).otherwise("").alias("parent")))
+    steps = by.where("blocked + allowed > 0").select("host", "form", "blocked", "allowed", F.explode(steps).alias("s")).select("host", "form", "blocked", "allowed", "s.*")
+    nodes = steps.groupBy("host", "parent", "node", "leaf").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+    kind = "array<struct<node:string,leaf:boolean,b:long,a:long,merged:boolean>>"
+    # few literal branches of one parent are left by templates(), so the list is short
+    siblings = nodes.groupBy("host", "parent").agg(F.collect_list(F.struct("node", "leaf", "b", "a")).alias("x"))
+    groups = siblings.select("host", F.explode(F.udf(lambda x: merge_siblings(x, merge_z), kind)("x")).alias("g")).select("host", "g.*")
+    path = steps.join(groups, ["host", "node", "leaf"]).groupBy("host", "form").agg(
+        F.sort_array(F.collect_list(F.struct("level", "b", "a", "merged"))).alias("path"))
+    rows = by.join(forms, "form").join(hosts, "host").join(path, ["host", "form"], "left")
+    start = smooth(F.col("host_b"), F.col("host_a"), F.col("p_form"))
+    purity = F.aggregate("path", start, lambda p, g: smooth(g["b"], g["a"], p))
+    merged = F.exists("path", lambda g: g["merged"])
+    return rows.select("host", "form", F.coalesce(purity, "p_form").alias("purity"), F.coalesce(merged, F.lit(False)).alias("merged"))
+
+
 def judge(
     pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", label: Column | None = None,
     max_purity: float = 0.5, alpha: float = 4.0, merge_z: float = 1.96, max_children: int = 8, max_share: float = 0.05,
+    siblings: bool = False,
 ) -> DataFrame:
     """Verdict of every row: its rule's, else the template's.
 
@@ -111,7 +169,7 @@ def judge(
         F.count("*").alias("n"), F.count_if(known).alias("blocked"), F.count_if(~known).alias("allowed"))
     trees = templates(paths, max_children, max_share)
     labelled = trees.join(paths, ["host", "path"])
-    purity = template_purity(labelled, alpha, merge_z)
+    purity = (sibling_purity if siblings else template_purity)(labelled, alpha, merge_z)
     verdicts = trees.join(purity, ["host", "form"]).select("host", "path", "template", "purity", "merged")
     judged = rows.join(verdicts, ["host", "path"])
     return judged.select(

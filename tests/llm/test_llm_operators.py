@@ -286,6 +286,22 @@ def test_purity_follows_labels(spark):
     assert {r["template"] for r in got if r["host"] == "w.org"} == {"w.org/*/p"} and len(got) == len(rows)
 
 
+def test_unlabelled_branches_are_unknown_and_siblings_merge(spark):
+    rows = [(f"http://h.net/{b}/{i}", y) for b, n, y in (("es", 30, 1), ("fr", 30, 1), ("ok", 30, 0), ("en", 30, None)) for i in range(n)]
+    rows += [(f"http://k.org/en/{i}", 0) for i in range(9)] + [("http://n.net/es/1", 1), ("http://n.net/de/1", None)]
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, y int")
+    by = {r["template"]: r for r in urls.judge(df, [], label=F.col("y"), siblings=True).collect()}
+    assert by["h.net/es/*"]["merged_branch"] and by["h.net/fr/*"]["merged_branch"] and not by["h.net/ok/*"]["merged_branch"]
+    assert by["h.net/en/*"]["purity"] < 0.5 and by["h.net/en/*"]["verdict"] == "allow" and not by["h.net/en/*"]["merged_branch"]
+    assert [by[f"h.net/{b}/*"]["verdict"] for b in ("es", "fr", "ok")] == ["block", "block", "allow"]
+    rules = [("block", "net", "/es/"), ("block", "net", "/fr/"), ("allow", "org", "/")]
+    seen = {r["template"]: r for r in urls.judge(df, rules, siblings=True).collect()}
+    assert seen["h.net/en/*"]["verdict"] == "allow" and seen["h.net/es/*"]["verdict"] == "block"
+    # two alike, one apart; merged counts are shared
+    assert urls.merge_siblings([("/b", True, 9, 1), ("/a", True, 10, 0), ("/c", False, 1, 30)], 1.96) == [
+        ("/c", False, 1, 30, False), ("/b", True, 19, 1, True), ("/a", True, 19, 1, True)]
+
+
 # 5 pieces
 
 
