@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import lines, packing, pieces, pii, search, simhash, sketches, token_files, toxicity, urls
+from opsframe.llm import (
+    fim, lines, packing, pieces, pii, search, simhash, sketches, spelling, token_files, toxicity, urls,
+)
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
 
@@ -71,6 +73,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=199), ratio=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_search": op1_search,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_personal_data": op10_personal_data,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_spelling": op13_spelling,
 }
 _SEARCH = r"""
 with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as w from documents),
