@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm import (
-    fim, lines, packing, pieces, pii, search, simhash, sketches, spelling, token_files, toxicity, urls,
+    fim, html, lines, packing, pieces, pii, search, simhash, sketches, spelling, token_files, toxicity, urls,
 )
 from opsframe.llm.common import table
 from opsframe.session import scratch_dir
@@ -77,6 +77,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=199), ratio=5)
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_personal_data": op10_personal_data,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_html_text": op12_html_text,
     "op13_spelling": op13_spelling,
 }
 _SEARCH = r"""
