@@ -9,7 +9,7 @@ reaches ``SHARE`` of the page's highest are the text, with what stands between t
 first-level heading right before. With one, blank lines inside it never make a dive, and its regions count alone.
 
 Text of inline tags runs on, ``br`` is a space and two of them part blocks; white space becomes one space and
-blocks are joined by a line break. Unclosed tags end with their parent, an unclosed unwanted one also where an
+blocks are joined by a line break. An unwanted element leaves one line end. Unclosed tags end with their parent, an unclosed unwanted one also where an
 article begins. Null and empty pages, and pages of markup only, give an empty text. Repeated rows each get
 their text; equal windows need no order, since all that reach the share count. An empty table gives an empty
 result. Existing columns ``text`` and ``n_chars`` are replaced, others are kept. Time and memory are linear in the page.
@@ -157,7 +157,7 @@ class _Page:
         """Close the last open ``tag`` and what is open inside it."""
         while self.open.get(tag):
             if self.stack[-1].tag in BLOCK:
-                self.flush(2 if self.stack[-1].tag in BOX else 1)
+                self.flush(0 if self.stack[-1].unwanted else 2 if self.stack[-1].tag in BOX else 1)
             if self.drop().tag == tag:
                 return
 
@@ -171,11 +171,11 @@ class _Page:
                     self.drop()
         if tag in SAME and self.stack[-1].tag == tag:
             self.close(tag)
-        if tag in BLOCK:
-            self.flush(2 if tag in BOX else 1)
-            self.title = tag == "h1"
         top = self.stack[-1]
         bad = top.unwanted or unwanted(tag, attributes, bool(top.article or top.main), self.hints)
+        if tag in BLOCK:  # an unwanted element leaves one edge, whatever it holds
+            self.flush(0 if top.unwanted else 1 if bad or tag not in BOX else 2)
+            self.title = tag == "h1"
         if not (closed or bad or tag in BLOCK):
             return  # an inline tag without an end, such as a forgotten link
         self.number += 1
