@@ -144,7 +144,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 def forms(words: DataFrame, pairs: DataFrame, ratio: int) -> DataFrame:
     """``word, n, n_near, form, form_n`` of every word."""
     way = lambda x, y: F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"n_{y}").alias("near_n"))
-    both = pairs.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("p")).select("p.*")
+    both = pairs.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("_way")).select("_way.*")
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     wins = -F.col("best.less") >= ratio * F.col("n")
