@@ -7,6 +7,8 @@ from typing import Any, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsframe.functions import intervals
+
 # Severity orders, most severe first.
 LOG_SEVERITY_RANK = {
     "emergency": 0, "alert": 1, "critical": 2, "error": 3,
@@ -97,35 +99,22 @@ def sort_vlans(arr: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["v"])
 
 
-WIDEST = 1 << 20
-
-
-def expand_list(c: Column | str, widest: int = WIDEST) -> Column:
-    """``1,10-12,ALL`` to ``["1","10","11","12","ALL"]`` in the order given.
-
-    A range that runs backwards gives nothing; words, and ranges of more than ``widest`` ids, stay as written.
-    """
+def expand_list(c: Column | str) -> Column:
+    """``1,10-12,ALL`` to ``["1","10","11","12","ALL"]`` in the order given; a range that runs backwards gives nothing, words stay."""
     parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), lambda p: F.trim(p))
 
     def one(p: Column) -> Column:
         first, last = (grab(p, r"^(\d{1,18})-(\d{1,18})$", g).try_cast("long") for g in (1, 2))
         ids = F.transform(F.sequence(first, last), lambda v: v.cast("string"))
         none = F.array().cast("array<string>")
-        return F.when(first <= last, F.when(last - first < widest, ids).otherwise(F.array(p))).when(first > last, none).otherwise(F.array(p))
+        return F.when(first <= last, ids).when(first > last, none).otherwise(F.array(p))
 
     return F.flatten(F.transform(F.filter(parts, lambda p: p != ""), one))
 
 
-def expand_ranges(c: Column | str, widest: int = WIDEST) -> Column:
-    """``1,10-12`` to ``[1,10,11,12]`` (distinct, ascending); malformed parts, and ranges of more than ``widest`` ids, are skipped."""
-    parts = F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", ""), ",")
-
-    def one(p: Column) -> Column:
-        first = grab(p, r"^(\d{1,9})(?:-\d{1,9})?$").try_cast("int")
-        last = F.coalesce(grab(p, r"^\d{1,9}-(\d{1,9})$").try_cast("int"), first)
-        return F.when((first <= last) & (last - first < widest), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
+def expand_ranges(c: Column | str) -> Column:
+    """``1,10-12`` to ``[1,10,11,12]`` (distinct, ascending); malformed parts are skipped. ``intervals.parse`` keeps wide ranges as they are."""
+    return intervals.ids(intervals.parse(col(c)))
 
 
 def as_text(c: Column | str, is_array: bool = False) -> Column:

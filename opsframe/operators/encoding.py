@@ -1,63 +1,134 @@
-"""Encoders and scalers fitted on one table and replayed on others."""
+"""Encoders and scalers fitted on one table and replayed on others.
+
+Encoders keep their values as a dictionary table, of any size, and look all columns up by key. Values that a large
+share of the rows has are found when the encoder is fitted; they are at most ``1 / HOT`` a column and always broadcast.
+A dictionary whose counted bytes stay under ``SMALL_BYTES`` is broadcast as a whole. Otherwise the rest is a shuffled
+join in which rows that are already resolved, or have no value, carry keys of their own, so that no task gets them all.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.quantiles import exact_quantiles
 
-MAX_ONEHOT = 2000
+#: Share of the rows from which a value is hot.
+HOT = 0.001
+SMALL_BYTES = 16 << 20
+#: Keys that rows without an open value are dealt to.
+SPREAD = 4096
 
 
 def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, idx) of the sorted distinct values; stays a table, whatever its size."""
+    """(column, value, n, idx) of the sorted distinct values; stays a table, whatever its size."""
     from opsframe.functions.ranking import global_rank
 
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
-    distinct = df.select(pairs.alias("p")).select("p.*").where("value is not null").distinct()
-    return global_rank(distinct, ["value"], ["column"], "idx", costly=True).withColumn("idx", F.col("idx") - 1)
+    counted = df.select(pairs.alias("p")).select("p.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(counted, ["value"], ["column"], "idx", costly=True).withColumn("idx", F.col("idx") - 1)
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """Values of several columns; ``sizes`` has entries, bytes and rows by column."""
+
+    table: DataFrame
+    sizes: Mapping[str, tuple[int, int, int]]
+
+    def lookup(self, df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+        """``df`` with the index of each column's value as ``names[column]``; null where the value is null or unknown."""
+        out = df
+        for c, name in names.items():
+            entries, size, rows = self.sizes.get(c, (0, 0, 0))
+            value = F.col(f"`{c}`").cast("string")
+            if not entries:
+                out = out.withColumn(name, F.lit(None).cast("long"))
+                continue
+            own = self.table.where(F.col("column") == c)
+            if size <= SMALL_BYTES:
+                t = own.select(F.col("value").alias("_v"), F.col("idx").alias(name))
+                out = out.join(F.broadcast(t), value == F.col("_v"), "left").drop("_v")
+                continue
+            is_hot = F.col("n") >= HOT * rows
+            hot = own.where(is_hot).select(F.col("value").alias("_v"), F.col("idx").alias("_hot"))
+            rest = own.where(~is_hot).select(F.col("value").alias("_v"), F.lit(0).alias("_s"), F.col("idx").alias("_rest"))
+            out = out.join(F.broadcast(hot), value == F.col("_v"), "left").drop("_v")
+            closed = F.col("_hot").isNotNull() | value.isNull()
+            salt = F.when(closed, 1 + F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]), F.lit(SPREAD))).otherwise(0).cast("int")
+            out = out.withColumn("_s1", salt).withColumn("_v1", F.when(F.col("_s1") == 0, value).otherwise(F.lit("")))
+            out = out.join(rest, (F.col("_v1") == F.col("_v")) & (F.col("_s1") == F.col("_s")), "left")
+            out = out.withColumn(name, F.coalesce("_hot", "_rest")).drop("_v", "_s", "_v1", "_s1", "_hot", "_rest")
+        return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in names.values()], *names.values())
+
+
+def fit_dictionary(df: DataFrame, cols: Sequence[str]) -> Dictionary:
+    """Distinct values of ``cols`` with their places; one row a column goes to the driver."""
+    table = categories(df, cols)
+    sums = table.groupBy("column").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("value") + 32).alias("size"), F.sum("n").alias("rows")).collect()
+    return Dictionary(table, {r["column"]: (r["entries"], r["size"], r["rows"]) for r in sums})
 
 
 @dataclass(frozen=True)
 class OneHot:
-    values: Mapping[str, Sequence[str]]
+    """Dense columns by ``transform``, one sparse vector by ``vectors``."""
+
+    dictionary: Dictionary
+    cols: Sequence[str]
+    named: dict[str, list[str]] = field(default_factory=dict)
+
+    @property
+    def values(self) -> Mapping[str, Sequence[str]]:
+        """Values by column, read when dense columns are asked for: their names are part of the plan anyway."""
+        if not self.named:
+            rows = self.dictionary.table.select("column", "value").orderBy("column", "idx").collect()
+            self.named.update({c: [r["value"] for r in rows if r["column"] == c] for c in self.cols})
+        return self.named
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Other columns first, then one 0/1 column per value; unseen values give all zeros."""
-        passed = [c for c in df.columns if c not in self.values]
+        passed = [c for c in df.columns if c not in self.cols]
         hot = [F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for c, vs in self.values.items() for v in vs]
         return df.select(*passed, *hot)
 
+    def vectors(self, df: DataFrame, out: str = "onehot") -> DataFrame:
+        """Other columns first, then one sparse vector over all values of all columns, whatever their number; unseen values give all zeros."""
+        passed = [c for c in df.columns if c not in self.cols]
+        sizes = {c: self.dictionary.sizes.get(c, (0, 0, 0))[0] for c in self.cols}
+        found = self.dictionary.lookup(df, {c: f"_i_{i}" for i, c in enumerate(self.cols)})
+        found = found.withColumns({f"_i_{i}": F.coalesce(F.col(f"_i_{i}"), F.lit(sizes[c])).cast("double") for i, c in enumerate(self.cols)})
+        # the model's sizes come from one row with each column's highest index; a kept invalid index is the one past it, dropped as the last
+        top = df.sparkSession.createDataFrame([tuple(float(max(0, sizes[c] - 1)) for c in self.cols)], [f"_i_{i}" for i in range(len(self.cols))])
+        coder = OneHotEncoder(inputCols=top.columns, outputCols=[f"_h_{i}" for i in range(len(self.cols))], handleInvalid="keep", dropLast=True)
+        hot = coder.fit(top).transform(found)
+        return VectorAssembler(inputCols=[f"_h_{i}" for i in range(len(self.cols))], outputCol=out).transform(hot).select(*passed, out)
 
-def fit_onehot(df: DataFrame, cols: Sequence[str], limit: int = MAX_ONEHOT) -> OneHot:
-    """One output column per value, so the number of values is checked before it is read."""
-    found = categories(df, cols).orderBy("column", "idx").limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories; use the ordinal encoder")
-    return OneHot({c: [r["value"] for r in found if r["column"] == c] for c in cols})
+
+def fit_onehot(df: DataFrame, cols: Sequence[str]) -> OneHot:
+    """Any number of values; ``transform`` names one column each, so many of them belong in ``vectors``."""
+    return OneHot(fit_dictionary(df, cols), tuple(cols))
 
 
 @dataclass(frozen=True)
 class Ordinal:
-    table: DataFrame
+    dictionary: Dictionary
     cols: Sequence[str]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Index of the sorted value under the same column name; unseen and null give -1."""
-        out = df
-        for c in self.cols:
-            t = self.table.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
-            out = out.join(t, out[c].cast("string") == t["_v"], "left")
-            out = out.withColumn(c, F.coalesce(F.col("_i"), F.lit(-1)).cast("long")).drop("_v", "_i")
-        return out.select(*df.columns)
+        found = self.dictionary.lookup(df, {c: f"_i_{i}" for i, c in enumerate(self.cols)})
+        at = {c: i for i, c in enumerate(self.cols)}
+        return found.select(*[
+            F.coalesce(F.col(f"_i_{at[c]}"), F.lit(-1)).cast("long").alias(c) if c in at else F.col(f"`{c}`") for c in df.columns])
 
 
 def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> Ordinal:
-    return Ordinal(categories(df, cols), tuple(cols))
+    return Ordinal(fit_dictionary(df, cols), tuple(cols))
 
 
 def fit_labels(df: DataFrame, label: str) -> Ordinal:

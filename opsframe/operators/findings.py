@@ -140,18 +140,31 @@ def _insecure() -> Column:
     return F.array_intersect("communities", _words(*INSECURE_COMMUNITIES))
 
 
-def _communities(events: DataFrame) -> DataFrame:
-    """Distinct (host, community) pairs first; the list itself is part of the finding."""
-    pairs = (
-        events.where(has("snmp_auth_failed", "snmp_user_auth_failed") & (F.coalesce(F.col("entities.community"), F.lit("")) != ""))
-        .select(F.lit("SYS-SNMP-AUTHFAIL").alias("rule_id"), F.coalesce(F.col("hostname"), F.lit("unknown")).alias("device"), F.col("entities.community").alias("c"))
-        .distinct()
-    )
-    return pairs.groupBy("rule_id", "device").agg(F.array_sort(F.collect_list("c")).alias("communities"))
-
-
-def grouped_events(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per (rule, device, k2, k3) with counts, time range, peak and rule extras."""
+#: What a group of events is merged to, as (name, per event, over events, over bins); all are sums, extremes or sets.
+def _measures() -> list[tuple[str, Column, Callable, Callable]]:
+    added = lambda c: F.sum(c)
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    auth = has("snmp_auth_failed", "snmp_user_auth_failed")
+    return [
+        ("n", weight(), added, added),
+        ("reports", F.lit(1).cast("long"), added, added),
+        ("first_seen", F.col("timestamp"), F.min, F.min),
+        ("last_seen", F.col("timestamp"), F.max, F.max),
+        ("moves", F.coalesce(F.col("entities.flap_count"), F.lit(0)), F.max, F.max),
+        ("last", F.struct("source", "ord", F.col("entities.interface_id").alias("iface")), F.max, F.max),
+        ("short", has("short_detected"), F.max, F.max),
+        ("reboots", has("reboot").cast("long"), added, added),
+        ("faults", has("power_fault", "fan_fault").cast("long"), added, added),
+        ("communities", F.when(auth & (F.coalesce(F.col("entities.community"), F.lit("")) != ""), F.col("entities.community")), F.collect_set, joined),
+    ]
+
+
+GROUP = ["rule_id", "device", "k2", "k3"]
+MEASURES = ["n", "reports", "first_seen", "last_seen", "moves", "last", "short", "reboots", "faults", "communities"]
+
+
+def rule_hits(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per event and rule it belongs to: group keys, bin minutes and the event's measures."""
     text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
     hits = []
     for r in rules:
@@ -161,34 +174,35 @@ def grouped_events(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             F.lit(r.rule_id).alias("rule_id"), host.alias("device"), text(k2).alias("k2"), text(k3).alias("k3"), F.lit(r.minutes).alias("minutes")
         )))
     every = sorted({t for r in rules for t in r.tags})
-    at = F.struct("source", "ord", F.col("entities.interface_id").alias("iface"))
-    d = events.where(has(*every)).select(
-        F.explode(F.array_compact(F.array(*hits))).alias("h"), "ts", "timestamp", weight().alias("w"), at.alias("at"),
-        F.coalesce(F.col("entities.flap_count"), F.lit(0)).alias("moves"), has("short_detected").alias("short"),
-        has("reboot").alias("reboot"), has("power_fault", "fan_fault").alias("fault"),
-    ).select("*", "h.*", floor_to_bin(F.col("ts"), F.col("h.minutes")).alias("_bin"))
-    keys = ["rule_id", "device", "k2", "k3"]
-    bins = d.groupBy(*keys, "_bin").agg(
-        F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"),
-        F.max("moves").alias("moves"), F.max("at").alias("last"), F.max("short").alias("short"),
-        F.count_if("reboot").alias("reboots"), F.count_if("fault").alias("faults"),
-    )
-    return bins.groupBy(*keys).agg(
-        F.sum("n").alias("event_count"), F.sum("rows").alias("reports"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"),
-        F.coalesce(F.max(F.when(F.col("_bin").isNotNull(), F.col("n"))), F.lit(0)).alias("peak"),
-        F.max("moves").alias("moves"), F.max("last").alias("last"), F.max("short").alias("short"),
-        F.sum("reboots").alias("reboots"), F.sum("faults").alias("faults"),
-    )
+    d = events.where(has(*every)).select(F.explode(F.array_compact(F.array(*hits))).alias("h"), "ts", *[e.alias(n) for n, e, _, _ in _measures()])
+    return d.select("ts", "h.*", *MEASURES)
+
+
+def bin_hits(hits: DataFrame, *bin_columns: Column | str) -> DataFrame:
+    """Hits merged per group and time bin."""
+    return hits.groupBy(*GROUP, *bin_columns).agg(*[over(n).alias(n) for n, _, over, _ in _measures()])
+
+
+def merge_bins(bins: DataFrame) -> DataFrame:
+    """One row per (rule, device, k2, k3); ``peak`` is the largest count of a bin with a time (``_bin``)."""
+    return bins.groupBy(*GROUP).agg(
+        F.sum("n").alias("event_count"), F.coalesce(F.max(F.when(F.col("_bin").isNotNull(), F.col("n"))), F.lit(0)).alias("peak"),
+        *[over(n).alias(n) for n, _, _, over in _measures() if n != "n"])
+
+
+def grouped_events(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per (rule, device, k2, k3) with counts, time range, peak and rule extras, from one scan of the events."""
+    hits = rule_hits(events, rules).withColumn("_bin", floor_to_bin(F.col("ts"), F.col("minutes")))
+    return merge_bins(bin_hits(hits, "_bin"))
 
 
 def log_findings(events: DataFrame, t: dict = THRESHOLDS, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     """All rules; ``severity_rank`` gives the sort order (rank, rule, device)."""
-    g = grouped_events(events, rules)
-    if any(r.rule_id == "SYS-SNMP-AUTHFAIL" for r in rules):
-        g = g.join(_communities(events), ["rule_id", "device"], "left")
-    else:
-        g = g.withColumn("communities", F.lit(None).cast("array<string>"))
-    g = g.withColumn("communities", F.coalesce("communities", F.array().cast("array<string>")))
+    return finding_rows(grouped_events(events, rules), t, rules)
+
+
+def finding_rows(g: DataFrame, t: dict = THRESHOLDS, rules: Sequence[Rule] = tuple(RULES), also: Sequence[str] = ()) -> DataFrame:
+    """Findings of merged groups that pass their rule's threshold; columns ``also`` are carried along."""
     is_rule = {r.rule_id: F.col("rule_id") == r.rule_id for r in rules}
     by_rule = lambda f: pick([(is_rule[r.rule_id], f(r)) for r in rules])
     null = F.lit(None).cast("string")
@@ -204,7 +218,7 @@ def log_findings(events: DataFrame, t: dict = THRESHOLDS, rules: Sequence[Rule]
         by_rule(lambda r: r.confidence(t)).alias("confidence"),
         "event_count", "first_seen", "last_seen",
         by_rule(lambda r: r.out_tags()).alias("tags"),
-        by_rule(lambda r: r.details()).alias("details"),
+        by_rule(lambda r: r.details()).alias("details"), *also,
     )
     return rows.withColumn("severity_rank", severity_rank("severity"))
 

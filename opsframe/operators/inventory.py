@@ -12,6 +12,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsframe.functions import intervals
 from opsframe.functions.scalars import expand_list, expand_ranges, grab, lookup, num, pick
 
 CAPTURE = ["snapshot_id", "device", "command"]
@@ -101,7 +102,11 @@ def vlans(df: DataFrame, command: str = "vlan_brief") -> DataFrame:
 
 
 def trunks(df: DataFrame, command: str = "trunk") -> DataFrame:
-    """Summary and allowed sections of the trunk table joined per port; VLAN ranges expanded, words such as ``ALL`` kept."""
+    """Summary and allowed sections of the trunk table joined per port.
+
+    ``allowed_vlans`` lists the ids, with words such as ``ALL`` as they are; ``allowed_ranges`` is the same set of ids as intervals.
+    Readers of the ranges alone never list wide ones.
+    """
     line, low = F.col("line"), F.lower("line")
     section = F.when(low.startswith("port"), pick([(low.contains("native vlan"), "summary"), (low.contains("vlans allowed on trunk"), "allowed")], "other"))
     d = carry_down(capture(df, command).where(F.trim(line) != ""), {"section": section}).where(~low.startswith("port"))
@@ -110,7 +115,7 @@ def trunks(df: DataFrame, command: str = "trunk") -> DataFrame:
         F.max_by(F.struct(F.get(words, F.lit(3)).alias("trunking_status"), F.get(words, F.lit(4)).alias("native_vlan")), "line_no").alias("s"))
     a = d.where((F.col("section") == "allowed") & (F.size(words) >= 2)).groupBy(*PLACE, F.get(words, F.lit(0)).alias("interface")).agg(F.max_by(F.get(words, F.lit(1)), "line_no").alias("spec"))
     allowed = F.when(F.col("spec").isNull(), F.array().cast("array<string>")).otherwise(expand_list("spec"))
-    return s.join(a, [*PLACE, "interface"], "full_outer").select(*PLACE, "interface", allowed.alias("allowed_vlans"), "s.native_vlan", "s.trunking_status")
+    return s.join(a, [*PLACE, "interface"], "full_outer").select(*PLACE, "interface", allowed.alias("allowed_vlans"), intervals.parse(F.col("spec")).alias("allowed_ranges"), "s.native_vlan", "s.trunking_status")
 
 
 def neighbors(df: DataFrame, lldp: str = "lldp_neighbors", cdp: str = "cdp_neighbors") -> DataFrame:

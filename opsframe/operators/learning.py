@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import random
 import time
 from dataclasses import dataclass
-from typing import Any, Iterator, Mapping, Sequence
+from typing import Any, Iterator, Mapping, NamedTuple, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.operators import metrics as met
+from opsframe.operators.boosting import BoostedClasses, fit_boosted
 from opsframe.operators.encoding import decode_labels
+from opsframe.operators.profiling import audit_matrix
 from opsframe.operators.tables import require_columns
+from opsframe.session import cut_lineage
 
 MIN_TRAIN_ROWS = 10
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """Boosted classes behind the interface of a pipeline model."""
+
+    assembler: VectorAssembler
+    boosted: BoostedClasses
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.boosted.transform(self.assembler.transform(df))
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Fitted model with its features and class names."""
 
     kind: str
-    model: PipelineModel
+    model: PipelineModel | Boosted
     features: Sequence[str]
     classes: Sequence[str]
 
@@ -50,24 +65,36 @@ def _indexed(df: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
     return df.withColumn("_y", (pos - 1).cast("double"))
 
 
-def class_names(df: DataFrame, label: str, limit: int = 1000) -> list[str]:
-    names = [r[0] for r in df.select(F.col(label).cast("string")).distinct().orderBy(label).limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} classes")
-    return names
+def class_names(df: DataFrame, label: str) -> list[str]:
+    """Classes in order; a model holds them by name, so the driver does too."""
+    return [r[0] for r in df.select(F.col(label).cast("string")).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
 
 
-def train(df: DataFrame, label: str, features: Sequence[str], kind: str = "forest", seed: int = 42, **params: Any) -> Classifier:
-    """Forest, boosted trees (one-vs-rest beyond two classes) or a feed-forward network."""
+def train(df: DataFrame, label: str, features: Sequence[str], kind: str = "forest", seed: int = 42, valid: DataFrame | None = None, **params: Any) -> Classifier:
+    """Forest, boosted trees or a feed-forward network, each with class probabilities.
+
+    ``valid`` ends the rounds of boosted trees early; the other kinds don't use it. Boosted trees are Spark's for two
+    classes; for more of them one tree per class and round shares the classes' margins.
+    """
     classes = class_names(df, label)
-    data = _indexed(df, label, classes)
-    stages: list[Any] = [VectorAssembler(inputCols=list(features), outputCol="features_vec", handleInvalid="keep" if kind != "mlp" else "error")]
+    data = _indexed(df, label, classes).where("_y is not null")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features_vec", handleInvalid="keep" if kind != "mlp" else "error")
     common = dict(featuresCol="features_vec", labelCol="_y")
+    stages: list[Any] = [assembler]
     if kind == "forest":
         stages.append(RandomForestClassifier(seed=seed, **common, **{"numTrees": 20, "maxDepth": 5, **params}))
     elif kind == "gbt":
-        gbt = GBTClassifier(seed=seed, **common, **{"maxIter": 10, "maxDepth": 4, **params})
-        stages.append(gbt if len(classes) == 2 else OneVsRest(classifier=gbt, **common))
+        held = _indexed(valid, label, classes).where("_y is not null") if valid is not None else None
+        given = {"maxIter": 10, "maxDepth": 4, **params}
+        if len(classes) > 2:
+            rest = {k: given[v] for k, v in (("rate", "stepSize"), ("bins", "maxBins"), ("patience", "patience"), ("least_gain", "least_gain")) if v in given}
+            vectors = [None if d is None else assembler.transform(d.select("_y", *features)) for d in (data, held)]
+            fitted = fit_boosted(vectors[0], "_y", len(classes), given["maxIter"], given["maxDepth"], valid=vectors[1], seed=seed, **rest)
+            return Classifier(kind, Boosted(assembler, fitted), tuple(features), tuple(classes))
+        if held is not None:
+            data = data.select("_y", *features, F.lit(False).alias("_held")).unionByName(held.select("_y", *features, F.lit(True).alias("_held")))
+            given["validationIndicatorCol"] = "_held"
+        stages.append(GBTClassifier(seed=seed, **common, **given))
     elif kind == "mlp":
         stages.append(StandardScaler(inputCol="features_vec", outputCol="scaled_vec", withMean=True, withStd=True))
         layers = [len(features), *params.pop("hidden", [16]), len(classes)]
@@ -127,19 +154,59 @@ def evaluate(scored: DataFrame, label: str) -> DataFrame:
     return met.classification_metrics(scored.withColumn("y_true", F.col(label).cast("string")))
 
 
-def run_experiment(splits: Mapping[str, DataFrame], label: str, features: Sequence[str], kind: str, **params: Any) -> tuple[Classifier, DataFrame]:
-    """Fit on train, evaluate every split, record seconds."""
-    rows = splits["train"].limit(MIN_TRAIN_ROWS).count()
-    if rows < MIN_TRAIN_ROWS:
-        raise ValueError(f"only {rows} training rows")
+class Experiment(NamedTuple):
+    """Fitted model, one row of metrics per split, confusion counts per split, and the audit of the feature matrix."""
+
+    model: Classifier
+    metrics: DataFrame
+    confusion: DataFrame
+    audit: DataFrame
+
+
+def _split_metrics(scored: DataFrame, classes: Sequence[str], average: str) -> DataFrame:
+    """One row: averages, AUC (second class, or one-vs-rest over all classes), headline false-positive rate."""
+    out = met.classification_metrics(scored, average).withColumn("n_classes", F.lit(len(classes)))
+    rate = met.fpr(scored).where("label = '__headline__'").select(F.col("fpr").alias("false_positive_rate"))
+    if "probabilities" not in scored.columns:
+        auc = scored.sparkSession.range(1).select(F.lit(None).cast("double").alias("roc_auc"))
+    elif len(classes) == 2:
+        auc = met.roc_auc(scored.select((F.col("y_true") == classes[1]).alias("positive"), F.get("probabilities", F.lit(1)).alias("p")), "positive", "p").select(F.col("auc").alias("roc_auc"))
+    else:
+        by_class = scored.select("y_true", *[F.get("probabilities", F.lit(i)).alias(f"p{i}") for i in range(len(classes))])
+        auc = met.roc_auc_ovr(by_class, {c: f"p{i}" for i, c in enumerate(classes)}, weighted=average == "weighted").select(F.col("auc").alias("roc_auc"))
+    return out.join(F.broadcast(rate)).join(F.broadcast(auc))  # one row each
+
+
+def run_experiment(splits: Mapping[str, DataFrame], label: str, features: Sequence[str], kind: str, average: str = "weighted",
+                   min_rows: int = MIN_TRAIN_ROWS, strict: bool = True, **params: Any) -> Experiment:
+    """Audit the features (``strict``: findings stop the job), fit on ``train`` (with ``validation``, if given), evaluate every split over all classes.
+
+    Every split is scored once and written, which is what its ``predict_seconds`` time; metrics read the written scores.
+    """
+    rows = splits["train"].limit(min_rows).count()
+    if rows < min_rows:
+        raise ValueError(f"only {rows} training rows; {min_rows} are needed")
+    if not features:
+        raise ValueError("no feature columns to train on")
+    audit = audit_matrix({n: d.select(*features, label) for n, d in splits.items()}, label, features)
+    found = audit.limit(10).collect() if strict else []
+    if found:
+        raise ValueError("; ".join(f"{r['split']}: {r['problem']} {r['columns']}" for r in found))
     t0 = time.time()
-    model = train(splits["train"], label, features, kind, **params)
+    model = train(splits["train"], label, features, kind, valid=splits.get("validation") if kind == "gbt" else None, **params)
     seconds = time.time() - t0
-    out = None
+    metrics, confusions = [], []
     for name, d in splits.items():
-        m = evaluate(model.predict(d), label).withColumn("split", F.lit(name)).withColumn("train_seconds", F.lit(seconds))
-        out = m if out is None else out.unionByName(m)
-    return model, out
+        t0 = time.time()
+        scored = model.predict(d)
+        kept = [c for c in ("probabilities",) if c in scored.columns]
+        scored = cut_lineage(scored.select(F.col(label).cast("string").alias("y_true"), "y_pred", *kept))
+        took = time.time() - t0
+        metrics.append(_split_metrics(scored, model.classes, average).select(
+            F.lit(name).alias("split"), "*", F.lit(seconds).alias("train_seconds"), F.lit(took).alias("predict_seconds")))
+        confusions.append(met.confusion(scored, model.classes).withColumn("split", F.lit(name)))
+    union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    return Experiment(model, union(metrics), union(confusions), audit)
 
 
 def tune(train_df: DataFrame, valid: DataFrame, label: str, features: Sequence[str], kind: str, space: Mapping[str, Sequence[Any]], n: int = 5, metric: str = "f1", seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Any, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions import intervals
 from opsframe.functions.scalars import digest_id, pick, severity_rank, sort_vlans
 from opsframe.operators import topology as tp
 from opsframe.operators.findings import count_dimensions
@@ -44,13 +45,24 @@ def rule_access_vlan(interfaces: DataFrame, allowed: Sequence[Any]) -> DataFrame
     return _draft(d, "ACCESS_PORT_DISALLOWED_VLAN", "name", F.col("vlan"))
 
 
+def _allowed(trunks: DataFrame) -> tuple[Column, Column]:
+    """Allowed ids as intervals, and allowed words; from ``allowed_ranges`` where the trunk table has it."""
+    listed = F.coalesce("allowed_vlans", _list([]))
+    words = F.filter(listed, lambda v: ~v.rlike(r"^\s*\d{1,18}\s*(-\s*\d{1,18}\s*)?$"))
+    return (F.coalesce("allowed_ranges", F.array().cast(intervals.TYPE)) if "allowed_ranges" in trunks.columns else intervals.of_ids(listed)), words
+
+
 def rule_trunk_missing(trunks: DataFrame, required: Sequence[Any]) -> DataFrame:
-    gone = sort_vlans(F.array_except(_list(required), F.coalesce("allowed_vlans", _list([]))))
+    ranges, words = _allowed(trunks)
+    gone = sort_vlans(F.filter(F.array_distinct(_list(required)), lambda v: ~F.coalesce(intervals.contains(ranges, v.try_cast("long")), F.lit(False)) & ~F.array_contains(words, v)))
     return _draft(trunks.withColumn("_v", gone).where("size(_v) > 0"), "TRUNK_MISSING_REQUIRED_VLAN", vlans=F.col("_v"))
 
 
 def rule_trunk_extra(trunks: DataFrame, authorized: Sequence[Any]) -> DataFrame:
-    extra = sort_vlans(F.array_except(F.coalesce("allowed_vlans", _list([])), _list(authorized)))
+    """What is allowed beyond ``authorized``: the difference of the intervals, listed only in the finding, and unknown words."""
+    ranges, words = _allowed(trunks)
+    extra = intervals.ids(intervals.difference(ranges, intervals.of_ids(_list(authorized))))
+    extra = F.concat(F.transform(extra, lambda v: v.cast("string")), F.array_sort(F.array_except(words, _list(authorized))))
     return _draft(trunks.withColumn("_v", extra).where("size(_v) > 0"), "TRUNK_UNAUTHORIZED_VLAN", vlans=F.col("_v"))
 
 

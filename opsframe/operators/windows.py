@@ -80,7 +80,7 @@ def severity_counts() -> dict[str, Column]:
     return {f"severity_{s}": F.when(F.col("severity_label") == s, weight()).otherwise(F.lit(0)) for s in SEVERITY_COLUMNS}
 
 
-def _scoped(fine: DataFrame) -> DataFrame:
+def scoped(fine: DataFrame) -> DataFrame:
     """Every row for its host, and again for its interface when it names one."""
     scopes = F.array_compact(F.array(
         F.struct(F.lit("host").alias("scope"), F.lit("").alias("interface_id")),
@@ -103,37 +103,61 @@ def _binned(events: DataFrame, sizes: Sequence[int], drop_unreliable: bool) -> D
 FINE = ["window_minutes", "hostname", "iface", "window_start"]
 
 
+def failed_from() -> Column:
+    """Source address of an authentication failure."""
+    return F.when(F.arrays_overlap("tags", F.array(F.lit("snmp_auth_failed"), F.lit("snmp_user_auth_failed"))), F.col("entities.ip_address"))
+
+
+def _fine(events: DataFrame, sizes: Sequence[int], drop_unreliable: bool, by: Sequence[Column], counters: dict[str, Column]) -> DataFrame:
+    """Counters per (size, host, interface, bin) and ``by``: the one scan and first shuffle of the events."""
+    b = _binned(events, sizes, drop_unreliable).select(*FINE, *by, *[e.alias(n) for n, e in counters.items()])
+    keys = [c for c in b.columns if c not in counters]
+    return b.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counters])
+
+
 def window_counters(events: DataFrame, sizes: Sequence[int], drop_unreliable: bool = True) -> DataFrame:
     """Two-scope counters: events are combined per (host, interface, bin) before the scopes are expanded."""
     counters = tag_counters()
-    b = _binned(events, sizes, drop_unreliable).select(*FINE, *[e.alias(n) for n, e in counters.items()])
-    fine = b.groupBy(*FINE).agg(*[F.sum(n).alias(n) for n in counters])
-    return _scoped(fine).groupBy(*KEYS).agg(*[F.sum(n).alias(n) for n in counters])
+    return scoped(_fine(events, sizes, drop_unreliable, [], counters)).groupBy(*KEYS).agg(*[F.sum(n).alias(n) for n in counters])
 
 
 def distinct_sources(events: DataFrame, sizes: Sequence[int], drop_unreliable: bool = True) -> DataFrame:
-    """Distinct source addresses of authentication failures per window.
+    """Distinct source addresses of authentication failures per window."""
+    b = _fine(events.where(failed_from().isNotNull()), sizes, drop_unreliable, [failed_from().alias("ip")], {"w": weight()})
+    return scoped(b).select(*KEYS, "ip").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("unique_snmp_source_ips"))
 
-    Two group-bys instead of ``count(distinct)`` beside other aggregates.
-    """
-    auth = events.where(F.arrays_overlap("tags", F.array(F.lit("snmp_auth_failed"), F.lit("snmp_user_auth_failed"))) & F.col("entities.ip_address").isNotNull())
-    b = _binned(auth, sizes, drop_unreliable).select(*FINE, F.col("entities.ip_address").alias("ip")).distinct()
-    return _scoped(b).select(*KEYS, "ip").distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias("unique_snmp_source_ips"))
+
+def counts_json(codes: Column, key: str) -> Column:
+    """Sorted-key JSON text of the summed weights of ``codes`` (facility, mnemonic, w); entries without the key are left out."""
+    named = F.filter(codes, lambda s: F.coalesce(s[key], F.lit("")) != "")
+    names = F.array_sort(F.array_distinct(F.transform(named, lambda s: s[key])))
+    total = lambda k: F.aggregate(F.filter(named, lambda s: s[key] == k), F.lit(0).cast("long"), lambda a, s: a + s["w"])
+    text = F.array_join(F.transform(names, lambda k: F.concat(F.lit('"'), k, F.lit('": '), total(k).cast("string"))), ", ")
+    return F.concat(F.lit("{"), text, F.lit("}"))
 
 
-def _count_json(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Sorted-key JSON text of weighted counts; the vocabulary of keys is small per window."""
-    counts = df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(*KEYS, key).agg(F.sum("w").alias("n"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("n"))))
-    text = F.array_join(F.transform(entries, lambda s: F.concat(F.lit('"'), s["k"], F.lit('": '), s["n"].cast("string"))), ", ")
-    return counts.groupBy(*KEYS).agg(F.concat(F.lit("{"), text, F.lit("}")).alias(out))
+CODE = ("facility", "mnemonic", "w")
 
 
 def count_maps(events: DataFrame, sizes: Sequence[int], drop_unreliable: bool = True) -> DataFrame:
-    """Facility and mnemonic counts per window as JSON text."""
-    b = _binned(events, sizes, drop_unreliable).withColumn("w", weight())
-    fine = _scoped(b.groupBy(*FINE, "facility", "mnemonic").agg(F.sum("w").alias("w")))
-    return _count_json(fine, "facility", "facility_counts").join(_count_json(fine, "mnemonic", "mnemonic_counts"), KEYS, "full_outer")
+    """Facility and mnemonic counts per window as JSON text; windows without any code are left out."""
+    fine = scoped(_fine(events, sizes, drop_unreliable, [F.col("facility"), F.col("mnemonic")], {"w": weight()}))
+    codes = fine.groupBy(*KEYS, "facility", "mnemonic").agg(F.sum("w").alias("w")).groupBy(*KEYS).agg(F.collect_list(F.struct(*CODE)).alias("codes"))
+    return codes.select(*KEYS, *[F.nullif(counts_json(F.col("codes"), k), F.lit("{}")).alias(f"{k}_counts") for k in ("facility", "mnemonic")]).where(
+        "facility_counts is not null or mnemonic_counts is not null")
+
+
+def window_rows(fine: DataFrame, counters: Sequence[str]) -> DataFrame:
+    """Windows of both scopes from counters per (bin, host, interface, facility, mnemonic, address).
+
+    The rows of a window meet in one shuffle; they are then merged per address, so that addresses are counted and not
+    collected, and per code.
+    """
+    by_code = scoped(fine).repartition(*KEYS).groupBy(*KEYS, "ip", "facility", "mnemonic").agg(*[F.sum(n).alias(n) for n in counters])
+    by_address = by_code.withColumn("w", F.col("weighted_event_count")).groupBy(*KEYS, "ip").agg(
+        *[F.sum(n).alias(n) for n in counters], F.collect_list(F.struct(*CODE)).alias("codes"))
+    return by_address.groupBy(*KEYS).agg(
+        *[F.sum(n).alias(n) for n in counters], F.count("ip").alias("unique_snmp_source_ips"), F.flatten(F.collect_list("codes")).alias("codes"))
 
 
 def weak_labels(rows: DataFrame, thresholds: dict | None = None) -> DataFrame:
@@ -169,11 +193,10 @@ def window_features(
 ) -> DataFrame:
     """Full feature and label rows for one or more bin sizes."""
     sizes = [sizes] if isinstance(sizes, int) else list(sizes)
-    rows = window_counters(events, sizes, drop_unreliable)
-    rows = rows.join(distinct_sources(events, sizes, drop_unreliable), KEYS, "left").fillna(0, ["unique_snmp_source_ips"])
-    if maps:
-        rows = rows.join(count_maps(events, sizes, drop_unreliable), KEYS, "left")
-        rows = rows.fillna("{}", ["facility_counts", "mnemonic_counts"])
+    counters = tag_counters()
+    by = [F.col("facility"), F.col("mnemonic"), failed_from().alias("ip")] if maps else [failed_from().alias("ip"), *[F.lit(None).cast("string").alias(c) for c in ("facility", "mnemonic")]]
+    rows = window_rows(_fine(events, sizes, drop_unreliable, by, counters), list(counters))
+    rows = rows.select(*KEYS, *counters, "unique_snmp_source_ips", *([counts_json(F.col("codes"), k).alias(f"{k}_counts") for k in ("facility", "mnemonic")] if maps else []))
     rows = rows.withColumn("port_flap_count", F.col("lineproto_up_count") + F.col("lineproto_down_count"))
     rows = rows.withColumn("window_end", F.col("window_start") + F.make_interval(mins=F.col("window_minutes")))
     for c in ("window_start", "window_end"):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from opsframe.functions import intervals as iv
 from opsframe.functions import quantiles, ranking, scalars
 from opsframe.operators import encoding, learning, logs, metrics, series, tables, vendor, windows
 from opsframe.sources import readers, sinks
@@ -83,9 +84,33 @@ def test_range_expansion_and_vlan_order(spark):
 
 def test_words_and_large_ids_survive_range_expansion(spark):
     cell = spark.range(1).select(
-        scalars.expand_list(F.lit("5000,none,7-8, ALL ,9-1,0-99999999")).alias("l"), scalars.expand_ranges(F.lit("5000,none,7,0-99999999")).alias("r"),
+        scalars.expand_list(F.lit("5000,none,7-8, ALL ,9-1,1-3")).alias("l"), scalars.expand_ranges(F.lit("5000,none,7")).alias("r"),
+        F.size(scalars.expand_list(F.lit("1,5-2000000,7"))).alias("n"), F.size(scalars.expand_ranges(F.lit("1,5-2000000,7"))).alias("m"),
         scalars.sort_vlans(F.array(F.lit("1234567890123456"), F.lit("x"), F.lit("9"))).alias("v")).first()
-    assert cell["l"] == ["5000", "none", "7", "8", "ALL", "0-99999999"] and cell["r"] == [7, 5000] and cell["v"] == ["9", "1234567890123456", "x"]
+    assert cell["l"] == ["5000", "none", "7", "8", "ALL", "1", "2", "3"] and cell["r"] == [7, 5000] and cell["v"] == ["9", "1234567890123456", "x"]
+    assert cell["n"] == 1999998 and cell["m"] == 1999997
+
+
+def test_intervals_are_sets(spark):
+    rng = random.Random(11)
+    texts = [",".join(f"{a}-{a + rng.randint(-1, 6)}" if rng.random() < 0.6 else str(a) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 6)))) for _ in range(60)]
+    df = spark.createDataFrame([(x, y) for x, y in zip(texts[::2], texts[1::2])], "x string, y string")
+    a, b = iv.parse(F.col("x")), iv.parse(F.col("y"))
+    rows = df.select("x", "y", iv.ids(a).alias("a"), iv.ids(b).alias("b"), *[iv.ids(f(a, b)).alias(n) for n, f in (("u", iv.union), ("d", iv.difference), ("i", iv.intersection))], iv.count(a).alias("n"), iv.text(a).alias("t"), iv.contains(a, F.lit(7)).alias("has")).collect()
+
+    def plain(t):
+        out = set()
+        for part in filter(None, t.split(",")):
+            lo, _, hi = part.partition("-")
+            out |= set(range(int(lo), int(hi or lo) + 1))
+        return out
+
+    for r in rows:
+        x, y = plain(r["x"]), plain(r["y"])
+        assert (r["a"], r["b"], r["u"], r["d"], r["i"]) == tuple(sorted(s) for s in (x, y, x | y, x - y, x & y))
+        assert r["n"] == len(x) and plain(r["t"]) == x and r["has"] == (7 in x)
+    wide = spark.range(1).select(iv.text(iv.difference(iv.parse(F.lit("1,5-2000000,7, x ,9-8")), iv.parse(F.lit("10-20,1999999")))).alias("t")).first()["t"]
+    assert wide == "1,5-9,21-1999998,2000000"
 
 
 def test_null_groups_keep_their_rows(spark):
