@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsframe.checks.base import SERIES, Case, bind, log_lines, table
 from opsframe.checks.fleet import INTERFACES, MACS, POE, STP
-from opsframe.checks.logs import findings_cte
+from opsframe.checks.logs import COUNTERS, FINDING_COLUMNS, LABEL_COLUMNS, MAPS_SQL, PARSE_CTE, RULE_SQL, _finding_rows, findings_cte
+from opsframe.checks.monitoring import KV_CTE
 from opsframe.operators import inventory as iv
 from opsframe.operators import telemetry as tl
 from opsframe.plans import flows
@@ -57,24 +60,71 @@ def _count(df, *keys):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _logs_stream(s, d):
-    """Batch lines written as files, read back as a stream, run to completion."""
+def _stream_of(s, d):
+    """Log lines written as files and read back as a stream, and a folder for the query."""
     root = scratch_dir(s)
     log_lines(s, d).write.parquet(f"{root}/in")
-    lines = s.readStream.schema("source string, ord long, line string").parquet(f"{root}/in")
-    jobs.start_window_features(lines, 60, f"{root}/out", f"{root}/ckpt", "1 hour").awaitTermination()
-    return s.read.parquet(f"{root}/out").groupBy("scope").agg(F.count(F.lit(1)).alias("windows"), F.sum("total_events").alias("events"))
+    return s.readStream.schema("source string, ord long, line string").parquet(f"{root}/in"), root
+
+
+def _logs_stream(s, d):
+    """Closed five-minute windows of a stream that ran to completion."""
+    lines, root = _stream_of(s, d)
+    jobs.start_window_features(lines, 5, f"{root}/out", f"{root}/ckpt", "1 hour").awaitTermination()
+    out = s.read.parquet(f"{root}/out").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return out.select("scope", "hostname", "interface_id", "window_start", *STREAMED, "facility_counts", "mnemonic_counts")
+
+
+def _findings_stream(s, d):
+    """Newest findings over the closed bins of a stream that ran to completion."""
+    lines, root = _stream_of(s, d)
+    jobs.start_log_findings(lines, f"{root}/out", f"{root}/ckpt", "1 hour").awaitTermination()
+    return _finding_rows(jobs.latest_findings(s.read.parquet(f"{root}/out")))
 
 
-def _ingest_stream(s, d):
+def _ingest_root(s, d):
+    """Vendor records with some empty messages, streamed into events, rejects, raw records and progress."""
     from opsframe.checks.monitoring import kv
     from opsframe.operators import vendor as vd
 
     root = scratch_dir(s)
     kv(s, d).write.parquet(f"{root}/in")
     lines = s.readStream.schema("ord long, line string").parquet(f"{root}/in")
-    jobs.start_ingest(vd.parse_kv_syslog(lines)[0], f"{root}/out", f"{root}/ckpt").awaitTermination()
-    return _count(s.read.parquet(f"{root}/out"), "engine_target", "severity")
+    records = vd.parse_kv_syslog(lines)[0].withColumn("message", F.when(F.col("ord") % 9 == 0, "").otherwise(F.col("message"))).withColumn("hostname", F.lit("  "))
+    jobs.start_ingest(records, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    return f"{root}/out"
+
+
+def _progress(s, d):
+    return jobs.source_progress(s, _ingest_root(s, d)).select("source_key", "engine_target", "batches", "records", "events", "rejects", "first_time", "last_time", "reason", "status")
+
+
+def _running_counts(s, d):
+    """Complete-mode counts of the last batch."""
+    from opsframe.checks.monitoring import bind as rows
+
+    root = scratch_dir(s)
+    rows(s, d, EVENTS).write.parquet(f"{root}/in")
+    events = s.readStream.schema("event_type string, severity string, source_engine string").parquet(f"{root}/in")
+    jobs.start_monitoring(events, lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/ckpt").awaitTermination()
+    return s.read.parquet(f"{root}/out")
+
+
+EVENTS = "select event_type, case when value > 50 then 'high' else 'low' end as severity, 'e' || cast(user_id % 3 as string) as source_engine from events"
+# counters of lines, which the batch SQL weighs by repeats; the number of rows differs where repeats are collapsed
+STREAMED = [c for c in COUNTERS if c != "total_events"] + LABEL_COLUMNS
+CLOSED = "(select max(ts) - interval 1 hour from ev where parse_status <> 'failed' and ts is not null and not clock_unreliable)"
+
+
+def _closed_findings():
+    """Finding SQL over eligible events whose bin has closed: hours, or five minutes for authentication failures."""
+    parts = []
+    for m, rules in ((60, [r for r in RULE_SQL if r != "SYS-SNMP-AUTHFAIL"]), (5, ["SYS-SNMP-AUTHFAIL"])):
+        end = f"date_trunc('day', ts) + to_minutes(cast((floor((hour(ts) * 60 + minute(ts)) / {m}) + 1) * {m} as int))"
+        parts.append(f"e{m} as (select * from ev where parse_status <> 'failed' and ts is not null and not clock_unreliable and {end} <= {CLOSED})")
+        parts += [f"f{m}_{i} as (select {', '.join(FINDING_COLUMNS)} from ({re.sub(r'(?i)(from|join)(\s+)ev(?![a-z_0-9])', rf'\1\2e{m}', RULE_SQL[r])}))" for i, r in enumerate(rules)]
+    names = [p.split(" ")[0] for p in parts if p[0] == "f"]
+    return PARSE_CTE + ", " + ", ".join(parts) + " " + " union all ".join(f"select * from {n}" for n in names)
 
 
 def _telemetry(s, d):
@@ -131,6 +181,30 @@ def _telemetry_csv(s, d):
     return _count(rd.read_telemetry(s, f"{_csv(s, d, 'true')}/part0", ["1", "3"]), "device_id")
 
 
+def _text_files(s, d, at):
+    """One text file of ascending keys for every order status."""
+    keys = bind(s, d, "select o_orderstatus as device, cast(o_orderkey as string) as value, o_orderkey from orders")
+    keys.repartition(1).sortWithinPartitions("device", "o_orderkey").drop("o_orderkey").write.partitionBy("device").text(at)
+    return at
+
+
+def _file_digests(s, d):
+    found = rd.file_fingerprint(s, _text_files(s, d, f"{scratch_dir(s)}/files"))
+    return found.select(F.coalesce(F.nullif(F.regexp_extract("path", "device=([A-Z])", 1), F.lit("")), F.lit("all")).alias("file"), "bytes", "kind", "digest")
+
+
+def _captured(s, d):
+    root = scratch_dir(s)
+    _text_files(s, d, f"{root}/s1")
+    lines, missing = rd.read_captures(s, root, ["show_version"])
+    named = F.regexp_extract("device", "device=(.*)", 1)
+    n = lines.where("line <> ''").groupBy("snapshot_id", named.alias("device")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("line").cast("long")).alias("total"))
+    return n.join(missing.groupBy(named.alias("device")).agg(F.count(F.lit(1)).alias("missing")), "device")
+
+
+FILES = "with k as (select o_orderstatus as s, string_agg(cast(o_orderkey as varchar) || chr(10), '' order by o_orderkey) as t from orders group by 1), f as (select s as file, strlen(t) as bytes, 'sha256' as kind, sha256(t) as digest from k)"
+
+
 def _capture_csv(s, d):
     root = _csv(s, d, "id % 2 = 0", "id % 2 = 1")
     return _count(rd.read_capture_csvs(s, [f"{root}/part0", f"{root}/part1"], {"id": "long"}), "status")
@@ -209,6 +283,8 @@ CASES = {
     "src_fingerprint": Case(lambda s, d: rd.fingerprint(bind(s, d, "select o_orderkey, o_orderstatus, case when o_orderkey % 5 = 0 then null else o_orderpriority end as p from orders"), "o_orderstatus").withColumn("digest", F.col("digest").cast("string")),
         """with r as (select o_orderstatus as source, cast(('0x' || substr(sha1(cast(o_orderkey as varchar) || '|' || coalesce(case when o_orderkey % 5 = 0 then null else o_orderpriority end, chr(0))), 1, 15)) as hugeint) as h from orders)
         select source, count(*) as rows, cast(sum(h) as varchar) as digest, 2 as columns from r group by 1 union all select '__all__', count(*), cast(sum(h) as varchar), 2 from r"""),
+    "src_file_fingerprint": Case(_file_digests, FILES + " select * from f union all select 'all', sum(bytes), 'total', sha256(string_agg(digest, '' order by digest)) from f"),
+    "src_captures": Case(_captured, "select 's1' as snapshot_id, o_orderstatus as device, count(*) as lines, sum(o_orderkey) as total, 1 as missing from orders group by 2"),
     "src_flatten_csv": Case(lambda s, d: sk.flatten_for_csv(bind(s, d, "select o_orderkey as id, split(o_orderpriority, '-') as pr, named_struct('a', o_orderstatus, 'b', case when o_orderkey % 2 = 0 then null else o_custkey end) as st from orders"), ["id", "pr", "st_a", "st_b", "none"]),
         "select cast(o_orderkey as varchar) as id, replace(o_orderpriority, '-', ';') as pr, o_orderstatus as st_a, case when o_orderkey % 2 = 1 then cast(o_custkey as varchar) else '' end as st_b, '' as \"none\" from orders"),
     "log_ingest_job": Case(_ingest, findings_cte() + """ select 'events' as part, count(*) as n from ev union all select 'dropped', count(*) from cls where drop_reason is not null union all select 'duplicates', count(*) from kept where duplicate_count > 1
@@ -218,6 +294,11 @@ CASES = {
     "win_telemetry_job": Case(_telemetry),
     "enc_preprocess_job": Case(_preprocess),
     "mlt_health_job": Case(_health_model),
-    "str_window_features": Case(_logs_stream),
-    "str_ingest": Case(_ingest_stream),
+    "str_window_features": Case(_logs_stream, MAPS_SQL + f"select wl.scope, wl.hostname, wl.interface_id, strftime(wl.window_start, '%Y-%m-%d %H:%M:%S') as window_start, {', '.join('wl.' + c for c in STREAMED)}, coalesce(facility_counts, '{{}}') as facility_counts, coalesce(mnemonic_counts, '{{}}') as mnemonic_counts from wl left join fj on wl.scope = fj.scope and wl.hostname = fj.hostname and wl.interface_id = fj.interface_id and wl.window_start = fj.ws left join mj on wl.scope = mj.scope and wl.hostname = mj.hostname and wl.interface_id = mj.interface_id and wl.window_start = mj.ws where wl.window_start + interval 5 minutes <= {CLOSED}"),
+    "str_log_findings": Case(_findings_stream, _closed_findings()),
+    "str_ingest": Case(lambda s, d: jobs.ingested(s, _ingest_root(s, d)).select("event_id", "severity", "engine_target", "hostname", "source_name"), KV_CTE + """ select 'evt_' || substr(sha256('sophos_syslog|' || raw_ref || '|' || "timestamp" || '|' || message), 1, 16) as event_id, case severity when 'error' then 'high' else severity end as severity, 'cyber' as engine_target, null as hostname, 'sophos_firewall' as source_name from q where ord % 9 <> 0"""),
+    "str_rejects": Case(lambda s, d: jobs.ingested(s, _ingest_root(s, d), "rejects").select("ord", F.array_join("missing", ";").alias("missing")), KV_CTE + " select ord, 'message' as missing from q where ord % 9 = 0"),
+    "str_raw": Case(lambda s, d: jobs.ingested(s, _ingest_root(s, d), "raw").select("ord", "category", "raw_ref"), KV_CTE + " select ord, category, raw_ref from q"),
+    "str_progress": Case(_progress, KV_CTE + " select 'sophos_syslog' as source_key, 'cyber' as engine_target, 1 as batches, count(*) as records, count_if(ord % 9 <> 0) as events, count_if(ord % 9 = 0) as rejects, min(\"timestamp\") as first_time, max(\"timestamp\") as last_time, 'missing message' as reason, 'ok' as status from q"),
+    "str_running_counts": Case(_running_counts, f"with e as ({EVENTS.replace('as string', 'as varchar')}) select 'event_type' as dimension, event_type as value, count(*) as n from e group by 2 union all select 'severity', severity, count(*) from e group by 2 union all select 'source_engine', source_engine, count(*) from e group by 2"),
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsframe.checks.base import PRED, SERIES, Case, bind
+from opsframe.operators import bundles
 from opsframe.operators import experiments as ex
 from opsframe.operators import learning as ml
 from opsframe.operators import metrics as met
 from opsframe.operators import selection as sel
+from opsframe.session import scratch_dir
 
 P = f"with p as ({PRED})"
 M = P + """, c as (select y_true, y_pred, count(*) as n from p group by all), l as (select y_true as label from c union select y_pred from c),
@@ -86,16 +88,69 @@ def _pairs(method):
 RANKS = ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in [*COLS, "q2"])
 
 
-def _forest_model(s, d, kind):
-    df = nums(s, d).where("y is not null").select("q", "e", "d", "t", F.when(F.col("q") * 1000 > F.col("e"), "hi").otherwise("lo").alias("y"))
-    m = ml.train(df, "y", COLS, kind)
-    return met.confusion(m.predict(df).withColumnRenamed("y", "y_true"))
+TASK = "select l_quantity as q, l_extendedprice as e, l_discount as d, l_tax as t, case when l_quantity * 1000 > l_extendedprice then 'hi' else 'lo' end as y from lineitem where l_returnflag is not null"
+
+
+def _model(s, d, kind, **params):
+    """Rows of each class, and whether the model finds most of them."""
+    df = bind(s, d, TASK)
+    found = ml.train(df, "y", COLS, kind, **params).predict(df).groupBy(F.col("y").alias("y_true")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("recall"), F.max(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p) - 1)).alias("off"))
+    return found.select("y_true", "n", (F.col("recall") > 0.6).alias("learned"), (F.col("off") < 1e-9).alias("sums_to_one"))
+
+
+MODEL_SQL = f"select y as y_true, count(*) as n, true as learned, true as sums_to_one from ({TASK}) group by 1"
+#: Three classes that the columns decide, in parts of whole order keys; numbers of the returned rows are known without a model.
+RAW = """select l_orderkey, l_linenumber, l_quantity as q, l_extendedprice as e, l_discount as d, l_returnflag as mode, l_orderkey % 10 as g,
+ case when l_quantity < 15 then 'small' when l_discount > 0.05 then 'cheap' else 'plain' end as y from lineitem"""
+
+
+def _scored(df, keys=()):
+    p = F.map_values("class_probabilities")
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("complete").alias("scored"), F.count_if(~F.col("y_pred").isin("small", "cheap", "plain")).alias("unknown"),
+        F.count_if((F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9) | (F.size(p) != 3)).alias("bad_probabilities"),
+        (F.avg((F.col("y") == F.col("y_pred")).cast("double")) > 0.8).alias("learned"))
+
+
+def _saved_bundle(s, d, kind, **params):
+    """A bundle is fitted, written, read in another session and scores raw rows, some of them incomplete."""
+    raw, root = bind(s, d, RAW), f"{scratch_dir(s)}/bundle"
+    parts = raw.where("g < 7"), raw.where("g = 7")
+    version = bundles.save_bundle(bundles.fit_bundle(parts[0], "y", ["q", "e", "d"], ["mode"], kind=kind, valid=parts[1] if kind == "gbt" else None, **params), root)
+    test = raw.where("g > 7").withColumn("q", F.when(F.col("l_orderkey") % 50 != 9, F.col("q")))
+    return _scored(bundles.load_bundle(s, root, version).score(test, "flag"), ["g"])
+
+
+SCORED_SQL = f"select g, count(*) as rows, count_if(l_orderkey % 50 <> 9) as scored, 0 as unknown, 0 as bad_probabilities, true as learned from ({RAW}) where g > 7 group by 1"
+
+
+def _boosted_rounds(s, d):
+    """Rounds of boosted classes on labels that are partly noise: the validation rows end them before the limit."""
+    raw = bind(s, d, RAW).withColumn("y", F.when(F.abs(F.xxhash64("l_orderkey", "l_linenumber")) % 3 == 0, "plain").otherwise(F.col("y")))
+    m = ml.train(raw.where("g < 3"), "y", ["q", "e", "d"], "gbt", valid=raw.where("g = 7"), maxIter=8, maxDepth=4, stepSize=1.0, patience=2).model.boosted
+    h = m.rounds_table(s)
+    return h.agg((F.count(F.lit(1)) < 8).alias("ended_early"), (F.min_by("round", "validation_loss") == m.rounds).alias("best_kept"), (F.max_by("train_loss", "round") < F.min_by("train_loss", "round")).alias("learned"))
+
+
+def _experiment(s, d):
+    """Every split's metrics in range, and its confusion counts adding up to its rows."""
+    e = ml.run_experiment({k: v.select("q", "e", "d", "y") for k, v in _raw_parts(s, d).items()}, "y", ["q", "e", "d"], "forest", numTrees=5)
+    ok = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "false_positive_rate"):
+        ok = ok & F.col(c).between(0, 1)
+    counted = e.confusion.groupBy("split").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells"))
+    return e.metrics.select("split", "n_classes", ok.alias("in_range"), (F.col("predict_seconds") > 0).alias("timed")).join(counted, "split")
+
+
+def _raw_parts(s, d):
+    raw = bind(s, d, RAW)
+    return {"train": raw.where("g < 7"), "validation": raw.where("g = 7"), "test": raw.where("g > 7")}
 
 
 def _isolation(s, d):
     df = bind(s, d, SERIES).select("event_id", "octets", F.coalesce("cpu", F.lit(0.0)).alias("cpu"), "status")
     f = ml.fit_isolation_forest(df, ["octets", "cpu", "status"], "event_id", 20)
-    return f.score(df).agg(F.count(F.lit(1)).alias("rows"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return f.score(df).agg(F.count(F.lit(1)).alias("rows"), (F.min("score") > 0).alias("above_zero"), (F.max("score") <= 1).alias("up_to_one"), (F.stddev_pop("score") > 0.001).alias("differs"))
 
 
 def _parts(s, d):
@@ -153,16 +208,18 @@ CASES = {
     "fsl_chi2": Case(_score_cols(sel.chi2_scores), f"with x as ({NUM}) " + " union all ".join(f"(with z as (select y, ({c} - (select min({c}) from x)) / (select max({c}) - min({c}) from x) as v from x), g as (select y, sum(v) as o, count(*) as n from z group by y), e as (select *, sum(o) over () * n / sum(n) over () as ex from g) select '{c}' as feature, round(sum((o - ex) * (o - ex) / ex), 4) as score from e)" for c in COLS)),
     "fsl_anova": Case(_score_cols(sel.anova_scores), f"with x as ({NUM}) " + " union all ".join(f"(with g as (select y, count(*) as n, avg({c}) as m, var_pop({c}) * count(*) as ss from x group by y), a as (select avg({c}) as gm from x) select '{c}' as feature, round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 4) as score from g, a)" for c in COLS)),
     "fsl_select_top_k": Case(lambda s, d: sel.select_features(nums(s, d), COLS, "y", "variance", 2).transform(nums(s, d)).agg(F.round(F.sum("e"), 2).alias("e"), F.round(F.sum("q"), 2).alias("q"), F.count("y").alias("y")), f"with x as ({NUM}) select round(sum(e), 2) as e, round(sum(q), 2) as q, count(y) as y from x"),
-    "fsl_tree_importance": Case(lambda s, d: ml.tree_importance(nums(s, d), COLS, "y", 5, 3)),
-    "fsl_rfe": Case(lambda s, d: ml.rfe(nums(s, d), COLS, "y", 2, 1)),
-    "fsl_pca": Case(lambda s, d: ml.fit_pca(nums(s, d), COLS, 0.9).transform(nums(s, d)).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("pc_1"), 3).alias("mean"))),
+    "fsl_tree_importance": Case(lambda s, d: ml.tree_importance(nums(s, d), COLS, "y", 5, 3).agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("score"), 6).alias("total"), F.count_if(F.col("score") < 0).alias("negative")), "select 4 as features, 1.0 as total, 0 as negative"),
+    "fsl_rfe": Case(lambda s, d: ml.rfe(nums(s, d), COLS, "y", 2, 1).groupBy("rank").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("score"), 6).alias("score")), "select * from (values (1, 2, 2.0), (2, 1, 0.5), (3, 1, 0.333333)) v(rank, features, score)"),
+    "fsl_pca": Case(lambda s, d: ml.fit_pca(nums(s, d), COLS, 0.9).transform(nums(s, d)).agg(F.count(F.lit(1)).alias("rows"), F.round(F.abs(F.avg("pc_1")), 3).alias("mean"), F.round(F.var_samp("pc_1") / F.var_samp("e"), 3).alias("share")), f"with x as ({NUM}) select count(*) as rows, 0.0 as mean, 1.0 as share from x"),
     "fsl_engineer": Case(_engineer),
-    "mlt_forest": Case(lambda s, d: _forest_model(s, d, "forest")),
-    "mlt_gbt": Case(lambda s, d: _forest_model(s, d, "gbt")),
-    "mlt_mlp": Case(lambda s, d: _forest_model(s, d, "mlp")),
-    "mlt_isolation_forest": Case(_isolation),
+    "mlt_forest": Case(lambda s, d: _model(s, d, "forest"), MODEL_SQL),
+    "mlt_gbt": Case(lambda s, d: _model(s, d, "gbt"), MODEL_SQL),
+    "mlt_mlp": Case(lambda s, d: _model(s, d, "mlp"), MODEL_SQL),
+    "mlt_isolation_forest": Case(_isolation, "select count(*) as rows, true as above_zero, true as up_to_one, true as differs from events"),
+    "mlt_boosted_classes": Case(lambda s, d: _saved_bundle(s, d, "gbt", maxIter=4, maxDepth=3), SCORED_SQL),
+    "mlt_boosted_rounds": Case(_boosted_rounds, "select true as ended_early, true as best_kept, true as learned"),
     "mlt_threshold": Case(_threshold, P + ", t as (select quantile_cont(score, 0.93) as c from p) select (score > c)::int as flag, count(*) as n from p, t group by 1"),
-    "mlt_experiment": Case(lambda s, d: ml.run_experiment(_parts(s, d), "y", COLS, "forest", numTrees=5)[1]),
-    "mlt_tune": Case(lambda s, d: ml.tune(_parts(s, d)["train"], _parts(s, d)["validation"], "y", COLS, "forest", {"numTrees": [3, 5], "maxDepth": [2, 4]}, 2)),
-    "mlt_batch_score": Case(lambda s, d: ml.train(_parts(s, d)["train"], "y", COLS, "forest", numTrees=5).predict(_parts(s, d)["test"]).groupBy("y", "y_pred").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("score"))),
+    "mlt_experiment": Case(_experiment, f"select case when g < 7 then 'train' when g = 7 then 'validation' else 'test' end as split, 3 as n_classes, true as in_range, true as timed, count(*) as rows, 9 as cells from ({RAW}) group by 1"),
+    "mlt_tune": Case(lambda s, d: ml.tune(_parts(s, d)["train"], _parts(s, d)["validation"], "y", COLS, "forest", {"numTrees": [3, 5], "maxDepth": [2, 4]}, 2).agg(F.count_distinct("trial").alias("trials"), F.count_if(F.col("value").between(0, 1)).alias("in_range"), F.count_distinct("params").alias("settings")), "select 2 as trials, 2 as in_range, 2 as settings"),
+    "mlt_batch_score": Case(lambda s, d: _saved_bundle(s, d, "forest", numTrees=10, maxDepth=6), SCORED_SQL),
 }

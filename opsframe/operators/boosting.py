@@ -1,7 +1,7 @@
 """Multi-class boosted trees: one tree per class and round, all classes share the softmax of their margins.
 
 Every round fits Spark's regression trees to the Newton step of the log loss: the target is gradient / hessian and
-the weight is the hessian, so a leaf's mean is sum(gradient) / sum(hessian). The trees of a class end up in one
+the weight is the hessian, so a leaf's mean is sum(gradient) / sum(hessian), with each row's step bounded by ``LARGEST``. The trees of a class end up in one
 ``GBTRegressionModel``, which Spark scores in one pass and saves by itself. A validation table, or a flag column of
 the training table, stops the rounds early at the best log loss.
 """
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any, Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,10 @@ from opsframe.session import cut_lineage
 
 #: Smallest hessian of a row, so that targets stay finite for rows that are all but certain.
 LEAST = 1e-6
+#: Largest Newton step of a row; steps of rows that are all but certain would overshoot.
+LARGEST = 4.0
+#: Trees of a round that are fitted at a time.
+PARALLEL = 4
 #: Rounds between written margins.
 WRITE_EVERY = 5
 
@@ -94,15 +100,20 @@ def fit_boosted(df: DataFrame, label: str, classes: int, rounds: int = 20, depth
     for round_ in range(1, rounds + 1):
         p = softmax(F.col("_margins"))
         steps = work.withColumn("_p", p)
-        fitted = []
-        for k in range(classes):
+
+        def fit_class(k: int) -> DecisionTreeRegressionModel:
             pk = F.get("_p", F.lit(k))
             hessian = F.greatest(pk * (1 - pk), F.lit(LEAST))
             gradient = F.when(F.col(label) == k, 1.0).otherwise(0.0) - pk
-            data = steps.select(features_col, (gradient / hessian).alias("_t"), hessian.alias("_h"))
+            target = F.greatest(F.least(gradient / hessian, F.lit(LARGEST)), F.lit(-LARGEST))
+            data = steps.select(features_col, target.alias("_t"), hessian.alias("_h"))
             tree = DecisionTreeRegressor(featuresCol=features_col, labelCol="_t", weightCol="_h", predictionCol=f"_s{k}", maxDepth=depth, maxBins=bins, seed=seed + round_)
-            fitted.append(tree.fit(data))
-            trees[k].append(fitted[k])
+            return tree.fit(data)
+
+        with ThreadPool(min(classes, PARALLEL)) as pool:  # a round's trees don't depend on each other
+            fitted = pool.map(inheritable_thread_target(spark)(fit_class), range(classes))
+        for own, tree in zip(trees, fitted):
+            own.append(tree)
         write = round_ % WRITE_EVERY == 0
         work, held = (None if d is None else _advance(d, fitted, rate, write) for d in (work, held))
         loss = log_loss(work, "_margins", label)

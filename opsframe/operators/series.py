@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 DAY = 86400
@@ -54,8 +54,11 @@ def dedupe_readings(df: DataFrame, keys: Sequence[str] = ("ts", *SERIES), tiebre
     return picked.select(*keys, "r.*").select(*df.columns)
 
 
-def fill_series(df: DataFrame, cols: Sequence[str], series: Sequence[str] = SERIES, order: Sequence[str] = ("ts",), seconds: int = DAY) -> DataFrame:
-    """Forward fill, then back fill the leading gap; rows still incomplete are dropped."""
+def fill_series(df: DataFrame, cols: Sequence[str], series: Sequence[str] = SERIES, order: Sequence[str] = ("ts",), seconds: int = DAY, dropped: Observation | None = None) -> DataFrame:
+    """Forward fill, then back fill the leading gap; rows still incomplete are dropped.
+
+    ``dropped`` counts them as ``dropped`` when the plan runs, without a scan of its own.
+    """
     base = with_chunk(df, order[0], seconds)
     keys = [*series, "_chunk"]
     seen = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order))
@@ -77,7 +80,13 @@ def fill_series(df: DataFrame, cols: Sequence[str], series: Sequence[str] = SERI
         c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_p_{c}"), F.first(c, ignorenulls=True).over(ahead), F.col(f"_n_{c}"))
         for c in cols
     }
-    return out.withColumns(filled).select(*df.columns).dropna(subset=list(cols))
+    out = out.withColumns(filled).select(*df.columns)
+    if dropped is not None:
+        gaps = F.lit(False)
+        for c in cols:
+            gaps = gaps | F.col(c).isNull()
+        out = out.observe(dropped, F.count_if(gaps).alias("dropped"))
+    return out.dropna(subset=list(cols))
 
 
 def counter_rates(df: DataFrame, counters: Sequence[str], clip_resets: bool = True, series: Sequence[str] = SERIES, order: Sequence[str] = ("ts",)) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from opsframe.operators import encoding, findings, learning, logs, profiling, selection, series, splits, tables, telemetry, windows
@@ -51,7 +51,8 @@ def preprocess_telemetry(df: DataFrame, schema: telemetry.TelemetrySchema, tiebr
     once = series.dedupe_readings(timed, [ts, *keys], tiebreak)
     numeric = schema.present(once, [*schema.counters, *schema.gauges])
     once = once.withColumns({c: F.col(c).try_cast("double") for c in numeric})
-    filled = series.fill_series(once, numeric, keys, [ts])
+    gaps = Observation()
+    filled = series.fill_series(once, numeric, keys, [ts], dropped=gaps)
     rated = series.counter_rates(filled, schema.present(filled, schema.counters), clip_resets, keys, [ts])
     bounds = {c: (0.0, None) for c in numeric} | {c: b for c, b in schema.bounds.items() if c in rated.columns}
     work = telemetry.clip_bounds(rated, bounds)
@@ -59,7 +60,8 @@ def preprocess_telemetry(df: DataFrame, schema: telemetry.TelemetrySchema, tiebr
         work = series.resample(work.drop(tiebreak), rule, keys, ts)
     out = telemetry.split_by_time(cut_lineage(work), ts, fractions)
     n = lambda d, name: d.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("metric"), "value")
-    manifest = n(df, "raw_rows").unionByName(n(timed, "timed_rows")).unionByName(n(once, "deduped_rows")).unionByName(n(out, "rows"))
+    lost = df.sparkSession.createDataFrame([("unfilled_rows", str(gaps.get["dropped"]))], "metric string, value string")  # known since the work was written
+    manifest = n(df, "raw_rows").unionByName(n(timed, "timed_rows")).unionByName(n(once, "deduped_rows")).unionByName(lost).unionByName(n(out, "rows"))
     per = out.groupBy("split").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.concat(F.lit("rows_"), F.col("split")).alias("metric"), "value")
     return out, manifest.unionByName(per)
 

@@ -132,3 +132,28 @@ def fingerprint(df: DataFrame, source: str | None = None) -> DataFrame:
     per = d.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), set_digest("_row").alias("digest"))
     total = per.agg(F.sum("rows").alias("rows"), F.sum("digest").cast("decimal(38,0)").alias("digest")).select(F.lit("__all__").alias("source"), "rows", "digest")
     return per.unionByName(total).withColumn("columns", F.lit(len(cells)))
+
+
+#: Spark holds a file's content in one value, which has this many bytes at most.
+WHOLE_FILE = (1 << 31) - 64
+
+
+def file_fingerprint(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``path, bytes, kind, digest`` of every file, and a row ``__all__`` that doesn't depend on the files' order.
+
+    A file's digest is the SHA-256 of its bytes; the total is that of all sorted digests one after the other, which puts one
+    digest a file into one row. Empty files have no row, as Spark reads none of them. Files too large for one value (kind ``lines``) get the order-free digest of their lines.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    # filters on the length are answered by the source, which then never opens the larger files
+    small = files.where(F.col("length") <= WHOLE_FILE).select("path", F.col("length").alias("bytes"), F.lit("sha256").alias("kind"), F.sha2("content", 256).alias("digest"))
+    large = [r["path"] for r in files.where(F.col("length") > WHOLE_FILE).select("path").collect()]  # one path a file
+    every = small
+    if large:
+        rows = spark.read.text(large).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), "value")
+        lines = rows.groupBy("path", "bytes").agg(F.count(F.lit(1)).alias("n"), set_digest("value").alias("d"))
+        every = small.unionByName(lines.select("path", "bytes", F.lit("lines").alias("kind"), F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("d").cast("string")), 256).alias("digest")))
+    total = every.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.array_join(F.array_sort(F.collect_list("digest")), "").alias("joined"))
+    return every.unionByName(total.select(
+        F.lit("__all__").alias("path"), "bytes", F.lit("total").alias("kind"), F.when(F.col("joined") == "", "").otherwise(F.sha2("joined", 256)).alias("digest")))
