@@ -29,7 +29,9 @@ select 'run' || cast(day(ts) as string) as run_id, 'S' || cast(event_id as strin
    when event_id % 8 = 7 and event_id % 3 = 2 then 'clock_unreliable' else 'syslog' end, ';') as tags
 from events
 """
-_PRE = "('engine_c')"
+# runs of a device and day, in which intrusion signals become health signals every other day
+QUIET = SIG.replace("'run' || cast(day(ts) as string) as run_id", "'run' || cast(day(ts) as string) || case when day(ts) % 2 = 0 then 'q' else '' end as run_id").replace(
+    "case when event_id % 17 = 0 then 'engine_a'", "case when event_id % 17 = 0 and day(ts) % 2 = 1 then 'engine_a'")
 CTE = f"""with sig as ({SIG}),
 p as (select *, lower(trim(regexp_replace(coalesce(interface, ''), '^([A-Za-z]+) *([0-9/]+)$', '\\1'))) as pf, regexp_extract(coalesce(interface, ''), '([0-9/]+)$', 1) as nm from sig),
 c as (select *, coalesce(device, 'unknown') as gd, lower(coalesce(device, '')) as dev, nullif(lower(trim(interface)), '') as lif,
@@ -100,7 +102,7 @@ def sig(s, d):
 
 
 def _rule(fn, name):
-    return Case(lambda s, d: fn(inc.classify(sig(s, d))).select("run_id", "rule_id", "key", "signal_id").distinct(), CTE + f"select run_id, rule_id, key, signal_id from {name}")
+    return Case(lambda s, d: fn(inc.classify(sig(s, d))).rows().select("run_id", "rule_id", "key", "signal_id"), CTE + f"select run_id, rule_id, key, signal_id from {name}")
 
 
 def _incidents(*cols):
@@ -111,13 +113,24 @@ def _incidents(*cols):
 
 
 def _evidence(s, d):
-    c = inc.classify(sig(s, d))
-    return inc.incident_evidence(cut_lineage(inc.cross_members(c)), c)
+    return inc.incident_evidence(inc.cross_members(cut_lineage(inc.classify(sig(s, d)))))
+
+
+def _items(s, d):
+    """Evidence of the critical incidents."""
+    incidents, m = inc.correlate(sig(s, d))
+    found = incidents.where("severity = 'critical'")
+    return inc.evidence_items(m, found).join(found.select("run_id", "incident_id", "rule_id", "key"), ["run_id", "incident_id"]).drop("incident_id")
 
 
 def _uncovered(s, d):
-    c = inc.classify(sig(s, d))
-    return inc.rule_uncovered(c, cut_lineage(inc.cross_members(c))).select("run_id", "rule_id", "key", "signal_id")
+    c = cut_lineage(inc.classify(sig(s, d)))
+    return inc.rule_uncovered(c, inc.cross_members(c)).select("run_id", "rule_id", "key", "signal_id")
+
+
+def _no_attack(s, d):
+    """Runs by hour, half of them without an attack, so that degraded links come without one."""
+    return bind(s, d, QUIET)
 
 
 def log_findings(s, d):
@@ -198,7 +211,8 @@ CASES = {
         "select event_id, case event_id % 9 when 0 then 'gi0/' when 1 then 'gi0/' when 2 then 'te' when 3 then 'fa0/' when 4 then 'eth' when 5 then 'po' when 6 then 'vlanif' when 7 then 'gi' else 'weirdname' end || cast(user_id % 4 as varchar) as c from events"),
     "cor_match_entities": Case(lambda s, d: bind(s, d, PAIR_BIND).select("i", "k", sg.match_entities(F.col("da"), F.col("ia"), F.col("db"), F.col("ib")).alias("m")), PAIR_SQL),
     "cor_rule_saturation": _rule(inc.rule_saturation, "m_sat"),
-    "cor_rule_link_degradation": _rule(inc.rule_link_degradation, "m_link"),
+    "cor_rule_link_degradation": Case(lambda s, d: inc.rule_link_degradation(inc.classify(_no_attack(s, d))).rows().select("run_id", "rule_id", "key", "signal_id"), CTE.replace(SIG, QUIET) + "select run_id, rule_id, key, signal_id from m_link"),
+    "cor_evidence_items": Case(_items, CTE + "select fin.run_id, rule_id, key, c.engine, signal_id, c.title, c.source_artifact from fin join mem using (run_id, rule_id, key) join c using (run_id, signal_id) where fin.severity = 'critical'"),
     "cor_rule_exposure": _rule(inc.rule_exposure, "m_exp"),
     "cor_rule_vlan_risk": _rule(inc.rule_vlan_risk, "m_vlan"),
     "cor_rule_auth_campaign": _rule(inc.rule_auth_campaign, "m_auth"),

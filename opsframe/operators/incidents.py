@@ -1,14 +1,17 @@
 """Incident correlation over a signals table, every rule grouped by run.
 
-Membership is a long table (run, rule, key, signal). Counts, engine sets and
-entity matching are mergeable aggregates over it, so no incident's members are
-ever collected into one row and no pairs of members are formed.
+Membership is factorised: an incident has rows of its own, and references to signal sets of its run that many incidents
+share (all attacks, a device's health signals, ...). 200 groups that all take in the same 200 signals are 200 own rows,
+200 references and 200 set rows. Counts, engines and digests of a set are computed once and added to each incident that
+refers to it; cross-engine pairs come from products of counts per key, so neither members nor pairs are ever listed.
+Sets of one incident, and its own rows, never share a signal: each takes another engine or source type.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,207 +81,249 @@ def classify(signals: DataFrame) -> DataFrame:
     })
 
 
-def run_flags(c: DataFrame) -> DataFrame:
-    flags = ("attack", "dos", "health", "degraded", "vlan_issue")
-    return c.groupBy("run_id").agg(*[F.bool_or(f).alias(f"any_{f}") for f in flags])
-
-
 MEMBER = ["run_id", "rule_id", "key", "place", "cap", "signal_id"]
+INCIDENT = ["run_id", "rule_id", "key"]
+ENGINES = [ENGINE_A, ENGINE_B, ENGINE_C, SYSLOG]
+#: What the scores read of a signal.
+FACTS = ["dev", "device", "interface", "lif", "cif", "engine", "severity", "aggregate", "clock_unreliable", "entity_confident", "confidence_label", "title", "source_artifact"]
 
 
-def _members(df: DataFrame, rule: str, key: Column, place: Column | None = None, cap: Column | None = None) -> DataFrame:
-    return df.select(
-        "run_id", F.lit(rule).alias("rule_id"), key.cast("string").alias("key"), (F.lit("") if place is None else place).cast("string").alias("place"),
-        (F.lit(None) if cap is None else cap).cast("string").alias("cap"), "signal_id")
-
-
-def _attach(groups: DataFrame, signals: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """Members that join existing groups of the same run (and, if given, the same keys)."""
-    return groups.join(signals.select("run_id", *on, "signal_id"), ["run_id", *on]).select(*MEMBER)
-
-
-def _device_groups(primary: DataFrame, rule: str) -> DataFrame:
-    place = F.col("group_dev")
-    return primary.select("run_id", F.lit(rule).alias("rule_id"), place.alias("key"), place.alias("place"), F.lit(None).cast("string").alias("cap"), F.lower(F.trim("group_dev")).alias("dev")).distinct()
-
-
-def rule_saturation(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Denial-of-service tagged (else any) attack signals with health anomalies, per run."""
-    f = run_flags(c).where("(any_attack or any_dos) and any_health")
-    d = c.join(f, "run_id").where((F.col("any_dos") & F.col("dos")) | (~F.col("any_dos") & F.col("attack")) | F.col("health") | F.col("saturation"))
-    ok = d.groupBy("run_id").agg(F.count_distinct("engine").alias("n")).where(F.col("n") >= t.min_engines)
-    return _members(d.join(ok, "run_id", "left_semi"), "DOS_SATURATION", F.lit("run"))
-
+@dataclass(frozen=True)
+class Membership:
+    """``own``: MEMBER and FACTS; ``refs``: INCIDENT, place, cap, set_id; ``sets``: run_id, set_id, signal_id and FACTS."""
 
-def rule_link_degradation(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    quiet = run_flags(c).where("not any_attack and any_health and any_degraded").select("run_id")
-    own = c.where("degraded").join(quiet, "run_id", "left_semi")
-    groups = _device_groups(own, "LINK_DEGRADATION")
-    return _members(own, "LINK_DEGRADATION", F.col("group_dev"), F.col("group_dev")).unionByName(_attach(groups, c.where("health")))
+    own: DataFrame
+    refs: DataFrame
+    sets: DataFrame
 
+    def rows(self) -> DataFrame:
+        """All members one by one, for reports on few incidents; the scores don't use it."""
+        shared = self.refs.join(self.sets.select("run_id", "set_id", "signal_id"), ["run_id", "set_id"])
+        return self.own.select(MEMBER).unionByName(shared.select(MEMBER))
 
-def rule_exposure(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    own = c.where("exposed")
-    return _members(own, "CONFIG_EXPOSURE", F.col("group_dev"), F.col("group_dev")).unionByName(_attach(_device_groups(own, "CONFIG_EXPOSURE"), c.where("attack")))
+    def covered(self) -> DataFrame:
+        """``run_id, signal_id`` of every signal in some incident."""
+        used = self.sets.join(self.refs.select("run_id", "set_id").distinct(), ["run_id", "set_id"], "left_semi")
+        return self.own.select("run_id", "signal_id").unionByName(used.select("run_id", "signal_id")).distinct()
 
 
-def rule_vlan_risk(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    own = c.where("vlan_issue").join(run_flags(c).where("any_attack").select("run_id"), "run_id", "left_semi")
-    return _members(own, "VLAN_POLICY_RISK", F.col("group_dev"), F.col("group_dev")).unionByName(_attach(_device_groups(own, "VLAN_POLICY_RISK"), c.where("attack")))
+def set_name(kind: str, *keys: Column) -> Column:
+    """Id of a shared set; null if a key is."""
+    return F.concat(F.lit(kind), *[x for k in keys for x in (F.lit("\x1f"), k)])
 
 
-def rule_auth_campaign(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    big = c.where("auth").groupBy("run_id", "group_dev").agg(F.sum("w").alias("n")).where(F.col("n") >= t.min_attempts)
-    own = c.where("auth").join(big, ["run_id", "group_dev"], "left_semi")
-    name = "SYSLOG_SNMP_AUTH_CAMPAIGN"
-    return _members(own, name, F.col("group_dev"), F.col("group_dev")).unionByName(_attach(_device_groups(own, name), c.where("attack")))
+def shared_sets(c: DataFrame) -> DataFrame:
+    """Every signal once per set that it belongs to."""
+    dev, raw_if = F.col("dev"), F.nullif("interface", F.lit(""))
+    sets = [
+        (F.col("attack"), set_name("attack")), (F.col("health"), set_name("health")), (F.col("health"), set_name("health", dev)),
+        ((F.col("engine") == ENGINE_C), set_name("config", dev, F.col("cif"))), (F.col("mac_flap"), set_name("moves", dev)),
+        (F.col("flap"), set_name("flaps", raw_if)), (F.col("auth") | F.col("exposed"), set_name("access", dev)),
+    ]
+    names = F.array_compact(F.array(*[F.when(cond, name) for cond, name in sets]))
+    return c.select("run_id", F.explode(names).alias("set_id"), "signal_id", *FACTS)
 
 
-def _single_groups(own: DataFrame, rule: str) -> DataFrame:
-    """One group per signal, with the device and interface keys others attach by."""
-    place = F.coalesce(F.nullif("interface", F.lit("")), "group_dev")
-    return own.select("run_id", F.lit(rule).alias("rule_id"), F.col("signal_id").alias("key"), place.alias("place"), F.lit(None).cast("string").alias("cap"),
-                      F.lower(F.trim("group_dev")).alias("dev"), "cif", F.coalesce("interface", F.lit("")).alias("raw_if"))
+def _by_device(rule: str) -> tuple[str, Column, Column, Column]:
+    return rule, F.col("group_dev"), F.col("group_dev"), F.lit(None).cast("string")
 
 
-def rule_port_instability(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    own = c.where(F.col("flap") & (F.col("w") >= t.min_transitions))
-    g = _single_groups(own, "PORT_INSTABILITY")
-    place = F.coalesce(F.nullif("interface", F.lit("")), "group_dev")
-    out = _members(own, "PORT_INSTABILITY", F.col("signal_id"), place)
-    out = out.unionByName(_attach(g, c.where("health"), ["dev"]))
-    return out.unionByName(_attach(g.where("cif is not null"), c.where((F.col("engine") == ENGINE_C) & F.col("cif").isNotNull()), ["dev", "cif"]))
+def _by_signal(rule: str) -> tuple[str, Column, Column, Column]:
+    return rule, F.col("signal_id"), F.coalesce(F.nullif("interface", F.lit("")), "group_dev"), F.lit(None).cast("string")
 
 
-def rule_loop(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    part = c.where("dev <> '' and (mac_flap or ring or topo)")
-    g = part.groupBy("run_id", "dev").agg(
+def own_rows(c: DataFrame, t: Thresholds = Thresholds(), rules: Sequence[str] | None = None) -> DataFrame:
+    """The rows that rules take by a signal's own flags and by totals of its run and device, of all rules in one pass."""
+    flags = ("attack", "dos", "health", "degraded", "saturation")
+    runs = c.groupBy("run_id").agg(*[F.bool_or(f).alias(f"any_{f}") for f in flags])
+    auths = c.where("auth").groupBy("run_id", "group_dev").agg(F.sum("w").alias("auth_n"))
+    loops = c.where("dev <> '' and (mac_flap or ring or topo)").groupBy("run_id", "dev").agg(
         F.bool_or("mac_flap").alias("has_mac"), F.bool_or("ring").alias("has_ring"), F.bool_or("topo").alias("has_topo"),
-        F.sum(F.when(F.col("mac_flap"), F.col("w")).otherwise(0)).alias("n"),
-    ).where((F.col("has_mac") | F.col("has_ring")) & (F.col("has_ring") | (F.col("n") >= t.min_mac_flaps)))
-    sources = F.col("has_mac").cast("int") + F.col("has_ring").cast("int") + F.col("has_topo").cast("int")
-    cap = F.when(sources < 2, "high")
-    joined = part.join(g.select("run_id", "dev", cap.alias("cap_")), ["run_id", "dev"])
-    return _members(joined, "LOOP_OR_REDUNDANCY_INSTABILITY", F.col("dev"), F.col("dev"), F.col("cap_"))
-
-
-def rule_duplicate_ip(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    own = c.where("dup_ip")
-    name = "DUPLICATE_IP_CONFLICT"
-    out = _members(own, name, F.col("group_dev"), F.col("group_dev")).unionByName(_attach(_device_groups(own, name), c.where("mac_flap"), ["dev"]))
-    return out.withColumn("cap", F.lit("high"))
-
-
-def rule_poe(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """A flap joins by interface name on any device of the run, as the rule defines it."""
-    own = c.where("poe")
-    g = _single_groups(own, "POE_ENDPOINT_FAILURE")
-    place = F.coalesce(F.nullif("interface", F.lit("")), "group_dev")
-    out = _members(own, "POE_ENDPOINT_FAILURE", F.col("signal_id"), place)
-    flaps = c.where("flap").withColumn("raw_if", F.coalesce("interface", F.lit("")))
-    out = out.unionByName(_attach(g.where("raw_if <> ''"), flaps, ["raw_if"]))
-    return out.unionByName(_attach(g.where("cif is not null"), c.where((F.col("engine") == ENGINE_C) & F.col("cif").isNotNull()), ["dev", "cif"]))
-
+        F.sum(F.when(F.col("mac_flap"), F.col("w")).otherwise(0)).alias("moves"))
+    d = c.join(runs, "run_id").join(auths, ["run_id", "group_dev"], "left").join(loops, ["run_id", "dev"], "left")
+    col, none = F.col, F.lit(None).cast("string")
+    attacked = col("any_attack") | col("any_dos")
+    engines = 2 + col("any_saturation").cast("int")  # intrusion and health signals are there, or the rule doesn't hold
+    saturating = (col("any_dos") & col("dos")) | (~col("any_dos") & col("attack")) | col("health") | col("saturation")
+    looping = (col("has_mac") | col("has_ring")) & (col("has_ring") | (col("moves") >= t.min_mac_flaps)) & (col("mac_flap") | col("ring") | col("topo"))
+    sources = col("has_mac").cast("int") + col("has_ring").cast("int") + col("has_topo").cast("int")
+    own = [
+        (attacked & col("any_health") & (engines >= t.min_engines) & saturating, ("DOS_SATURATION", F.lit("run"), F.lit(""), none)),
+        (col("degraded") & ~col("any_attack") & col("any_health"), _by_device("LINK_DEGRADATION")),
+        (col("exposed"), _by_device("CONFIG_EXPOSURE")),
+        (col("vlan_issue") & col("any_attack"), _by_device("VLAN_POLICY_RISK")),
+        (col("auth") & (col("auth_n") >= t.min_attempts), _by_device("SYSLOG_SNMP_AUTH_CAMPAIGN")),
+        (col("flap") & (col("w") >= t.min_transitions), _by_signal("PORT_INSTABILITY")),
+        (looping, ("LOOP_OR_REDUNDANCY_INSTABILITY", col("dev"), col("dev"), F.when(sources < 2, "high"))),
+        (col("dup_ip"), (*_by_device("DUPLICATE_IP_CONFLICT")[:3], F.lit("high"))),
+        (col("poe"), _by_signal("POE_ENDPOINT_FAILURE")),
+        (col("mgmt"), _by_device("MANAGEMENT_ACCESS_EXPOSURE")),
+        (col("clock"), ("CLOCK_INTEGRITY_RISK", F.lit("run"), F.lit(""), none)),
+    ]
+    hits = [
+        F.when(cond, F.struct(F.lit(rule).alias("rule_id"), key.cast("string").alias("key"), place.cast("string").alias("place"), cap.cast("string").alias("cap")))
+        for cond, (rule, key, place, cap) in own if rules is None or rule in rules]
+    return d.select("run_id", F.explode(F.array_compact(F.array(*hits))).alias("m"), "signal_id", "group_dev", *FACTS).select(
+        "run_id", "m.*", "signal_id", "group_dev", *FACTS)
+
+
+def set_refs(own: DataFrame) -> DataFrame:
+    """The sets that each group of own rows takes in, one row each."""
+    dev, cif, raw_if = F.lower(F.trim("group_dev")), F.col("cif"), F.nullif("interface", F.lit(""))
+    wanted = {
+        "LINK_DEGRADATION": [set_name("health")], "CONFIG_EXPOSURE": [set_name("attack")], "VLAN_POLICY_RISK": [set_name("attack")],
+        "SYSLOG_SNMP_AUTH_CAMPAIGN": [set_name("attack")], "PORT_INSTABILITY": [set_name("health", dev), set_name("config", dev, cif)],
+        "DUPLICATE_IP_CONFLICT": [set_name("moves", dev)], "POE_ENDPOINT_FAILURE": [set_name("flaps", raw_if), set_name("config", dev, cif)],
+        "MANAGEMENT_ACCESS_EXPOSURE": [set_name("access", dev), set_name("attack")],
+    }
+    names = pick([(F.col("rule_id") == r, F.array_compact(F.array(*n))) for r, n in wanted.items()], F.array().cast("array<string>"))
+    return own.select(*INCIDENT, "place", "cap", F.explode(names).alias("set_id")).distinct()
 
-def rule_mgmt_exposure(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    own = c.where("mgmt")
-    name = "MANAGEMENT_ACCESS_EXPOSURE"
-    g = _device_groups(own, name)
-    out = _members(own, name, F.col("group_dev"), F.col("group_dev"))
-    return out.unionByName(_attach(g, c.where("auth or exposed"), ["dev"])).unionByName(_attach(g, c.where("attack")))
 
+def cross_members(c: DataFrame, t: Thresholds = Thresholds(), rules: Sequence[str] | None = None) -> Membership:
+    """Membership of all cross-engine rules, or of the named ones."""
+    own = own_rows(c, t, rules)
+    sets = shared_sets(c)
+    refs = set_refs(own).join(sets.select("run_id", "set_id").distinct(), ["run_id", "set_id"], "left_semi")
+    return Membership(own.drop("group_dev"), refs, sets)
 
-def rule_clock(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    return _members(c.where("clock"), "CLOCK_INTEGRITY_RISK", F.lit("run"))
 
+def _rule(name: str) -> Callable[..., Membership]:
+    def members(c: DataFrame, t: Thresholds = Thresholds()) -> Membership:
+        return cross_members(c, t, [name])
 
-CROSS_RULES = [
-    rule_saturation, rule_link_degradation, rule_exposure, rule_vlan_risk, rule_auth_campaign, rule_port_instability,
-    rule_loop, rule_duplicate_ip, rule_poe, rule_mgmt_exposure, rule_clock,
-]
+    return members
 
 
-def cross_members(c: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    out = None
-    for rule in CROSS_RULES:
-        m = rule(c, t)
-        out = m if out is None else out.unionByName(m)
-    return out.dropDuplicates(["run_id", "rule_id", "key", "signal_id"])
+rule_saturation = _rule("DOS_SATURATION")  # denial-of-service tagged (else any) attacks with health anomalies, per run
+rule_link_degradation = _rule("LINK_DEGRADATION")  # degraded devices of a run with health anomalies and no attack
+rule_exposure = _rule("CONFIG_EXPOSURE")  # exposed devices with the run's attacks
+rule_vlan_risk = _rule("VLAN_POLICY_RISK")  # VLAN issues of a device in a run with attacks
+rule_auth_campaign = _rule("SYSLOG_SNMP_AUTH_CAMPAIGN")  # devices with many failed authentications
+rule_port_instability = _rule("PORT_INSTABILITY")  # one flap report with its device's health and its port's configuration
+rule_loop = _rule("LOOP_OR_REDUNDANCY_INSTABILITY")  # moving addresses, ring churn and topology findings of a device
+rule_duplicate_ip = _rule("DUPLICATE_IP_CONFLICT")  # a device's address conflicts and its moving addresses
+rule_poe = _rule("POE_ENDPOINT_FAILURE")  # one power fault with flaps of that interface name on any device, and its port's configuration
+rule_mgmt_exposure = _rule("MANAGEMENT_ACCESS_EXPOSURE")  # management access with the device's exposure and the run's attacks
+rule_clock = _rule("CLOCK_INTEGRITY_RISK")  # signals with unreliable clocks, per run
 
 
-def rule_uncovered(c: DataFrame, covered: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def rule_uncovered(c: DataFrame, covered: Membership, t: Thresholds = Thresholds()) -> DataFrame:
     """High and critical signals in no earlier incident: engines A to C, then logs.
 
     The two fallbacks look at different engines, so one anti-join serves both.
     """
     risky = c.where(severity_rank("severity") <= t.fallback_rank)
-    free = risky.join(covered.select("run_id", "signal_id"), ["run_id", "signal_id"], "left_anti")
-    one = _members(free.where(F.col("engine") != SYSLOG), "SINGLE_ENGINE_HIGH_RISK", F.col("signal_id"), F.concat(F.col("engine"), F.lit(" item: "), F.col("title")))
-    return one.unionByName(_members(free.where(F.col("engine") == SYSLOG), "SINGLE_SYSLOG_HIGH_RISK", F.col("signal_id"), F.col("title")))
+    free = risky.join(covered.covered(), ["run_id", "signal_id"], "left_anti")
+    log = F.col("engine") == SYSLOG
+    return free.select(
+        "run_id", F.when(log, "SINGLE_SYSLOG_HIGH_RISK").otherwise("SINGLE_ENGINE_HIGH_RISK").alias("rule_id"), F.col("signal_id").alias("key"),
+        F.when(log, F.col("title")).otherwise(F.concat("engine", F.lit(" item: "), "title")).alias("place"), F.lit(None).cast("string").alias("cap"), "signal_id", *FACTS)
+
+
+ENTITY = ["dev", "device", "interface", "lif", "cif"]
+#: Totals of members that add up over an incident's own rows and its sets.
+TOTALS = {
+    "n_signals": F.sum, "base_rank": F.min, "any_agg": F.bool_or, "aggregate_only": F.bool_and, "syslog_signals": F.sum, "any_clock": F.bool_or, "all_clock": F.bool_and,
+    "low_evidence": F.bool_or, "unsure_entities": F.bool_or, "digest": lambda c: F.sum(c).cast("decimal(38,0)"), **{f"has_{e}": F.max for e in ENGINES},
+}
 
 
-INCIDENT = ["run_id", "rule_id", "key"]
-ENGINES = [ENGINE_A, ENGINE_B, ENGINE_C, SYSLOG]
+def member_totals(rows: DataFrame, *by: str) -> DataFrame:
+    one = {
+        "n_signals": F.lit(1).cast("long"), "base_rank": severity_rank("severity"), "any_agg": F.col("aggregate"), "aggregate_only": F.col("aggregate"),
+        "syslog_signals": (F.col("engine") == SYSLOG).cast("long"), "any_clock": F.col("clock_unreliable"), "all_clock": F.col("clock_unreliable"),
+        "low_evidence": F.coalesce(F.col("confidence_label") == "low", F.lit(False)), "unsure_entities": ~F.col("entity_confident"),
+        **{f"has_{e}": (F.col("engine") == e).cast("int") for e in ENGINES},
+    }
+    given = rows.select(*by, "signal_id", *[e.alias(n) for n, e in one.items()])
+    return given.groupBy(*by).agg(*[(set_digest("signal_id") if n == "digest" else f(n)).alias(n) for n, f in TOTALS.items()])
 
 
-def pair_counts(fine: DataFrame) -> DataFrame:
-    """Cross-engine member pairs that agree on each kind of key, without forming a pair.
+def incident_totals(m: Membership) -> DataFrame:
+    """TOTALS of every incident: its own rows and the sets it refers to."""
+    own = member_totals(m.own, *INCIDENT, "place", "cap")
+    shared = m.refs.join(member_totals(m.sets, "run_id", "set_id"), ["run_id", "set_id"]).select(own.columns)
+    return own.unionByName(shared).groupBy(*INCIDENT).agg(
+        F.min("place").alias("place"), F.max("cap").alias("cap"), *[f(n).alias(n) for n, f in TOTALS.items()])
 
-    Per key value there are (n² - Σ n_engine²) / 2 of them. One pass serves all kinds.
-    """
+
+def _kinds() -> dict[str, list[Column]]:
+    """Keys that two members may agree on."""
     has_if = F.col("lif").isNotNull()
-    kinds = {
-        "p_all": [F.lit("")], "p_dev": [F.col("dev")], "p_if": [F.col("lif")], "p_dev_if": [F.col("dev"), F.col("lif")],
-        "p_dev_cif": [F.col("dev"), F.when(has_if, F.col("cif"))], "p_dev_any": [F.col("dev"), F.when(has_if, F.lit("any"))],
+    dev = F.nullif("dev", F.lit(""))
+    return {
+        "p_all": [F.lit("")], "p_dev": [dev], "p_if": [F.col("lif")], "p_dev_if": [dev, F.col("lif")],
+        "p_dev_cif": [dev, F.when(has_if, F.col("cif"))], "p_dev_any": [dev, F.when(has_if, F.lit("any"))],
         "p_same_if": [F.nullif("interface", F.lit(""))], "p_same_dev": [F.nullif("device", F.lit(""))],
     }
+
+
+KINDS = ["p_all", "p_dev", "p_if", "p_dev_if", "p_dev_cif", "p_dev_any", "p_same_if", "p_same_dev"]
+PAIRS = "decimal(38,0)"
+
+
+def key_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """Members per kind of key, key and engine (``e0`` to ``e3``), combined by entity before the kinds are expanded."""
+    fine = rows.groupBy(*by, *ENTITY).agg(*[F.count_if(F.col("engine") == e).alias(f"e{i}") for i, e in enumerate(ENGINES)])
     slots = []
-    for kind, ks in kinds.items():
+    for kind, ks in _kinds().items():
         known = ks[0].isNotNull()
         for k in ks[1:]:
             known = known & k.isNotNull()
         slots.append(F.when(known, F.struct(F.lit(kind).alias("kind"), F.array(*ks).alias("k"))))
-    d = fine.select(*INCIDENT, "engine", "n", F.explode(F.array_compact(F.array(*slots))).alias("s"))
-    per_engine = d.groupBy(*INCIDENT, F.col("s.kind").alias("kind"), F.col("s.k").alias("k"), "engine").agg(F.sum("n").cast("decimal(19,0)").alias("n"))
-    per_key = per_engine.groupBy(*INCIDENT, "kind", "k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    pairs = (F.col("n") * F.col("n") - F.col("sq")).cast("decimal(38,0)")
-    return per_key.groupBy(*INCIDENT).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, pairs)), F.lit(0)).alias(k) for k in kinds])
-
-
-def fine_members(members: DataFrame, c: DataFrame) -> DataFrame:
-    """Members combined by entity and engine: small rows every score below is built from."""
-    cols = ["dev", "device", "interface", "lif", "cif", "engine", "severity", "aggregate", "clock_unreliable", "entity_confident", "confidence_label"]
-    m = members.join(c.select("run_id", "signal_id", *cols, "w"), ["run_id", "signal_id"])
-    rank = severity_rank("severity")
-    return m.groupBy(*INCIDENT, "place", "cap", F.nullif("dev", F.lit("")).alias("dev"), "device", "interface", "lif", "cif", "engine").agg(
-        F.count(F.lit(1)).alias("n"), F.min(rank).alias("rank"), F.bool_or("aggregate").alias("any_agg"), F.bool_and("aggregate").alias("all_agg"),
-        F.bool_or("clock_unreliable").alias("any_clock"), F.bool_and("clock_unreliable").alias("all_clock"),
-        F.bool_or(F.coalesce(F.col("confidence_label") == "low", F.lit(False))).alias("any_low"), F.bool_or(~F.col("entity_confident")).alias("any_unsure"),
-        set_digest("signal_id").alias("digest"),
-    )
-
-
-def incident_quality(fine: DataFrame, pairs: DataFrame) -> DataFrame:
+    sums = [f"e{i}" for i in range(len(ENGINES))]
+    d = fine.select(*by, F.explode(F.array_compact(F.array(*slots))).alias("s"), *sums).select(*by, "s.kind", "s.k", *sums)
+    return d.groupBy(*by, "kind", "k").agg(*[F.sum(x).cast("decimal(18,0)").alias(x) for x in sums])
+
+
+def _product(a: str, b: str) -> Column:
+    """Pairs of one member of ``a`` and one of ``b`` under a key that come from different engines."""
+    total = lambda t: functools.reduce(lambda x, y: x + y, [F.col(f"{t}.e{i}") for i in range(len(ENGINES))])
+    same = functools.reduce(lambda x, y: x + y, [F.col(f"{a}.e{i}") * F.col(f"{b}.e{i}") for i in range(len(ENGINES))])
+    return (total(a) * total(b) - same).cast(PAIRS)
+
+
+def pair_counts(m: Membership) -> DataFrame:
+    """Ordered cross-engine member pairs that agree on each kind of key, without forming a pair.
+
+    Of two parts a and b of an incident there are a*b - sum over engines of a_e*b_e under a key: own rows with own rows, own
+    rows with each set under the own rows' keys, each set with itself once for all incidents, and each two sets that occur
+    together once, under the keys of the narrower one.
+    """
+    at = ["run_id", "set_id"]
+    own, sets = key_counts(m.own, *INCIDENT), cut_lineage(key_counts(m.sets.join(m.refs.select(*at).distinct(), at, "left_semi"), *at))
+    own = cut_lineage(own)
+    within = own.alias("a").select(*INCIDENT, "kind", _product("a", "a").alias("n"))
+    links = m.refs.select(*INCIDENT, "set_id")
+    taken = own.join(links, INCIDENT)
+    with_sets = taken.alias("a").join(sets.alias("b"), [*at, "kind", "k"]).select(*INCIDENT, "kind", (2 * _product("a", "b")).cast(PAIRS).alias("n"))
+    alone = sets.alias("a").groupBy(*at, "kind").agg(F.sum(_product("a", "a")).cast(PAIRS).alias("n"))
+    alone = links.join(alone, at).select(*INCIDENT, "kind", "n")
+    width = lambda c: F.struct(F.size(F.split(c, "\x1f")), c)
+    two = links.alias("x").join(links.withColumnRenamed("set_id", "other").alias("y"), INCIDENT).where(width(F.col("set_id")) > width(F.col("other")))
+    met = two.select("run_id", "set_id", "other").distinct().join(sets, at)
+    broad = sets.withColumnRenamed("set_id", "other")
+    between = met.alias("a").join(broad.alias("b"), ["run_id", "other", "kind", "k"]).groupBy("run_id", "set_id", "other", "kind").agg(F.sum(2 * _product("a", "b")).cast(PAIRS).alias("n"))
+    between = two.select(*INCIDENT, "set_id", "other").join(between, ["run_id", "set_id", "other"]).select(*INCIDENT, "kind", "n")
+    every = within.unionByName(with_sets).unionByName(alone).unionByName(between)
+    return every.groupBy(*INCIDENT).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast(PAIRS).alias(k) for k in KINDS])
+
+
+def incident_quality(totals: DataFrame, pairs: DataFrame) -> DataFrame:
     """Time reliability and the worst entity match over cross-engine pairs, from pair counts only."""
-    out = fine.groupBy(*INCIDENT).agg(
-        pick([(F.bool_and("all_clock"), "unreliable"), (F.bool_or("any_clock"), "approximate")], "reliable").alias("time_reliability"))
     elsewhere = F.col("p_if") - F.col("p_dev_if")
     worst = pick([
         (F.col("p_all") == 0, "n/a"), (F.col("p_all") - F.col("p_dev") - elsewhere > 0, "none"),
         (elsewhere + F.col("p_dev_any") - F.col("p_dev_cif") > 0, "uncertain"), (F.col("p_dev_cif") - F.col("p_dev_if") > 0, "normalized"),
     ], "exact")
-    return out.join(pairs, INCIDENT).select(*INCIDENT, "time_reliability", worst.alias("entity_match"))
+    clock = pick([(F.col("all_clock"), "unreliable"), (F.col("any_clock"), "approximate")], "reliable")
+    return totals.join(pairs, INCIDENT).select(*INCIDENT, clock.alias("time_reliability"), worst.alias("entity_match"))
 
 
-def score_incidents(fine: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def score_incidents(totals: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Severity, confidence, factors and a set-based id per incident; copies with the same members collapse."""
-    g = fine.groupBy(*INCIDENT).agg(
-        F.first("place").alias("place"), F.max("cap").alias("cap"), F.sum("n").alias("n_signals"), F.min("rank").alias("base_rank"),
-        *[F.max((F.col("engine") == e).cast("int")).alias(f"has_{e}") for e in ENGINES], F.bool_or("any_agg").alias("any_agg"),
-        F.bool_and("all_agg").alias("aggregate_only"), F.sum(F.when(F.col("engine") == SYSLOG, F.col("n")).otherwise(0)).alias("syslog_signals"),
-        F.bool_or("any_low").alias("low_evidence"), F.bool_or("any_unsure").alias("unsure_entities"), F.sum("digest").cast("decimal(38,0)").alias("digest"),
-    )
-    g = g.join(pairs.select(*INCIDENT, (F.col("p_same_if") > 0).alias("same_if"), (F.col("p_same_dev") > 0).alias("same_dev")), INCIDENT)
+    g = totals.join(pairs.select(*INCIDENT, (F.col("p_same_if") > 0).alias("same_if"), (F.col("p_same_dev") > 0).alias("same_dev")), INCIDENT)
     n_eng = sum((F.col(f"has_{e}") for e in ENGINES[1:]), F.col(f"has_{ENGINES[0]}"))
     rule = F.col("rule_id")
     base = pick([(rule == k, v[0]) for k, v in RULES.items()])
@@ -304,24 +349,37 @@ def score_incidents(fine: DataFrame, pairs: DataFrame, t: Thresholds = Threshold
     return first.select("run_id", "incident_id", "i.*").select(*cols)
 
 
-def incident_evidence(members: DataFrame, c: DataFrame) -> DataFrame:
-    """Per incident and engine: signals, distinct titles and artefacts."""
-    m = members.join(c.select("run_id", "signal_id", "engine", "title", "source_artifact"), ["run_id", "signal_id"])
-    titles = m.groupBy(*INCIDENT, "engine", "title").agg(F.count(F.lit(1)).alias("n"))
-    arts = m.select(*INCIDENT, "engine", "source_artifact").distinct().groupBy(*INCIDENT, "engine").agg(F.count("source_artifact").alias("artifacts"))
+def incident_evidence(m: Membership) -> DataFrame:
+    """Per incident and engine: signals, distinct titles and artefacts; sets are reduced to their distinct titles before they are attached."""
+    by = [F.col("engine"), F.col("title"), F.col("source_artifact")]
+    own = m.own.groupBy(*INCIDENT, *by).agg(F.count(F.lit(1)).alias("n"))
+    shared = m.sets.groupBy("run_id", "set_id", *by).agg(F.count(F.lit(1)).alias("n"))
+    rows = own.unionByName(m.refs.join(shared, ["run_id", "set_id"]).select(own.columns))
+    titles = rows.groupBy(*INCIDENT, "engine", "title").agg(F.sum("n").alias("n"))
+    arts = rows.select(*INCIDENT, "engine", "source_artifact").distinct().groupBy(*INCIDENT, "engine").agg(F.count("source_artifact").alias("artifacts"))
     counts = titles.groupBy(*INCIDENT, "engine").agg(F.sum("n").alias("signals"), F.count(F.lit(1)).alias("titles"), F.min("title").alias("first_title"))
     return counts.join(arts, [*INCIDENT, "engine"])
 
 
-def correlate(signals: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
-    """(incidents, members) of every run."""
-    c = cut_lineage(classify(signals))  # every rule reads it
-    cross = cut_lineage(cross_members(c, t))  # read by the fallbacks and by the scoring
-    members = cross.unionByName(rule_uncovered(c, cross, t))
-    fine = cut_lineage(fine_members(members, c))
-    pairs = pair_counts(fine)
-    incidents = score_incidents(fine, pairs, t).join(incident_quality(fine, pairs), INCIDENT, "left")
-    return incidents.withColumn("severity_rank", severity_rank("severity", SEVERITY_RANK)), members
+def evidence_items(m: Membership, incidents: DataFrame) -> DataFrame:
+    """The evidence of the given incidents as a long table: one row per signal with engine, title and artefact."""
+    keep = ["engine", "signal_id", "title", "source_artifact"]
+    named = incidents.select(*INCIDENT, "incident_id")
+    own = named.join(m.own.select(*INCIDENT, *keep), INCIDENT)
+    shared = named.join(m.refs.select(*INCIDENT, "set_id"), INCIDENT).join(m.sets.select("run_id", "set_id", *keep), ["run_id", "set_id"])
+    return own.select("run_id", "incident_id", *keep).unionByName(shared.select("run_id", "incident_id", *keep))
+
+
+def correlate(signals: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, Membership]:
+    """Incidents and membership of every run; a signal that comes twice counts once."""
+    c = cut_lineage(classify(signals).dropDuplicates(["run_id", "signal_id"]))  # own rows, sets and fallbacks read it
+    cross = cross_members(c, t)
+    cross = Membership(cut_lineage(cross.own), cut_lineage(cross.refs), cross.sets)
+    m = Membership(cross.own.unionByName(rule_uncovered(c, cross, t)), cross.refs, cross.sets)
+    totals = cut_lineage(incident_totals(m))
+    pairs = cut_lineage(pair_counts(m))
+    incidents = score_incidents(totals, pairs, t).join(incident_quality(totals, pairs), INCIDENT, "left")
+    return incidents.withColumn("severity_rank", severity_rank("severity", SEVERITY_RANK)), m
 
 
 def summarize_incidents(incidents: DataFrame) -> DataFrame:
