@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 from typing import Any, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from opsframe.functions.quantiles import exact_quantiles
 from opsframe.functions.scalars import SEVERITY_RANK, severity_rank
+from opsframe.session import cut_lineage
 
 NUMERIC = ("byte", "short", "integer", "long", "float", "double")
 FLOATS = ("float", "double")
@@ -170,15 +172,21 @@ def drop_duplicates(df: DataFrame, keep: str = "first") -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
 
 
-def constant_columns(df: DataFrame) -> list[str]:
-    """Columns with at most one distinct value, null counted as a value; one min/max aggregate."""
-    if not df.columns:
-        return []
+def _extents(df: DataFrame) -> list[Column]:
+    """Smallest, largest and number of known values per column, and the rows: what shows a constant column."""
     kinds = dict(df.dtypes)
     orderable = lambda c: F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] else F.col(f"`{c}`")  # noqa: E731 - maps have no order
-    row = df.agg(*[x for i, c in enumerate(df.columns) for x in (
-        F.min(orderable(c)).alias(f"lo{i}"), F.max(orderable(c)).alias(f"hi{i}"), F.count(f"`{c}`").alias(f"n{i}"))], F.count(F.lit(1)).alias("rows")).first()
-    return [c for i, c in enumerate(df.columns) if row[f"n{i}"] == 0 or (row[f"n{i}"] == row["rows"] and row[f"lo{i}"] == row[f"hi{i}"])]
+    return [x for i, c in enumerate(df.columns) for x in (
+        F.min(orderable(c)).alias(f"lo{i}"), F.max(orderable(c)).alias(f"hi{i}"), F.count(f"`{c}`").alias(f"n{i}"))] + [F.count(F.lit(1)).alias("rows")]
+
+
+def _constants(row: Row, columns: Sequence[str]) -> list[str]:
+    return [c for i, c in enumerate(columns) if row[f"n{i}"] == 0 or (row[f"n{i}"] == row["rows"] and row[f"lo{i}"] == row[f"hi{i}"])]
+
+
+def constant_columns(df: DataFrame) -> list[str]:
+    """Columns with at most one distinct value, null counted as a value; one min/max aggregate."""
+    return _constants(df.agg(*_extents(df)).first(), df.columns) if df.columns else []
 
 
 def drop_constant(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -197,9 +205,9 @@ def _with_missing(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for i, c in enumerate(cols) if row[f"m{i}"]]
 
 
-def numeric_fills(df: DataFrame, strategy: str, cols: Sequence[str] | None = None) -> dict[str, float]:
-    """Fill value per numeric column that has missing cells."""
-    need = _with_missing(df, numeric_columns(df) if cols is None else cols)
+def numeric_fills(df: DataFrame, strategy: str, cols: Sequence[str] | None = None, need: Sequence[str] | None = None) -> dict[str, float]:
+    """Fill value per numeric column that has missing cells; ``need`` names them if they are known."""
+    need = _with_missing(df, numeric_columns(df) if cols is None else cols) if need is None else [c for c in need if c in numeric_columns(df)]
     if not need or strategy in ("none", "drop"):
         return {}
     if strategy == "zero":
@@ -212,30 +220,33 @@ def numeric_fills(df: DataFrame, strategy: str, cols: Sequence[str] | None = Non
     raise ValueError(f"unknown numeric strategy: {strategy}")
 
 
-def impute_numeric(df: DataFrame, strategy: str = "median") -> DataFrame:
+def impute_numeric(df: DataFrame, strategy: str = "median", need: Sequence[str] | None = None) -> DataFrame:
     if strategy == "drop":
-        need = _with_missing(df, numeric_columns(df))
+        need = _with_missing(df, numeric_columns(df)) if need is None else [c for c in need if c in numeric_columns(df)]
         return df.dropna(subset=need) if need else df
-    fills = numeric_fills(df, strategy)
+    fills = numeric_fills(df, strategy, need=need)
     return df.withColumns({c: F.when(is_missing(df, c), F.lit(v)).otherwise(F.col(c)) for c, v in fills.items()}) if fills else df
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, Any]:
-    """Most frequent value per column, ties to the smallest: a grouped count, so no single task holds all values."""
-    out = {}
-    for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        row = counts.orderBy(F.desc("n"), c).limit(1).collect()
-        out[c] = row[0][c] if row else None
+    """Most frequent value per column, ties to the smallest: one grouped count for all columns, so no single task holds all values."""
+    kinds = dict(df.dtypes)
+    out: dict[str, Any] = {c: None for c in cols}
+    for kind in sorted({kinds[c] for c in cols}):
+        own = [c for c in cols if kinds[c] == kind]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in own]))
+        counts = df.select(cells.alias("p")).select("p.*").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+        out |= {r["c"]: r["v"] for r in best.collect()}  # one row a column
     return out
 
 
-def impute_categorical(df: DataFrame, strategy: str = "most_frequent", fill: str = "__missing__") -> DataFrame:
+def impute_categorical(df: DataFrame, strategy: str = "most_frequent", fill: str = "__missing__", need: Sequence[str] | None = None) -> DataFrame:
     numeric = set(numeric_columns(df))
     cols = [c for c in df.columns if c not in numeric]
     if strategy == "none":
         return df
-    need = _with_missing(df, cols)
+    need = _with_missing(df, cols) if need is None else [c for c in need if c in cols]
     if not need:
         return df
     if strategy == "drop":
@@ -263,10 +274,10 @@ def iqr_bounds(df: DataFrame, factor: float = 1.5, cols: Sequence[str] | None =
     return out
 
 
-def clip_iqr(df: DataFrame, factor: float = 1.5, cols: Sequence[str] | None = None) -> DataFrame:
-    """Clip to Q1 - k·IQR .. Q3 + k·IQR; null stays null."""
+def clip_iqr(df: DataFrame, factor: float = 1.5, cols: Sequence[str] | None = None, bounds: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Clip to Q1 - k·IQR .. Q3 + k·IQR, or to the given bounds; null stays null."""
     out = {}
-    for c, (lo, hi) in iqr_bounds(df, factor, cols).items():
+    for c, (lo, hi) in (iqr_bounds(df, factor, cols) if bounds is None else bounds).items():
         e = F.col(c).cast("double")
         out[c] = F.when(e < lo, F.lit(lo)).when(e > hi, F.lit(hi)).otherwise(e)
     return df.withColumns(out) if out else df
@@ -286,39 +297,45 @@ class CleanConfig:
 
 
 def clean(df: DataFrame, config: CleanConfig = CleanConfig()) -> tuple[DataFrame, DataFrame]:
-    """The whole cleaning job and a report of (step, n) rows."""
-    def size(d: DataFrame) -> tuple[int, int]:
-        row = d.agg(F.count(F.lit(1)), *[F.count_if(is_missing(d, c)) for c in d.columns]).first()
-        return row[0], sum(row[1:])
+    """The whole cleaning job and a report of (step, n) rows.
 
-    steps: list[tuple[str, int]] = []
+    Scans: one of the input for all its counts; one that de-duplicates and writes; of what is written, one for constant
+    columns, one for empty rows and gaps, those of the exact quantiles, and one for the closing counts.
+    """
     work, dropped = drop_present(df, config.drop)
-    rows, missing = size(df)
-    steps += [("rows_before", rows), ("columns_before", len(df.columns)), ("missing_before", missing), ("columns_dropped", len(dropped))]
+    floats = float_columns(work) if config.inf else []
+    seen = df.agg(F.count(F.lit(1)), *[F.count_if(is_missing(df, c)) for c in df.columns], *[F.count_if(_inf(c)) for c in floats]).first()
+    rows, missing, infinite = seen[0], seen[1:1 + len(df.columns)], seen[1 + len(df.columns):]
+    steps: list[tuple[str, int]] = [("rows_before", rows), ("columns_before", len(df.columns)), ("missing_before", sum(missing)), ("columns_dropped", len(dropped))]
     if config.inf:
-        steps.append(("inf_cells", sum(r["n"] for r in count_inf(work).collect()) if float_columns(work) else 0))
+        steps.append(("inf_cells", sum(infinite)))
         work = replace_inf(work)
     if config.duplicates:
-        work = drop_duplicates(work, config.duplicates)
-        after = work.count()
-        steps.append(("duplicate_rows", rows - after))
-        rows = after
+        work = cut_lineage(drop_duplicates(work, config.duplicates))  # all that follows reads it
+    known = work.agg(*_extents(work)).first()
+    if config.duplicates:
+        steps.append(("duplicate_rows", rows - known["rows"]))
+        rows = known["rows"]
     if config.constants:
-        work, gone = drop_constant(work)
+        gone = _constants(known, work.columns)
+        work = work.drop(*gone)
         steps.append(("constant_columns", len(gone)))
+    empty = functools.reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in work.columns], F.lit(bool(work.columns))) if config.all_null else F.lit(False)
+    gaps = work.agg(F.count_if(empty), *[F.count_if(~empty & is_missing(work, c)) for c in work.columns]).first()
     if config.all_null:
-        work = drop_all_null(work)
-        after = work.count()
-        steps.append(("all_null_rows", rows - after))
-    work = impute_categorical(impute_numeric(work, config.numeric), config.categorical)
+        work = drop_all_null(work) if work.columns else work
+        steps.append(("all_null_rows", gaps[0]))
+    need = [c for c, n in zip(work.columns, gaps[1:]) if n]
+    work = impute_categorical(impute_numeric(work, config.numeric, need), config.categorical, need=None if config.numeric == "drop" else need)
+    bounds = iqr_bounds(work, config.clip_factor) if config.clip_factor else {}
+    clipped = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)) for c, (lo, hi) in bounds.items()]
+    gap = lambda c: F.col(f"`{c}`").isNull() if c in bounds else is_missing(work, c)  # noqa: E731 - clipping leaves no NaN, narrowing no new gap
+    end = work.agg(F.count(F.lit(1)), *clipped, *[F.count_if(gap(c)) for c in work.columns]).first()
     if config.clip_factor:
-        bounds = iqr_bounds(work, config.clip_factor)
-        hit = work.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)) for c, (lo, hi) in bounds.items()]).first() if bounds else [0]
-        steps.append(("clipped_cells", sum(hit)))
-        work = clip_iqr(work, config.clip_factor)
+        steps.append(("clipped_cells", sum(end[1:1 + len(clipped)])))
+        work = clip_iqr(work, config.clip_factor, bounds=bounds)
     if config.narrow:
         work, changed = narrow_types(work)
         steps.append(("narrowed_columns", len(changed)))
-    rows, missing = size(work)
-    steps += [("rows_after", rows), ("columns_after", len(work.columns)), ("missing_after", missing)]
+    steps += [("rows_after", end[0]), ("columns_after", len(work.columns)), ("missing_after", sum(end[1 + len(clipped):]))]
     return work, df.sparkSession.createDataFrame(steps, "step string, n long")
