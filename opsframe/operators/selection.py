@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.quantiles import exact_quantiles
-from opsframe.functions.ranking import average_rank
-from opsframe.functions.scalars import pick
+from opsframe.functions.ranking import running_totals
+from opsframe.functions.scalars import nan_to_null, pick
+from opsframe.session import cut_lineage
 
 
 def variances(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -25,39 +29,91 @@ def variance_filter(df: DataFrame, cols: Sequence[str], limit: float = 0.0) -> t
     return [c for c in cols if c not in dropped], dropped
 
 
-def correlations(df: DataFrame, cols: Sequence[str], block: int = 200) -> DataFrame:
-    """(a, b, r) of every column pair over rows where both are known.
-
-    Columns are centred first; pair sums are taken ``block`` pairs per aggregate to keep generated code small.
+#: Groups that the tasks' partial sums are merged in first, so that no task reads those of all tasks.
+MERGE_GROUPS = 64
+#: Sums of a pair of columns over the rows where both are known, about the centres ``cx`` and ``cy``.
+SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+_PARTS = "i int, g int, cx double, cy array<double>, " + ", ".join(f"{k} array<double>" for k in SUMS)
+
+
+def _gram(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of all column pairs of a task, about the means of its first rows; one row a column with the pairs it leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, n, x, xx, xy = None, *(np.zeros((k, k)) for _ in range(4))
+        group = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = int(b.column(k)[0].as_py()) if centre is None else group
+            v = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k)])
+            known = ~np.isnan(v)
+            if centre is None:
+                centre = np.where(known.any(axis=0), np.where(known, v, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1), 0.0)
+            v, m = np.where(known, v - centre, 0.0), known.astype(float)
+            n += m.T @ m
+            x += v.T @ m
+            xx += (v * v).T @ m
+            xy += v.T @ v
+        if centre is None:
+            return
+        rows = {"i": range(k), "g": [group] * k, "cx": centre, "cy": [centre[i + 1:] for i in range(k)]}
+        for name, part in (("n", n), ("x", x), ("y", x.T), ("xx", xx), ("yy", xx.T), ("xy", xy)):
+            rows[name] = [part[i, i + 1:] for i in range(k)]
+        kinds = [pa.int32(), pa.int32(), pa.float64()] + [pa.list_(pa.float64())] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(rows.values(), kinds)], names=list(rows))
+
+    return run
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row of several partial sums, moved to the first one's centres."""
+    cx, cy = pdf["cx"].iloc[0], np.asarray(pdf["cy"].iloc[0], float)
+    total = {k: np.zeros(len(cy)) for k in SUMS}
+    for r in pdf.to_dict("records"):
+        s = {k: np.asarray(r[k], float) for k in SUMS}
+        dx, dy = r["cx"] - cx, np.asarray(r["cy"], float) - cy
+        s["xy"] = s["xy"] + dx * s["y"] + dy * s["x"] + s["n"] * dx * dy
+        s["xx"], s["yy"] = s["xx"] + 2 * dx * s["x"] + s["n"] * dx * dx, s["yy"] + 2 * dy * s["y"] + s["n"] * dy * dy
+        s["x"], s["y"] = s["x"] + s["n"] * dx, s["y"] + s["n"] * dy
+        for k in SUMS:
+            total[k] += s[k]
+    return pd.DataFrame([{"i": pdf["i"].iloc[0], "g": pdf["g"].iloc[0], "cx": cx, "cy": cy, **total}])
+
+
+def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, r) of every column pair over rows where both are known (NaN is not), from one scan.
+
+    A task adds the Gram matrices of its batches; partial sums are merged in two steps by column. Null where a column is constant.
     """
-    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    d = df.select(*[(F.col(c).cast("double") - F.lit(mean[f"m{i}"])).alias(f"c{i}") for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = None
-    for at in range(0, len(pairs), block):
-        part = pairs[at:at + block]
-        aggs = []
-        for i, j in part:
-            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            x, y = F.when(both, F.col(f"c{i}")), F.when(both, F.col(f"c{j}"))
-            aggs.append(F.struct(F.count(x).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy")).alias(f"p{i}_{j}"))
-        row = d.agg(*aggs)
-        cells = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"p{i}_{j}").alias("m")) for i, j in part]
-        rows = row.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
-        out = rows if out is None else out.unionByName(rows)
-    m = lambda k: F.col(f"m.{k}")
-    cov = m("xy") - m("x") * m("y") / m("n")
-    vx, vy = m("xx") - m("x") * m("x") / m("n"), m("yy") - m("y") * m("y") / m("n")
-    return out.select("a", "b", F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy)).alias("r"))
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)], F.spark_partition_id().alias("g"))
+    parts = numbers.mapInArrow(_gram(len(cols)), _PARTS)
+    once = parts.groupBy("i", F.pmod("g", F.lit(MERGE_GROUPS)).alias("m")).applyInPandas(lambda pdf: _merged(pdf), _PARTS)
+    sums = once.groupBy("i").applyInPandas(lambda pdf: _merged(pdf), _PARTS)
+    names = F.array(*[F.lit(c) for c in cols])
+    cell = F.explode(F.arrays_zip(*SUMS, F.sequence(F.col("i") + 1, F.lit(len(cols) - 1)).alias("j")))
+    m = sums.where(F.col("i") < len(cols) - 1).select("i", cell.alias("m")).select("i", "m.*")
+    cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    varies = (F.col("n") > 0) & (vx > 1e-12) & (vy > 1e-12)
+    return m.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), F.when(varies, cov / F.sqrt(vx * vy)).alias("r"))
 
 
 def ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Columns replaced by tie-averaged ranks, through a table of distinct values per column."""
-    out = df
-    for i, c in enumerate(cols):
-        ranks = average_rank(df.select(F.col(c).cast("double").alias(f"_v{i}")), f"_v{i}", f"_r{i}")
-        out = out.join(ranks, out[c].cast("double") == ranks[f"_v{i}"], "left").withColumn(c, F.col(f"_r{i}")).drop(f"_v{i}", f"_r{i}")
-    return out
+    """Columns replaced by tie-averaged ranks, all of them through one long table of (row, column, value)."""
+    base = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))  # the numbers must stay the same
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("j"), nan_to_null(F.col(f"`{c}`").cast("double")).alias("v")) for i, c in enumerate(cols)]))
+    cells = base.select("_row", cell.alias("p")).select("_row", "p.*")
+    known = cells.where("v is not null")
+    counts = known.groupBy("j", "v").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running_totals(counts, ["v"], {"_before": "_n"}, ["j"], costly=True).select("j", "v", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("rank"))
+    every = known.join(ranks, ["j", "v"]).select("_row", "j", "rank").unionByName(cells.where("v is null").select("_row", "j", F.lit(None).cast("double").alias("rank")))
+    rows = every.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("j", "rank"))).alias("_ranks"))  # one entry a column
+    out = base.join(rows, "_row")
+    at = {c: i for i, c in enumerate(cols)}
+    return out.select(*[F.element_at("_ranks", F.lit(at[c])).alias(c) if c in at else F.col(f"`{c}`") for c in df.columns])
 
 
 def correlation_filter(df: DataFrame, cols: Sequence[str], limit: float = 0.95, method: str = "pearson") -> tuple[list[str], DataFrame]:

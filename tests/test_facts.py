@@ -2,8 +2,11 @@
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from opsframe.operators import selection
 from opsframe.operators import telemetry as tl
 from opsframe.plans import flows
 from opsframe.sources import readers
@@ -35,3 +38,26 @@ def test_unfilled_rows_are_counted_where_they_are_dropped(spark):
     got = {r["metric"]: r["value"] for r in manifest.collect()}
     assert got["raw_rows"] == "40" and got["unfilled_rows"] == "20" and got["rows"] == "20"  # sw2 never has a value
     assert out.count() == 20
+
+
+def test_correlations_of_many_columns_in_one_scan(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(600, 40)) * rng.uniform(0.1, 1000, 40) + rng.uniform(-1e6, 1e6, 40)
+    data[:, 5] = 2 * data[:, 4] - 7
+    data[:, 6] = 3.0
+    data[rng.random(data.shape) < 0.1] = np.nan
+    data[:, 7] = np.nan
+    cols = [f"f{i}" for i in range(40)]
+    pdf = pd.DataFrame(data, columns=cols)
+    df = spark.createDataFrame(pdf).repartition(7)
+    plan = selection.correlations(df, cols)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got = {(r["a"], r["b"]): r["r"] for r in selection.correlations(df, cols).collect()}
+    want = pdf.corr()
+    assert len(got) == 40 * 39 // 2
+    for (a, b), r in got.items():
+        w = want.loc[a, b]
+        assert (r is None) if np.isnan(w) or "f6" in (a, b) else abs(r - w) < 1e-8
+    spearman = {(r["a"], r["b"]): r["r"] for r in selection.correlations(selection.ranked(df.select(*cols[:5]), cols[:5]), cols[:5]).collect()}
+    assert all(abs(r - pdf[cols[:5]].rank().corr().loc[a, b]) < 1e-9 for (a, b), r in spearman.items()) and len(spearman) == 10
+    assert selection.correlations(df.limit(0), cols[:3]).count() == 0
