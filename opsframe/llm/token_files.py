@@ -12,9 +12,11 @@ table gives a folder without rows. Columns besides ``doc_id`` and ``text`` are n
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +26,111 @@ from pyspark.sql import functions as F
 from opsframe.llm.common import slices, whole
 
 SCHEMA = "doc_id long, pos long, ids array<int>"
+PUNCTUATION = string.punctuation
+#: New words that are encoded together.
+TOGETHER = 50
+#: Texts whose new chunks are encoded at once.
+TEXTS = 200
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian 32-bit integers.
+    """Ids of texts as little-endian 32-bit integers.
 
     The vocabulary lower-cases, drops white space and no token spans it, so a text's ids are those of its
-    lower-cased chunks between blanks; a comma or full stop after a letter is a token of its own. Chunks
-    seen before are looked up; the store is emptied beyond ``limit`` bytes. Texts whose case matters
-    (special tokens, final sigma) are not lower-cased here.
+    lower-cased chunks between blanks; ASCII punctuation at a chunk's end is encoded by itself after a character
+    that the tokenizer's normaliser turns into text that ends with a letter. These properties are tested when a
+    vocabulary is loaded; one without them encodes whole texts. Texts whose case matters (special tokens, final
+    sigma) are not lower-cased here. Chunks seen before are looked up. Beyond ``limit`` bytes the store becomes
+    the older generation: chunks in use move on, the others are forgotten at the next turn.
     """
 
-    def __init__(self, path: str, limit: int = 128 << 20):
+    def __init__(self, path: str, limit: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.known, self.size = {"": b""}, 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        ends = {c for c in chunks if len(c) > 1 and c[-1] in ",." and c[-2].lower().isalpha()}
-        words = {c[:-1] if c in ends else c for c in chunks}
-        new = [w for w in words | {",", "."} if w not in self.known]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-        for c in ends:
-            self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
-        self.size += sum(200 + 5 * len(c) for c in chunks)
-
-    def encode(self, text: str) -> bytes:
-        if "<|" not in text and "\u03a3" not in text:
-            text = text.lower()
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.known, self.older, self.size = {"": b""}, {}, 0
+        self.parts: dict[str, bool] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.chunked = self._splits()
+
+    def _splits(self) -> bool:
+        """Whether the vocabulary has the properties that chunks rest on."""
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        runs = [*PUNCTUATION, *(a + b for a in PUNCTUATION for b in PUNCTUATION)]
+        return (
+            all(whole("ab" + p) == whole("ab") + whole(p) for p in runs)
+            and all(whole(f"ab{w}{c}d") == whole("ab") + whole(f"{c}d") for w in (" ", "\n", "\t", "\r", "  ") for c in ("", "c", *PUNCTUATION))
+            and whole("ABZ ÀÉ") == whole("abz àé"))
+
+    def _parts_before(self, c: str) -> bool:
+        """Whether punctuation after this character is encoded by itself."""
+        if c not in self.parts:
+            norm = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            self.parts[c] = bool(norm) and norm[-1].isalpha()
+        return self.parts[c]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [pack(f"<{len(got.ids)}I", *got.ids) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids by word. Words of letters are encoded together and parted at the tokens that end a word; if their number differs, one by one."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[i:i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        alone = [w for w in words if not w.isalpha()]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(cuts) == len(group):
+                out.update(zip(group, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts))))
+            else:
+                alone += group
+        out.update(zip(alone, self._each(alone)))
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, older, parts = self.known, self.older, self._parts_before
+        known.update((c, older[c]) for c in chunks if c in older)
+        words, ends = set(), []
+        for c in chunks:
+            if c in known:
+                continue
+            bare = c.rstrip(PUNCTUATION)
+            if bare and bare != c and "<|" not in c and parts(bare[-1]):
+                ends.append((c, bare, c[len(bare):]))
+                words.add(bare)
+                words.add(c[len(bare):])
+            else:
+                words.add(c)
+        known.update((w, older[w]) for w in words if w in older)
+        words = [w for w in words if w not in known]
+        known.update(self._ids(words))
+        known.update((c, known[bare] + known[tail]) for c, bare, tail in ends)
+        self.size += 200 * (len(chunks) + len(words)) + 5 * sum(map(len, chunks))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; all that is new in them is encoded at once."""
+        if not self.chunked:
+            return self._each(texts)
+        split = []
+        for text in texts:
+            if "<|" not in text and "\u03a3" not in text:
+                text = text.lower()
+            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        if self.size > self.limit:
+            self.known, self.older, self.size = {"": b""}, self.known, 0
         known = self.known
-        new = [c for c in set(chunks) if c not in known]
+        new = {c for chunks in split for c in chunks if c not in known}
         if new:
-            if self.size > self.limit:
-                known.clear()
-                self.size, known[""] = 0, b""
-                new = list(set(chunks) - {""})
             self._learn(new)
-        return b"".join(map(known.__getitem__, chunks))
+        find = known.__getitem__
+        return [b"".join(map(find, chunks)) for chunks in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(2)
@@ -85,8 +151,8 @@ def encode_rows(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pos = _encoder(tokenizer), 0
-        for b in slices(batches):
-            parts = [encoder.encode(t) + end for t in b.column(1).to_pylist()]
+        for b in slices(batches, TEXTS):
+            parts = [ids + end for ids in encoder.encode_all(b.column(1).to_pylist())]
             numbers = pa.array(np.arange(pos, pos + len(parts)))
             pos += len(parts)
             yield pa.RecordBatch.from_arrays([b.column(0), numbers, _id_lists(parts)], names=["doc_id", "pos", "ids"])
