@@ -57,8 +57,8 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every character of every word, and its end: the word's index and three longs.
+def grams(words: list[str]) -> tuple[np.ndarray, ...]:
+    """For every character of every word, and its end: the word's index, the character's code and three longs.
 
     These are hashes of the last ``TOP`` characters and of those without the last, and the last ``SHARED``
     characters themselves, ``CHAR_BITS`` bits each, the last one lowest. Characters from U+0800 on share
@@ -78,7 +78,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             context = context + codes[at - k] * np.uint64(pow(BASE, k - 1, 1 << 64))
         if k < SHARED:
             shared = shared | short[at - k] << np.uint64(CHAR_BITS * k)
-    return word, _mixed(top, TOP), _mixed(context, TOP - 1), shared.view(np.int64)
+    return word, codes[at].astype(np.int32), _mixed(top, TOP), _mixed(context, TOP - 1), shared.view(np.int64)
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -106,21 +106,21 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """``gram, context, shared, toxic, ordinary`` of every n-gram of ``TOP`` characters."""
-    names = ["gram", "context", "shared", "toxic", "ordinary"]
+    """``gram, last, context, shared, toxic, ordinary`` of every n-gram of ``TOP`` characters."""
+    names = ["last", "gram", "context", "shared", "toxic", "ordinary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 20_000):
             word, *hashes = grams(b.column(0).to_pylist())
             if not len(word):
                 continue
-            _, first, back = np.unique(hashes[0], return_index=True, return_inverse=True)
+            _, first, back = np.unique(hashes[1], return_index=True, return_inverse=True)
             sums = [np.bincount(back, b.column(i).to_numpy()[word]).astype(np.int64) for i in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*(h[first] for h in hashes), *sums]], names=names)
 
-    rows = words.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = words.mapInArrow(run, "last int, " + ", ".join(f"{n} long" for n in names[1:]))
     return rows.groupBy("gram").agg(
-        F.min("context").alias("context"), F.min("shared").alias("shared"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        F.min("last").alias("last"), F.min("context").alias("context"), F.min("shared").alias("shared"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def shared_backoff(top: DataFrame) -> DataFrame:
@@ -144,10 +144,10 @@ def shared_backoff(top: DataFrame) -> DataFrame:
 
 
 def evidence(top: DataFrame) -> DataFrame:
-    """``context, back, grams``: log-likelihood differences of a context's n-grams, and ``back`` of unseen ones."""
+    """``context, back, grams``: log-likelihood differences by the character that follows a context, and ``back`` of unseen ones."""
     classes = ("toxic", "ordinary")
     totals = [F.sum(c).alias(f"{c}_total") for c in classes] + [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in classes]
-    grams = F.collect_list(F.struct("gram", *classes, "p"))  # at most one for each character that can follow
+    grams = F.collect_list(F.struct("last", *classes, "p"))  # at most one for each character that can follow
     rows = top.join(shared_backoff(top), "shared").groupBy("context").agg(grams.alias("grams"), *totals)
 
     def left(c: str) -> Column:
@@ -157,21 +157,24 @@ def evidence(top: DataFrame) -> DataFrame:
         own = F.when(F.col(f"{c}_total") > 0, F.greatest(g[c] - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
         return own + left(c) * g["p"]
 
-    seen = F.transform("grams", lambda g: F.struct(g["gram"], F.log(prob("toxic", g) / prob("ordinary", g))))
+    seen = F.transform("grams", lambda g: F.struct(g["last"], F.log(prob("toxic", g) / prob("ordinary", g))))
     return rows.select("context", F.log(left("toxic") / left("ordinary")).alias("back"), F.map_from_entries(seen).alias("grams"))
 
 
 def word_grams(words: DataFrame) -> DataFrame:
-    """``id, size, gram, context`` for every character of every word, and its end."""
-    names = ["id", "size", "gram", "context"]
+    """``id, part, last, context`` for every character of every word, and its end; ``part`` is what a long word's evidence is multiplied by.
+
+    Ids and characters of a task are near one another, so that little more than the contexts' hashes is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5_000):
-            word, top, context, _ = grams(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(pa.array(b.column(i).to_numpy()[word]) for i in range(2)), pa.array(top), pa.array(context)], names=names)
+            word, last, _, context, _ = grams(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(b.column(i).to_numpy()[word]) for i in range(2)), pa.array(last), pa.array(context)], names=["id", "part", "last", "context"])
 
-    rows = words.select(word_id().alias("id"), F.char_length("word").cast("long").alias("size"), "word")
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    part = F.least(F.lit(1.0), LONG_WORD / F.char_length("word"))
+    return words.select("id", part.alias("part"), "word").mapInArrow(run, "id long, part double, last int, context long")
 
 
 def word_id() -> Column:
@@ -185,20 +188,25 @@ class Evidence:
     table: DataFrame
 
     def values(self, words: DataFrame) -> DataFrame:
-        """``id, value``: evidence for the toxic class of every one of the distinct ``word``."""
-        each = word_grams(words).join(self.table, "context", "left")
-        value = F.sum(F.coalesce(F.try_element_at("grams", F.col("gram")), "back", F.lit(0.0))) * F.least(F.lit(1.0), LONG_WORD / F.min("size"))
-        return each.groupBy("id").agg(value.alias("value"))
+        """``id, value``: evidence for the toxic class of every one of the distinct ``word`` that has any; others are left out, as 0.
+
+        Contexts that no labelled row has say nothing, so only the others go on to the words' sums.
+        """
+        numbered = written(words.withColumn("id", F.monotonically_increasing_id()))
+        each = word_grams(numbered).join(self.table, "context")
+        value = F.sum(F.coalesce(F.try_element_at("grams", F.col("last")), "back") * F.col("part"))
+        found = each.groupBy("id").agg(value.alias("value"))
+        return found.join(numbered, "id").select(word_id().alias("id"), "value")
 
     def words(self, words: list[str]) -> np.ndarray:
         """Evidence of a few words."""
         asked = self.table.sparkSession.createDataFrame([(w,) for w in set(words)], "word string")
         found = {r["word"]: r["value"] for r in asked.withColumn("id", word_id()).join(self.values(asked), "id").collect()}
-        return np.array([found[w] for w in words])
+        return np.array([found.get(w, 0.0) for w in words])
 
 
-def fit_evidence(labelled: DataFrame, cells: int | None = None) -> Evidence:
-    """Both models from rows ``toxic`` (1 or 0) and ``text``. ``cells`` bounds nothing any more."""
+def fit_evidence(labelled: DataFrame) -> Evidence:
+    """Both models from rows ``toxic`` (1 or 0) and ``text``."""
     return Evidence(written(evidence(written(gram_counts(word_counts(labelled))))))
 
 

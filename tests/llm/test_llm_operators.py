@@ -406,6 +406,48 @@ def test_chunk_encoder_equals_library():
         assert mine.encode(x) == np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
+def test_every_character_before_punctuation_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(WORD_TOKENIZER), token_files.ChunkEncoder(WORD_TOKENIZER)
+    assert mine.chunked
+    characters = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    for end in (",", ".", "'", "###"):
+        texts = [c + end for c in characters]
+        for text, got, want in zip(texts, mine.encode_all(texts), library.encode_batch(texts, add_special_tokens=False)):
+            assert got == np.array(want.ids, "<u4").tobytes(), repr(text)
+
+
+def test_chunks_in_use_outlive_a_full_store():
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(WORD_TOKENIZER), token_files.ChunkEncoder(WORD_TOKENIZER, limit=20_000)
+    rng = random.Random(2)
+    for _ in range(40):
+        texts = [" ".join(f"w{rng.randrange(3000)}ord, {rng.choice(WORDS)}" for _ in range(20)) for _ in range(5)] + [""]
+        assert mine.encode_all(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert mine.older and len(mine.known) < 2000
+
+
+def test_vocabularies_without_the_chunks_properties_encode_whole_texts():
+    mine = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not mine.chunked
+    text = "It's two  words, and\nMORE.\t"
+    assert mine.encode(text) == np.array(mine.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_lookup_reads_few_row_groups(spark):
+    path = f"{scratch_dir(spark)}/tokens"
+    docs = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    token_files.write_tokens(docs.coalesce(1), path, WORD_TOKENIZER, row_group=1024)
+    found = token_files.read_tokens(spark, path, [77, 15_000])
+    assert {r["doc_id"] for r in found.collect()} == {77, 15_000}
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    while scan.nodeName().startswith(("WholeStage", "InputAdapter", "AdaptiveSpark")):
+        scan = scan.children().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 2 * 4096  # of 20,000
+
+
 # 8 toxicity
 
 
@@ -437,7 +479,7 @@ def test_evidence_of_small_models(spark):
     top = toxicity.gram_counts(toxicity.word_counts(labelled))
     p = toxicity.shared_backoff(top).collect()
     assert p and all(0 < r["p"] < 1 for r in p)
-    model = toxicity.fit_evidence(labelled, cells=1 << 12)
+    model = toxicity.fit_evidence(labelled)
     x, a, e = model.words(["xyz", "abc", "zzz"])
     assert x > a > e
 
@@ -447,7 +489,7 @@ def test_evidence_of_every_counted_ngram_is_kept(spark):
     words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(400)]
     rows = [(i % 2, " ".join(words[i::2] * 2)) for i in range(2)]
     labelled = spark.createDataFrame(rows, "toxic int, text string")
-    each = toxicity.fit_evidence(labelled, cells=1 << 4).words(words)  # 16 cells once kept 16 n-grams
+    each = toxicity.fit_evidence(labelled).words(words)
     assert all((x < 0) if i % 2 == 0 else (x > 0) for i, x in enumerate(each))
 
 
@@ -457,10 +499,52 @@ def test_ngrams_seen_once_are_evidence(spark):
     model = toxicity.fit_evidence(labelled)
     bad, good = model.words(["zorgat", "river"])
     assert bad > 1 and good < -1  # each occurs once
-    top = toxicity.gram_counts(toxicity.word_counts(labelled)).select("gram", "context")
+    top = toxicity.gram_counts(toxicity.word_counts(labelled)).select("last", "context")
     assert {(g, r["context"]) for r in model.table.collect() for g in r["grams"]} == {tuple(r) for r in top.collect()}
 
 
+def plain_evidence(counts, words, top=12, shared=5, discount=0.75):
+    """Kneser-Ney by dictionaries: class counts at the top, shared continuation counts below."""
+    grams = lambda w: [("\x02" * (top - 1) + w + "\x03")[i:i + top] for i in range(len(w) + 1)]
+    by_class = [Counter(), Counter()]
+    for (w, label), n in counts.items():
+        for g in grams(w):
+            by_class[label][g] += n
+    level = {shared: Counter(g[-shared:] for g in {*by_class[0], *by_class[1]})}
+    for k in range(shared - 1, 0, -1):
+        level[k] = Counter(s[1:] for s in level[k + 1])
+
+    def p(s):
+        same = [n for t, n in level[len(s)].items() if t[:-1] == s[:-1]]
+        below = p(s[1:]) if len(s) > 1 else 1 / (len(same) + 1)
+        return max(level[len(s)][s] - discount, 0) / sum(same) + discount * len(same) / sum(same) * below
+
+    def left(c, context):
+        same = [n for g, n in by_class[c].items() if g[:-1] == context]
+        return (discount * len(same) / sum(same), sum(same)) if same else (1.0, 0)
+
+    def one(g):
+        (lt, nt), (lo, no) = left(1, g[:-1]), left(0, g[:-1])
+        if not nt and not no:
+            return 0.0
+        if g not in by_class[0] and g not in by_class[1]:
+            return math.log(lt / lo)
+        prob = lambda c, rest, n: (max(by_class[c][g] - discount, 0) / n if n else 0.0) + rest * p(g[-shared:])
+        return math.log(prob(1, lt, nt) / prob(0, lo, no))
+
+    return [sum(map(one, grams(w))) * min(1.0, 24 / len(w)) for w in words]
+
+
+def test_evidence_equals_plain_kneser_ney(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 16))) for _ in range(60)] + ["ab" * 20, "abab" * 8]
+    words = sorted(set(words))
+    texts = [(rng.randint(0, 1), " ".join(rng.choice(words[::2]) for _ in range(30))) for _ in range(12)]
+    counts = Counter((w, y) for y, t in texts for w in t.split())
+    model = toxicity.fit_evidence(spark.createDataFrame(texts, "toxic int, text string"))
+    assert np.allclose(model.words(words + ["中文", "zz"]), plain_evidence(counts, words + ["中文", "zz"]), atol=1e-9)
+
+
 def test_batch_features_equal_counts_by_document():
     row, times, value = np.array([0, 0, 2, 2, 2, 2]), np.array([5, 1, 1, 2, 1, 1]), np.array([-1.0, 2.0, 0.5, 3.0, -2.0, 1.0])
     n_words, x = toxicity.batch_features(row, times, value, 3)
