@@ -57,12 +57,12 @@ WIDE = "select event_id, case event_id % 3 when 0 then '1,5-2000000,7' when 1 th
 CASES = {
     "evt_kv_syslog": Case(lambda s, d: vd.parse_kv_syslog(kv(s, d))[0].select("ord", "category", "severity", "message", "timestamp", "raw_ref", F.element_at("correlation_keys", "dst_ip").alias("dst")),
         KV_CTE + " select ord, category, severity, message, \"timestamp\", raw_ref, case when ord % 4 <> 0 then '10.1.0.1' end as dst from q"),
-    "evt_kv_errors": Case(lambda s, d: vd.parse_kv_syslog(kv(s, d))[1], f"with k as ({KV}) select ord, 'No key=value pairs in syslog line: no pairs here' as error from k where ord % 20 = 0"),
+    "evt_kv_errors": Case(lambda s, d: vd.parse_kv_syslog(kv(s, d))[1], f"with k as ({KV}) select ord, 'no fields' as error, line from k where ord % 20 = 0"),
     "evt_traps": Case(lambda s, d: vd.parse_traps(trap(s, d))[0].select("ord", "category", "subcategory", "severity", "message", "hostname"),
         f"""with k as ({TRAP}), r as (select ord, regexp_extract(line, ' (10[0-9.]+) ', 1) as ip, ord % 5 as k, regexp_extract(line, 'sysName=(sw[0-9]+)', 1) as hostname, nullif(regexp_extract(line, 'ifName=([0-9/]+)', 1), '') as i, ord % 6 = 0 as lo from k where ord % 10 > 1)
         select ord, case k when 0 then 'interface' when 1 then 'environment' else 'system' end as category, case k when 0 then 'port_down' when 1 then 'temperature' when 2 then 'restart' else 'vendorthing' end as subcategory, case when lo then 'low' when k = 1 then 'high' else 'medium' end as severity,
         'Trap ' || case k when 0 then 'linkDown' when 1 then 'hmTemperature' when 2 then 'coldStart' else 'vendorThing' end || ' from ' || ip || coalesce(' on ' || i, '') as message, hostname from r"""),
-    "evt_trap_errors": Case(lambda s, d: vd.parse_traps(trap(s, d))[1], f"with k as ({TRAP}) select ord, 'Unparsable trap line: broken' as error from k where ord % 10 = 1"),
+    "evt_trap_errors": Case(lambda s, d: vd.parse_traps(trap(s, d))[1], f"with k as ({TRAP}) select ord, 'no trap' as error, line from k where ord % 10 = 1"),
     "evt_alert_json": Case(lambda s, d: vd.parse_alert_json(alert(s, d)).select("ord", "category", "subcategory", "message", "device_ip", "raw_ref", "severity"),
         """select event_id as ord, case when event_id % 5 = 0 then 'general' else case event_id % 4 when 0 then 'antivirus' when 1 then 'endpoint' when 2 then 'web_filter' else 'security' end end as category, case event_id % 4 when 0 then 'Event::Endpoint::Threat::X' when 1 then 'Event::Endpoint' when 2 then 'Event::Web' else 'Other' end as subcategory,
         case when event_id % 3 = 0 then 'd' || cast(user_id as varchar) else case event_id % 4 when 0 then 'Event::Endpoint::Threat::X' when 1 then 'Event::Endpoint' when 2 then 'Event::Web' else 'Other' end end as message, '1.2.3.' || cast(user_id % 9 as varchar) as device_ip, cast(event_id as varchar) as raw_ref, 'high' as severity from events"""),

@@ -146,7 +146,7 @@ def stp(df: DataFrame, command: str = "spanning_tree") -> DataFrame:
 def identity(df: DataFrame, command: str = "running_config") -> DataFrame:
     """Last hostname and version, first address under a VLAN or management interface."""
     line = F.trim("line")
-    mgmt = F.when(line.startswith("interface "), F.lower(F.substring(line, 11, 200)).startswith("vlan") | F.lower(line).contains("mgmt"))
+    mgmt = F.when(line.startswith("interface "), F.lower(F.expr("substring(trim(line), 11)")).startswith("vlan") | F.lower(line).contains("mgmt"))
     d = carry_down(capture(df, command), {"in_mgmt": mgmt})
     host, version = grab(line, r"^hostname\s+(.+)$"), grab(line, r"^version\s+(.+)$")
     addr = F.when(F.col("in_mgmt"), grab(line, r"^ip address\s+(\S+)"))

@@ -107,12 +107,12 @@ def _record(df: DataFrame, vendor: str, product: str, source_type: str, key: str
 
 
 def parse_kv_syslog(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Firewall key=value lines: (records, error lines). Blank lines are neither."""
+    """Firewall key=value lines: (records, whole lines without any field). Blank lines are neither."""
     text = strip(F.col("line"))
     d = once(lines, _text=text).where("_text <> ''")
     d = once(d, _ts=F.nullif(F.regexp_extract("_text", KV_HEADER, 1), F.lit("")), _payload=F.regexp_replace("_text", KV_HEADER, ""))
     d = with_kv(d, F.col("_payload"))
-    bad = d.where("size(f) = 0").select(*[c for c in ("ord",) if c in lines.columns], F.concat(F.lit("No key=value pairs in syslog line: "), F.substring("_text", 1, 80)).alias("error"))
+    bad = d.where("size(f) = 0").select(*[c for c in ("ord",) if c in lines.columns], F.lit("no fields").alias("error"), F.col("_text").alias("line"))
     subtype = [lookup(F.lower(F.trim(F.element_at("f", k))), SUBTYPE_CATEGORY) for k in ("log_subtype", "log_type", "log_component")]
     src, dst = _field("src_ip", "source_ip", "srcip"), _field("dst_ip", "dest_ip", "dstip")
     made = F.concat(F.lit("Firewall "), F.coalesce(_field("log_subtype", "log_type"), F.lit("event")), F.lit(": "), F.coalesce(_field("src_ip"), F.lit("?")), F.lit(" -> "), F.coalesce(_field("dst_ip"), F.lit("?")))
@@ -126,10 +126,10 @@ def parse_kv_syslog(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_traps(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trap lines: (records, error lines); comments and blanks are neither."""
+    """Trap lines: (records, whole lines that are no trap); comments and blanks are neither."""
     d = lines.withColumn("_text", strip(F.col("line"))).where("_text <> '' and not startswith(_text, '#')")
     ok = F.col("_text").rlike(TRAP_LINE)
-    bad = d.where(~ok).select(*[c for c in ("ord",) if c in lines.columns], F.concat(F.lit("Unparsable trap line: "), F.substring("_text", 1, 80)).alias("error"))
+    bad = d.where(~ok).select(*[c for c in ("ord",) if c in lines.columns], F.lit("no trap").alias("error"), F.col("_text").alias("line"))
     part = lambda i: F.regexp_extract("_text", TRAP_LINE, i)
     d = with_kv(once(d.where(ok), _ts=part(1), _ip=part(2), _trap=part(3), _rest=part(4)), F.col("_rest"))
     name = F.lower("_trap")
