@@ -149,7 +149,8 @@ def _health_model(s, d):
     df = df.withColumn("cpu", F.when(F.col("bad"), F.col("cpu") + 400).otherwise(F.col("cpu"))).withColumn("label", F.col("bad").cast("int"))
     f = ml.fit_isolation_forest(df, ["cpu", "octets"], "event_id", 30, label="label")
     scored = f.score(df)
-    return met.anomaly_metrics(met.flag_above(scored, "score", met.threshold(scored.where("label = 0"), "score", 0.99)))
+    m = met.anomaly_metrics(met.flag_above(scored, "score", met.threshold(scored.where("label = 0"), "score", 0.99)))
+    return m.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"), (F.col("tp") + F.col("fn")).alias("bad"), (F.col("auc") > 0.9).alias("ranked_well"), (F.col("recall") > 0.5).alias("found_most"))
 
 
 def _ingest(s, d):
@@ -291,9 +292,9 @@ CASES = {
         union all select 'windows', (select count(*) from (select distinct 'h', coalesce(hostname, 'unknown'), '', date_trunc('hour', ts) + to_minutes(cast(minute(ts) // 5 * 5 as int)) from ev where parse_status <> 'failed' and ts is not null and not clock_unreliable union all select distinct 'i', coalesce(hostname, 'unknown'), interface_id, date_trunc('hour', ts) + to_minutes(cast(minute(ts) // 5 * 5 as int)) from ev where parse_status <> 'failed' and ts is not null and not clock_unreliable and interface_id is not null))
         union all select 'extra_windows', (select count(*) from (select distinct 'h', coalesce(hostname, 'unknown'), '', date_trunc('hour', ts) + to_minutes(cast(minute(ts) // 15 * 15 as int)) from ev where parse_status <> 'failed' and ts is not null and not clock_unreliable union all select distinct 'i', coalesce(hostname, 'unknown'), interface_id, date_trunc('hour', ts) + to_minutes(cast(minute(ts) // 15 * 15 as int)) from ev where parse_status <> 'failed' and ts is not null and not clock_unreliable and interface_id is not null))
         union all select 'findings', count(*) from fnd"""),
-    "win_telemetry_job": Case(_telemetry),
-    "enc_preprocess_job": Case(_preprocess),
-    "mlt_health_job": Case(_health_model),
+    "win_telemetry_job": Case(_telemetry, f"with s as ({SERIES}), k as (select distinct ts, device_id, interface_id from s), f as (select device_id, interface_id from s group by 1, 2 having count(cpu) > 0), n as (select count(*) as n from k join f using (device_id, interface_id)) select 'train' as split, cast(floor(0.7 * n + 1e-9) as bigint) as n from n union all select 'validation', cast(floor(0.85 * n + 1e-9) as bigint) - cast(floor(0.7 * n + 1e-9) as bigint) from n union all select 'test', n - cast(floor(0.85 * n + 1e-9) as bigint) from n"),
+    "enc_preprocess_job": Case(_preprocess, "with n as (select count(*) as n from orders) select 'train' as split, cast(round(0.7 * n) as bigint) as n from n union all select 'validation', cast(round(0.15 * n) as bigint) from n union all select 'test', n - cast(round(0.7 * n) as bigint) - cast(round(0.15 * n) as bigint) from n"),
+    "mlt_health_job": Case(_health_model, "select count(*) as rows, count_if(event_id % 40 = 0) as bad, true as ranked_well, true as found_most from events"),
     "str_window_features": Case(_logs_stream, MAPS_SQL + f"select wl.scope, wl.hostname, wl.interface_id, strftime(wl.window_start, '%Y-%m-%d %H:%M:%S') as window_start, {', '.join('wl.' + c for c in STREAMED)}, coalesce(facility_counts, '{{}}') as facility_counts, coalesce(mnemonic_counts, '{{}}') as mnemonic_counts from wl left join fj on wl.scope = fj.scope and wl.hostname = fj.hostname and wl.interface_id = fj.interface_id and wl.window_start = fj.ws left join mj on wl.scope = mj.scope and wl.hostname = mj.hostname and wl.interface_id = mj.interface_id and wl.window_start = mj.ws where wl.window_start + interval 5 minutes <= {CLOSED}"),
     "str_log_findings": Case(_findings_stream, _closed_findings()),
     "str_ingest": Case(lambda s, d: jobs.ingested(s, _ingest_root(s, d)).select("event_id", "severity", "engine_target", "hostname", "source_name"), KV_CTE + """ select 'evt_' || substr(sha256('sophos_syslog|' || raw_ref || '|' || "timestamp" || '|' || message), 1, 16) as event_id, case severity when 'error' then 'high' else severity end as severity, 'cyber' as engine_target, null as hostname, 'sophos_firewall' as source_name from q where ord % 9 <> 0"""),

@@ -211,7 +211,7 @@ CASES = {
     "fsl_tree_importance": Case(lambda s, d: ml.tree_importance(nums(s, d), COLS, "y", 5, 3).agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("score"), 6).alias("total"), F.count_if(F.col("score") < 0).alias("negative")), "select 4 as features, 1.0 as total, 0 as negative"),
     "fsl_rfe": Case(lambda s, d: ml.rfe(nums(s, d), COLS, "y", 2, 1).groupBy("rank").agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("score"), 6).alias("score")), "select * from (values (1, 2, 2.0), (2, 1, 0.5), (3, 1, 0.333333)) v(rank, features, score)"),
     "fsl_pca": Case(lambda s, d: ml.fit_pca(nums(s, d), COLS, 0.9).transform(nums(s, d)).agg(F.count(F.lit(1)).alias("rows"), F.round(F.abs(F.avg("pc_1")), 3).alias("mean"), F.round(F.var_samp("pc_1") / F.var_samp("e"), 3).alias("share")), f"with x as ({NUM}) select count(*) as rows, 0.0 as mean, 1.0 as share from x"),
-    "fsl_engineer": Case(_engineer),
+    "fsl_engineer": Case(_engineer, "select * from (values ('split', 'excluded'), ('k', 'low_variance'), ('d', 'not_selected'), ('t', 'not_selected'), ('q', 'selected'), ('e', 'selected')) v(feature, reason)"),
     "mlt_forest": Case(lambda s, d: _model(s, d, "forest"), MODEL_SQL),
     "mlt_gbt": Case(lambda s, d: _model(s, d, "gbt"), MODEL_SQL),
     "mlt_mlp": Case(lambda s, d: _model(s, d, "mlp"), MODEL_SQL),

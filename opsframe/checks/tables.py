@@ -160,7 +160,8 @@ CASES = {
     "prf_recommend": Case(lambda s, d: prf.recommend(t(s, d), "label", 100.0),
         T + """select * from (values ('action','replace_infinite'),('action','impute_missing'),('action','encode_categorical'),('action','scale_numeric'),('risk','warning:infinite_values'),('risk','warning:missing_values'),('risk','error:all_null_column'),
         ('note','stratify_split'),('note','fit_on_train_only'),('note','report_more_than_accuracy'),('note','choose_multiclass_or_binary')) v(kind, text) where text <> 'choose_multiclass_or_binary' or (select count(distinct label) from t) > 2"""),
-    "prf_audit_matrix": Case(lambda s, d: prf.audit_matrix({"train": t(s, d).select("cust", "price", "label"), "test": t(s, d).select("price", "cust", "prio", "label")}, "label", ["cust"])),
+    "prf_audit_matrix": Case(lambda s, d: prf.audit_matrix({"train": t(s, d).select("cust", "price", "label"), "test": t(s, d).select("price", "cust", "prio", "label")}, "label", ["cust"]),
+        T + " select * from (values ('train', 'differs_from_recorded', 'price'), ('test', 'columns', 'prio'), ('test', 'not_numeric', 'prio')) v(split, problem, columns) union all select 'train', 'missing', 'price' from t having count_if(price is null) > 0 union all select 'test', 'missing', 'price' from t having count_if(price is null) > 0 union all select 'test', 'missing', 'prio' from t having count_if(prio is null) > 0"),
     "spl_random_stratified": Case(_split_sizes, SIZES_SQL),
     "spl_random": Case(_random, T + """, z as (select count(*) as n, round(count(*) * 0.7) as a, round(count(*) * 0.15) as b from t)
         select 'train' as split, cast(a as bigint) as n, cast(a as bigint) as ids from z union all select 'validation', cast(b as bigint), cast(b as bigint) from z union all select 'test', cast(n - a - b as bigint), cast(n - a - b as bigint) from z"""),
