@@ -13,7 +13,7 @@ apart. Candidates are verified by edit distance.
 
 Null texts have no words. A null id hashes as the empty string. Repeated rows count again. Words without a near
 word have zero near words, no form and are their own root. Equal counts: the smaller word in code-point order.
-An empty table gives no words. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
+An empty table gives no words. Words of fewer than four code points hold no two such bigrams and are near none. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -113,6 +113,8 @@ def _entries(words: DataFrame, ranks: dict[str, tuple[int, int]], probe: bool) -
                 b = whole_batch.slice(start, 2000)
                 keys, of, last = [], [], []
                 for k, word in enumerate(b.column(0).to_pylist()):
+                    if len(word) <= PREFIX_GRAMS:
+                        continue
                     prefix, two, end = plan(word, ranks)
                     own = probe_keys(word, two) if probe else index_keys(word, prefix)
                     keys += own

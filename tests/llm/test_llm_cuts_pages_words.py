@@ -178,6 +178,12 @@ def test_variants_equal_all_pairs(spark):
     assert max(v[3] for v in got.values()) > 3 and any(v[0] and v[1] != v[0] for v in got.values())
 
 
+def test_short_words_are_near_none(spark):
+    words = spark.createDataFrame([("abc", 50), ("abd", 5), ("", 5), ("a", 5), ("abcd", 400), ("abce", 7)], "word string, n long")
+    got = found_variants(words)
+    assert got["abc"] == (None, "abc", 50, 0, None) and got["abce"] == ("abcd", "abcd", 7, 1, 400) and len(got) == 6
+
+
 def plain_counts(rows, every):
     counts = Counter()
     for i, t in rows:
