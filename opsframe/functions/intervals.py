@@ -6,6 +6,8 @@ overlap nor touch. A range of two million ids costs as much as a single id.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,27 +22,34 @@ def _none() -> Column:
     return F.array().cast(TYPE)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a lambda would compute it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(raw: Column) -> Column:
-    """Set of any array of intervals; empty ones (``lo`` above ``hi``) are left out."""
-    kept = F.array_sort(F.filter(raw, lambda x: x["lo"] <= x["hi"]))
+    """Set of any array of intervals; empty ones (``lo`` above ``hi``) are left out.
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(_interval(last["lo"], F.greatest(last["hi"], x["hi"]))))
-        return F.when(last.isNotNull() & (x["lo"] <= last["hi"] + 1), longer).otherwise(F.concat(done, F.array(x)))
+    Starts and ends are sorted apart: a gap follows the i-th end if the next start lies beyond it, as then all intervals
+    that began before have ended.
+    """
+    kept = F.filter(raw, lambda x: x["lo"] <= x["hi"])
+    ends = _let(kept, lambda k: F.struct(F.sort_array(k["lo"]).alias("lo"), F.sort_array(k["hi"]).alias("hi")))
 
-    return F.aggregate(kept, _none(), add)
+    def merge(e: Column) -> Column:
+        lo = F.filter(e["lo"], lambda v, i: (i == 0) | (v > F.get(e["hi"], i - 1) + 1))
+        hi = F.filter(e["hi"], lambda v, i: F.coalesce(F.get(e["lo"], i + 1) > v + 1, F.lit(True)))
+        return F.arrays_zip(lo, hi).cast(TYPE)
+
+    return _let(ends, merge)
 
 
 def parse(c: Column) -> Column:
     """``1,10-12`` to its set; blanks don't matter, malformed and backward parts are left out, null is the empty set."""
     parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), ",")
-
-    def one(p: Column) -> Column:
-        lo = F.regexp_extract(p, r"^(\d{1,18})(?:-\d{1,18})?$", 1).try_cast("long")
-        return _interval(lo, F.coalesce(F.regexp_extract(p, r"^\d{1,18}-(\d{1,18})$", 1).try_cast("long"), lo))
-
-    return normalize(F.transform(parts, one))
+    numbers = F.filter(parts, lambda p: p.rlike(r"^\d{1,18}(-\d{1,18})?$"))  # what is cast below is a number: failing casts are slow
+    number = lambda p, pattern: F.regexp_extract(p, pattern, 1).cast("long")
+    return normalize(F.transform(numbers, lambda p: _interval(number(p, r"^(\d+)"), number(p, r"(\d+)\D*$"))))
 
 
 def of_ids(ids: Column) -> Column:

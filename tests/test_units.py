@@ -113,6 +113,13 @@ def test_intervals_are_sets(spark):
     assert wide == "1,5-9,21-1999998,2000000"
 
 
+def test_interval_sets_grow_without_copies(spark):
+    raw = spark.createDataFrame([([(5, 9), (1, 2), (8, 20), (3, 3), (30, 29), (40, 40)],), ([],)], f"r {iv.TYPE}").select(iv.normalize(F.col("r")).alias("n"))
+    assert [[tuple(x) for x in r["n"]] for r in raw.collect()] == [[(1, 3), (5, 20), (40, 40)], []]
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(" not in plan and "aggregate(" not in plan  # a set of k parts was copied k times
+
+
 def test_null_groups_keep_their_rows(spark):
     df = spark.createDataFrame([(None, 1, 2), ("a", 1, 5), (None, 2, 3)], "g string, o int, v int")
     got = ranking.running_totals(df, ["o"], {"before": "v"}, ["g"]).orderBy("g", "o").collect()
