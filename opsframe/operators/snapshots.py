@@ -66,9 +66,9 @@ def diff_tables(before: DataFrame, after: DataFrame, keys: Sequence[str], fields
 
 def diff_presence(before: DataFrame, after: DataFrame, keys: Sequence[str], category: str) -> DataFrame:
     """Added and removed keys only."""
-    b = before.select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct()
-    a = after.select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct()
-    rows = b.exceptAll(a).withColumn("change_type", F.lit("removed")).unionByName(a.exceptAll(b).withColumn("change_type", F.lit("added")))
+    side = lambda d, here: d.select(*[F.col(k).cast("string").alias(k) for k in keys], F.lit(here).alias("_after"))
+    seen = side(before, False).unionByName(side(after, True)).groupBy(*keys).agg(F.bool_or("_after").alias("_in_after"), F.bool_and("_after").alias("_only_after"))
+    rows = seen.where(F.col("_only_after") | ~F.col("_in_after")).select(*keys, F.when(F.col("_only_after"), "added").otherwise("removed").alias("change_type"))
     return rows.withColumn("category", F.lit(category)).withColumn("severity", F.when(F.col("change_type") == "removed", "low").otherwise("info"))
 
 
