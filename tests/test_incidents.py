@@ -38,3 +38,25 @@ def test_repeated_signals_count_once_and_evidence_lists_them(spark):
 def test_no_signals_give_no_incidents(spark):
     incidents, m = inc.correlate(spark.createDataFrame([], SCHEMA))
     assert incidents.count() == 0 and m.rows().count() == 0 and inc.evidence_items(m, incidents).count() == 0
+
+
+def test_a_large_set_is_dealt_over_the_tasks(spark):
+    rows = [signal(i, "engine_c", f"sw{i}", "UNUSED_PORT_ADMIN_UP") for i in range(700)] + [signal(10000 + i, "engine_a", f"sw{i}", "attack") for i in range(700)]
+    members = inc.rule_exposure(inc.classify(spark.createDataFrame(rows, SCHEMA))).rows()
+    tasks = [r["count"] for r in members.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 700 * 701 and max(tasks) < sum(tasks) / 2  # one task had all pairs of a run's set
+
+
+def test_blocks_keep_repeated_rows(spark):
+    refs = spark.createDataFrame([("r", "s", "rule", str(i)) for i in range(3)], "run_id string, set_id string, rule_id string, key string")
+    sets = spark.createDataFrame([("r", "s", "S1")] * 2500 + [("r", "s", None), ("q", "s", "S2")], "run_id string, set_id string, signal_id string")
+    got = {(r["key"], r["signal_id"]): r["count"] for r in inc.expand(refs, sets).groupBy("key", "signal_id").count().collect()}
+    assert got == {(str(i), v): n for i in range(3) for v, n in (("S1", 2500), (None, 1))}
+
+
+def test_evidence_items_name_their_incident(spark):
+    rows = [signal(1, "engine_c", "sw1", "UNUSED_PORT_ADMIN_UP"), signal(2, "engine_a", "sw1", "attack")]
+    incidents, m = inc.correlate(spark.createDataFrame(rows, SCHEMA))
+    items = inc.evidence_items(m, incidents)
+    assert {"rule_id", "key"} <= set(items.columns)  # no join of the long table is needed for them
+    assert items.where("rule_id = 'CONFIG_EXPOSURE' and key = 'sw1'").count() == 2
