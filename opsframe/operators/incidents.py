@@ -374,16 +374,42 @@ def score_incidents(totals: DataFrame, pairs: DataFrame, t: Thresholds = Thresho
     return first.select("run_id", "incident_id", "i.*").select(*cols)
 
 
+def _taken(refs: DataFrame) -> DataFrame:
+    """The sets of each incident as one text."""
+    return refs.groupBy(*INCIDENT).agg(F.array_join(F.sort_array(F.collect_set("set_id")), "\x1e").alias("taken"))
+
+
 def incident_evidence(m: Membership) -> DataFrame:
-    """Per incident and engine: signals, distinct titles and artefacts; sets are reduced to their distinct titles before they are attached."""
-    by = [F.col("engine"), F.col("title"), F.col("source_artifact")]
-    own = m.own.groupBy(*INCIDENT, *by).agg(F.count(F.lit(1)).alias("n"))
-    shared = m.sets.groupBy("run_id", "set_id", *by).agg(F.count(F.lit(1)).alias("n"))
-    rows = own.unionByName(m.refs.join(shared, ["run_id", "set_id"]).select(own.columns))
-    titles = rows.groupBy(*INCIDENT, "engine", "title").agg(F.sum("n").alias("n"))
-    arts = rows.select(*INCIDENT, "engine", "source_artifact").distinct().groupBy(*INCIDENT, "engine").agg(F.count("source_artifact").alias("artifacts"))
-    counts = titles.groupBy(*INCIDENT, "engine").agg(F.sum("n").alias("signals"), F.count(F.lit(1)).alias("titles"), F.min("title").alias("first_title"))
-    return counts.join(arts, [*INCIDENT, "engine"])
+    """Per incident and engine: signals, distinct titles and artefacts.
+
+    Sets that incidents take together are counted once for all of them; an incident adds those of its own titles and artefacts
+    that its sets don't have, so no set is listed per incident.
+    """
+    taken = cut_lineage(_taken(m.refs))
+    combos = taken.select("run_id", "taken").distinct().select("run_id", "taken", F.explode(F.split("taken", "\x1e")).alias("set_id"))
+    shared = m.sets.groupBy("run_id", "set_id", "engine", "title", "source_artifact").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut_lineage(combos.join(shared, ["run_id", "set_id"]).groupBy("run_id", "taken", "engine", "title", "source_artifact").agg(F.sum("n").alias("n")))
+    own = m.own.groupBy(*INCIDENT, "engine", "title", "source_artifact").agg(F.count(F.lit(1)).alias("n"))
+    own = own.join(taken, INCIDENT, "left").withColumn("taken", F.coalesce("taken", F.lit("")))
+
+    def unseen(what: str) -> DataFrame:
+        """Distinct own values with their signals, and whether the sets lack them."""
+        known = shared.select("run_id", "taken", "engine", F.col(what).alias("_known")).distinct().withColumn("_met", F.lit(True)).alias("k")
+        mine = own.groupBy(*INCIDENT, "taken", "engine", what).agg(F.sum("n").alias("n")).alias("o")
+        same = [F.col(f"o.{c}") == F.col(f"k.{c}") for c in ("run_id", "taken", "engine")]
+        return mine.join(known, [*same, F.col(f"o.{what}").eqNullSafe(F.col("k._known"))], "left").select("o.*", F.col("_met").isNull().alias("new"))
+
+    none = F.lit(0).cast("long")
+    by = [*INCIDENT, "engine"]
+    titles = unseen("title").groupBy(*by).agg(F.sum("n").alias("signals"), F.count_if("new").alias("titles"), F.min("title").alias("first_title"), F.lit(0).cast("long").alias("artifacts"))
+    arts = unseen("source_artifact").groupBy(*by).agg(F.count_if(F.col("new") & F.col("source_artifact").isNotNull()).alias("artifacts"))
+    arts = arts.select(*by, none.alias("signals"), none.alias("titles"), F.lit(None).cast("string").alias("first_title"), "artifacts")
+    sets = shared.groupBy("run_id", "taken", "engine", "title").agg(F.sum("n").alias("n")).groupBy("run_id", "taken", "engine").agg(
+        F.sum("n").alias("signals"), F.count(F.lit(1)).alias("titles"), F.min("title").alias("first_title"))
+    files = shared.groupBy("run_id", "taken", "engine").agg(F.count_distinct("source_artifact").alias("artifacts"))
+    sets = taken.join(sets.join(files, ["run_id", "taken", "engine"]), ["run_id", "taken"]).select(*titles.columns)
+    every = titles.unionByName(arts).unionByName(sets).dropna(subset=by).groupBy(*by)
+    return every.agg(F.sum("signals").alias("signals"), F.sum("titles").alias("titles"), F.min("first_title").alias("first_title"), F.sum("artifacts").alias("artifacts"))
 
 
 def evidence_items(m: Membership, incidents: DataFrame) -> DataFrame:
