@@ -310,6 +310,21 @@ def _product(a: str, b: str) -> Column:
 
 
 def pair_counts(m: Membership) -> DataFrame:
+    """Pair counts of every incident; those of a single own row that agree on its entity, its engine and the sets are counted once."""
+    by = [*ENTITY, "engine"]
+    lone = m.own.groupBy(*INCIDENT).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in by]).where("_n = 1").dropna(subset=INCIDENT)
+    lone = lone.join(_taken(m.refs), INCIDENT, "left").select(*INCIDENT, F.to_json(F.struct(*by, "taken")).alias("_like"))  # a null has no field
+    lone = cut_lineage(lone)
+    first = lone.groupBy("run_id", "_like").agg(F.min(F.struct("rule_id", "key")).alias("_first"))
+    alike = lone.join(first, ["run_id", "_like"]).where(F.struct("rule_id", "key") != F.col("_first"))
+    alike = cut_lineage(alike.select(*INCIDENT, F.col("_first.rule_id").alias("_rule"), F.col("_first.key").alias("_key")))
+    rest = Membership(m.own.join(alike, INCIDENT, "left_anti"), m.refs.join(alike, INCIDENT, "left_anti"), m.sets)
+    counted = cut_lineage(_pair_counts(rest))
+    given = counted.select("run_id", F.col("rule_id").alias("_rule"), F.col("key").alias("_key"), *KINDS)
+    return counted.unionByName(alike.join(given, ["run_id", "_rule", "_key"]).select(*INCIDENT, *KINDS))
+
+
+def _pair_counts(m: Membership) -> DataFrame:
     """Ordered cross-engine member pairs that agree on each kind of key, without forming a pair.
 
     Of two parts a and b of an incident there are a*b - sum over engines of a_e*b_e under a key: own rows with own rows, own

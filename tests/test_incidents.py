@@ -72,3 +72,13 @@ def test_evidence_adds_own_titles_to_those_of_the_sets(spark):
     assert got == {("CONFIG_EXPOSURE", "engine_c", 1, 1, "title 1", 1), ("CONFIG_EXPOSURE", "engine_a", 4, 4, "title 3", 3),
                    ("MANAGEMENT_ACCESS_EXPOSURE", "syslog", 2, 1, "title 9", 1), ("MANAGEMENT_ACCESS_EXPOSURE", "engine_c", 1, 1, "title 1", 1),
                    ("MANAGEMENT_ACCESS_EXPOSURE", "engine_a", 4, 4, "title 3", 3)}
+
+
+def test_alike_incidents_share_their_pair_counts(spark, monkeypatch):
+    rows = [("r", f"P{i}", "syslog", "SYSLOG_POE_FAULT", "port", "high", "sw1", "gi0/1", 1, False, False, True, "high", "t", "f", []) for i in range(50)]
+    rows += [signal(1, "engine_c", "sw1", "other", interface="gi0/1"), signal(2, "engine_c", "SW1 ", "other", interface="Gi0/1")]
+    m = inc.cross_members(inc.classify(spark.createDataFrame(rows, SCHEMA)))
+    whole = {tuple(r) for r in inc._pair_counts(m).collect()}
+    seen, count = [], inc._pair_counts
+    monkeypatch.setattr(inc, "_pair_counts", lambda part: seen.append(part.own.count()) or count(part))
+    assert {tuple(r) for r in inc.pair_counts(m).collect()} == whole and len(whole) == 50 and seen == [1]
