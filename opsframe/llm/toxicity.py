@@ -11,8 +11,8 @@ logistic function fitted to held-back labelled rows turns them into a score from
 What is learned from: all labelled rows that the caller marks for training. At most ``calibration_rows``
 of them, and at most a quarter, fit the logistic function (a bounded sample, those with the smallest hash
 of ``doc_id``); all others are counted. Counts and evidence are written tables that grow with the input.
-For scoring, the distinct words' n-grams are joined with the evidence table, and the words' sums with
-batches of documents, which hold each distinct word once with the rows that have it. The label table is
+For scoring, the distinct words' n-grams are joined with the evidence table, and the words' sums go back to
+the batches of documents they are from, which hold each distinct word once with the rows that have it. The label table is
 broadcast up to ``BROADCAST_LABELS`` rows and joined by a shuffle beyond.
 
 Null and empty texts have no words: all features are 0, and the score is the logistic function's. Repeated rows are scored alike; repeated labels of a document count once, toxic if any is.
@@ -38,6 +38,8 @@ from opsframe.llm.common import slices, whole, written
 
 TOP, SHARED, DISCOUNT, LONG_WORD = 12, 5, 0.75, 24
 CALIBRATION_ROWS, BROADCAST_LABELS = 20_000, 1_000_000
+#: Rows and characters of documents that are described together.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 23
 WORD = re.compile(r"\w+")
 START, END = "\x02", "\x03"
 BASE = 0x9E3779B97F4A7C15
@@ -162,23 +164,17 @@ def evidence(top: DataFrame) -> DataFrame:
 
 
 def word_grams(words: DataFrame) -> DataFrame:
-    """``id, part, last, context`` for every character of every word, and its end; ``part`` is what a long word's evidence is multiplied by.
+    """``id, last, context`` for every character of every word, and its end.
 
     Ids and characters of a task are near one another, so that little more than the contexts' hashes is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 5_000):
-            word, last, _, context, _ = grams(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(b.column(i).to_numpy()[word]) for i in range(2)), pa.array(last), pa.array(context)], names=["id", "part", "last", "context"])
+            word, last, _, context, _ = grams(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[word]), pa.array(last), pa.array(context)], names=["id", "last", "context"])
 
-    part = F.least(F.lit(1.0), LONG_WORD / F.char_length("word"))
-    return words.select("id", part.alias("part"), "word").mapInArrow(run, "id long, part double, last int, context long")
-
-
-def word_id() -> Column:
-    return F.xxhash64("word")
+    return words.select("id", "word").mapInArrow(run, "id long, last int, context long")
 
 
 @dataclass(frozen=True)
@@ -188,20 +184,20 @@ class Evidence:
     table: DataFrame
 
     def values(self, words: DataFrame) -> DataFrame:
-        """``id, value``: evidence for the toxic class of every one of the distinct ``word`` that has any; others are left out, as 0.
+        """The rows of ``words``, whose ``word`` is distinct, that have evidence for the toxic class, and its ``value``; others are left out, as 0.
 
         Contexts that no labelled row has say nothing, so only the others go on to the words' sums.
         """
         numbered = written(words.withColumn("id", F.monotonically_increasing_id()))
         each = word_grams(numbered).join(self.table, "context")
-        value = F.sum(F.coalesce(F.try_element_at("grams", F.col("last")), "back") * F.col("part"))
-        found = each.groupBy("id").agg(value.alias("value"))
-        return found.join(numbered, "id").select(word_id().alias("id"), "value")
+        found = written(each.groupBy("id").agg(F.sum(F.coalesce(F.try_element_at("grams", F.col("last")), "back")).alias("value")))
+        part = F.least(F.lit(1.0), LONG_WORD / F.char_length("word"))
+        return numbered.join(found, "id").withColumn("value", F.col("value") * part).drop("id")
 
     def words(self, words: list[str]) -> np.ndarray:
         """Evidence of a few words."""
         asked = self.table.sparkSession.createDataFrame([(w,) for w in set(words)], "word string")
-        found = {r["word"]: r["value"] for r in asked.withColumn("id", word_id()).join(self.values(asked), "id").collect()}
+        found = {r["word"]: r["value"] for r in self.values(asked).collect()}
         return np.array([found.get(w, 0.0) for w in words])
 
 
@@ -210,44 +206,40 @@ def fit_evidence(labelled: DataFrame) -> Evidence:
     return Evidence(written(evidence(written(gram_counts(word_counts(labelled))))))
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                seen.update(WORD.findall(text.lower()))
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
-
-    return docs.select(whole("text")).mapInArrow(run, "word string").distinct()
-
-
-POSTINGS = "batch long, word string, row array<int>, times array<int>, ids array<long>"
-
-
-def postings(docs: DataFrame, keep: str) -> DataFrame:
-    """The rows in batches: each distinct word of a batch with its rows and how often they have it.
-
-    One more line for each batch, whose word has a blank and so is none, holds the rows' ``keep`` (longs).
+def postings(docs: DataFrame, keep: str, size: int = BATCH_ROWS) -> DataFrame:
+    """The rows in batches of at most ``size`` and about ``BATCH_CHARS`` characters, one line each: its distinct ``words``, for each
+    the number of rows that have it (``sizes``), those rows and how often they have it, and the rows' ``keep`` (``ids``, longs).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ints = TaskContext.get().partitionId(), pa.list_(pa.int32())
-        for k, b in enumerate(slices(batches)):
-            batch, index = task << 32 | k, {}
-            ids = [[index.setdefault(w, len(index)) for w in WORD.findall(t.lower())] for t in b.column(1).to_pylist()]
-            rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-            both, times = np.unique(np.fromiter((i for x in ids for i in x), np.int64, len(rows)) * len(ids) + rows, return_counts=True)
-            ends = pa.array(np.r_[np.searchsorted(both, np.arange(len(index) + 1) * len(ids)), len(both)].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (both % max(1, len(ids)), times)]
-            kept = pa.array([*[None] * len(index), b.column(0).to_pylist()], pa.list_(pa.int64()))
-            words = pa.array([*index, f" {batch}"], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), batch)), words, *(x.cast(ints) for x in lists), kept], names=["batch", "word", "row", "times", "ids"])
-
-    return docs.select(F.col(keep).cast("long").alias("id"), whole("text").alias("text")).mapInArrow(run, POSTINGS)
+        task, k = TaskContext.get().partitionId(), 0
+        index: dict[str, int] = {}
+        kept, found, chars = [], [], 0
+
+        def line() -> pa.RecordBatch:
+            n = len(kept)
+            rows = np.repeat(np.arange(n), [len(x) for x in found])
+            both, times = np.unique(np.concatenate(found).astype(np.int64) * n + rows, return_counts=True)
+            sizes = np.bincount(both // n, minlength=len(index))
+            packed = (sizes.astype("<i4"), (both % n).astype("<u2"), times.astype("<i4"))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task << 32 | k]), pa.array([list(index)], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in packed),
+                 pa.array([kept], pa.list_(pa.int64()))], names=["batch", "words", "sizes", "row", "times", "ids"])
+
+        for b in slices(batches):
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = WORD.findall(text.lower())
+                kept.append(i)
+                found.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words)))
+                chars += len(text)
+                if len(kept) >= size or chars >= BATCH_CHARS:
+                    yield line()
+                    index, kept, found, chars, k = {}, [], [], 0, k + 1
+        if kept:
+            yield line()
+
+    return docs.select(F.col(keep).cast("long").alias("id"), whole("text").alias("text")).mapInArrow(
+        run, "batch long, words array<string>, sizes binary, row binary, times binary, ids array<long>")
 
 
 def batch_features(row: np.ndarray, times: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,21 +258,24 @@ def batch_features(row: np.ndarray, times: np.ndarray, value: np.ndarray, n: int
 
 
 def features(docs: DataFrame, model: Evidence, keep: str) -> DataFrame:
-    """Column ``keep`` (a long) of every row with ``n_words`` and ``FEATURES``. ``docs`` is read twice."""
-
-    def run(batch: pa.Table) -> pa.Table:
-        batch = batch.combine_chunks()
-        ids = next(x for x in batch.column("ids").to_pylist() if x is not None)
-        size = batch.column("row").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-        row, times = (batch.column(c).combine_chunks().flatten().to_numpy() for c in ("row", "times"))
-        n_words, x = batch_features(row, times, np.repeat(batch.column("value").to_numpy(), size), len(ids))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(n_words), *(pa.array(c) for c in x.T)], names=[keep, "n_words", *FEATURES])
-
-    value = written(model.values(distinct_words(docs)))
-    rows = postings(docs, keep).withColumn("id", word_id()).drop("word").join(value, "id", "left")
-    rows = rows.select("batch", "row", "times", "ids", F.coalesce("value", F.lit(0.0)).alias("value"))
+    """Column ``keep`` (a long) of every row with ``n_words`` and ``FEATURES``.
+
+    Words go to the evidence with the batches that have them and their places there, and only places and values come back.
+    """
+
+    def run(batch: pa.Table, found: pa.Table) -> pa.Table:
+        ids, sizes, row, times = (batch.column(c)[0] for c in ("ids", "sizes", "row", "times"))
+        sizes, row, times = (np.frombuffer(x.as_py(), kind) for x, kind in ((sizes, "<i4"), (row, "<u2"), (times, "<i4")))
+        value = np.zeros(len(sizes))
+        value[found.column("place").to_numpy()] = found.column("value").to_numpy()
+        n_words, x = batch_features(row.astype(np.int64), times, np.repeat(value, sizes), len(ids))
+        return pa.table([pa.array(ids.as_py(), pa.int64()), pa.array(n_words), *(pa.array(c) for c in x.T)], names=[keep, "n_words", *FEATURES])
+
+    batches = written(postings(docs, keep))
+    words = batches.select("batch", F.posexplode("words").alias("place", "word")).groupBy("word").agg(F.collect_list(F.struct("batch", "place")).alias("at"))
+    values = model.values(words).select(F.explode("at").alias("at"), "value").select("at.*", "value")
     kinds = [f"{k} long" for k in (keep, "n_words")] + [f"{k} double" for k in FEATURES]
-    return rows.groupBy("batch").applyInArrow(run, ", ".join(kinds))
+    return batches.drop("words").groupBy("batch").cogroup(values.groupBy("batch")).applyInArrow(run, ", ".join(kinds))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 0.05, steps: int = 50) -> np.ndarray:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsframe.llm import graph, lines, packing, pieces, pii, search, simhash, sketches, token_files, toxicity, urls
+from opsframe.llm.common import SHUFFLE_CLEANUP, written
 from opsframe.session import scratch_dir
 
 WORDS = [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"] + ["the", "of", "Über", "été"]
@@ -552,6 +553,34 @@ def test_batch_features_equal_counts_by_document():
     assert np.allclose(x, [[-0.5, 2, -1, -1, math.log(6)], [0, 0, 0, 0, 0], [1.1, 3, 3, 1, math.log(5)]])
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if f.rsplit("/", 1)[-1].startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    got = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffle_files(spark) - before and got.count() == 7
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
+def test_words_values_return_to_their_batches(spark):
+    texts = ["stone zorgat zorgat", "", "river stone", "zorgat", None, "unknown", "stone stone river", "river"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    model = toxicity.fit_evidence(spark.createDataFrame([(1, "stone zorgat"), (0, "stone river")], "toxic int, text string"))
+    lines = toxicity.postings(docs, "doc_id", size=3).collect()
+    assert max(len(r["ids"]) for r in lines) == 3 and sorted(i for r in lines for i in r["ids"]) == list(range(8))
+    assert all(len(set(r["words"])) == len(r["words"]) for r in lines)
+    names = ["stone", "zorgat", "river", "unknown"]
+    value = dict(zip(names, model.words(names)))
+    for r in toxicity.features(docs, model, "doc_id").collect():
+        words = (texts[r["doc_id"]] or "").split()
+        top = sorted((value[w] for w in words), reverse=True)[:3]
+        mean = sum(value[w] for w in words) / max(1, len(words))
+        assert r["n_words"] == len(words) and np.allclose([r["mean_evidence"], r["top_1"], r["top_2"], r["top_3"]], [mean, *top, *[0] * (3 - len(top))])
+
+
 def test_toxicity_odd(odd, spark):
     labels = spark.createDataFrame([(4, 0), (5, 1), (5, 0)], "doc_id long, toxic int")
     for known in (labels, labels.where("false")):
