@@ -88,6 +88,20 @@ def test_search_equals_brute_force(docs):
             assert [d for _, d, _ in mine] == [d for _, d in want]
 
 
+def test_queries_are_neither_collected_nor_broadcast(docs, spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("queries in the driver")
+
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    monkeypatch.setattr(search, "TERMS", 200)  # long queries make blocks of their own
+    few = search.search(docs, docs.where("doc_id % 7 = 0"), k=4, shard=16, queries_at_once=1000).collect()
+    monkeypatch.undo()
+    want = search.search(docs, docs.where("doc_id % 7 = 0"), k=4).collect()
+    short = lambda rows: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in rows)
+    assert short(few) == short(want)
+
+
 def test_block_bounds_prune_without_loss():
     rng = np.random.default_rng(1)
     corpus = [" ".join(f"t{x}" for x in rng.zipf(1.5, 20) if x < 3000) + (" rare" if i == 700 else "") for i in range(900)]
