@@ -44,7 +44,7 @@ class ChunkEncoder:
     the older generation: chunks in use move on, the others are forgotten at the next turn.
     """
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 160 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,7 +123,7 @@ class ChunkEncoder:
         if self.size > self.limit:
             self.known, self.older, self.size = {"": b""}, self.known, 0
         known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
+        new = set().union(*split).difference(known)
         if new:
             self._learn(new)
         find = known.__getitem__

@@ -480,6 +480,18 @@ def test_chunks_in_use_outlive_a_full_store():
     assert mine.older and len(mine.known) < 2000
 
 
+def test_a_large_vocabulary_is_encoded_once(monkeypatch):
+    mine, asked = token_files.ChunkEncoder(WORD_TOKENIZER), []
+    ids = mine._ids
+    monkeypatch.setattr(mine, "_ids", lambda words: asked.append(len(words)) or ids(words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:17]]  # 298,792
+    texts = [" ".join(words[i:i + 2000]) for i in range(0, len(words), 2000)]
+    first = mine.encode_all(texts[:75]) + mine.encode_all(texts[75:])
+    assert sum(asked) == len(words)
+    assert mine.encode_all(texts[:75]) + mine.encode_all(texts[75:]) == first and sum(asked) == len(words)
+
+
 def test_vocabularies_without_the_chunks_properties_encode_whole_texts():
     mine = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not mine.chunked
