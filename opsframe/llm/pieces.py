@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
 No piece spans a blank that follows another character or a line end, so a text is made of units that are
-encoded apart. The units of a batch that are not known yet are concatenated, ``CODES`` characters at a time,
+encoded apart. Units also end between ASCII punctuation and characters that no piece of the model holds beside it,
+as nothing is merged there. The units of a batch that are not known yet are concatenated, ``CODES`` characters at a time,
 and indexed by a suffix array (sorted to the length of the longest piece). Every piece's occurrences are a
 range of it, found by binary search in the range of the piece's own prefix; the occurrences are edges. Sorted
 by position, they are relaxed: a prefix of a unit takes the one edge ending there whose piece may follow the
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
@@ -33,11 +35,21 @@ from pyspark.sql import functions as F
 from opsframe.llm.common import slices, whole
 
 BLANK = "▁"
-UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+SIGNS = re.escape(string.punctuation)
 #: Characters of new units that are indexed at once.
 CODES = 200_000
 
 
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Units end at blanks and line ends, and between ASCII punctuation and characters that no piece holds beside it."""
+    beside = {c for p in pieces for pair in zip(p, p[1:]) for c in pair if any(x in string.punctuation for x in pair)}
+    beside = re.escape("".join(sorted(beside.difference(string.punctuation, BLANK))))
+    run = f"(?:[^{BLANK}\n{SIGNS}{beside}]+|[{SIGNS}]+)"
+    if beside:
+        run = f"(?:{run}(?:[{beside}]+{run}?)*|[{beside}]+(?:{run}[{beside}]+)*{run}?)"
+    return re.compile(f"{BLANK}*{run}|{BLANK}+|\n")
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of ``codes`` sorted by their first ``depth`` codes or more."""
     rank, width = codes.astype(np.int64), 1
@@ -65,6 +77,7 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(names) if not special[i] and not model.is_byte(i)}
         if any(re.search(f"[^{BLANK}]{BLANK}|\n", p) for p in self.id):
             raise ValueError("pieces span units")
+        self.unit = unit_pattern(self.id)
         self.name, self.score = names, [model.get_score(i) for i in range(n)]
         known = set(self.id.values())
         self.raw = [p.replace(BLANK, " ").encode() if i in known else b"" for i, p in enumerate(names)]
@@ -231,11 +244,11 @@ class Pieces:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        split = [self.unit.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.units) > self.limit:
             self.units, self.older = {}, self.units
         units, older = self.units, self.older
-        new = {u for u in set().union(*split) if u not in units}
+        new = set().union(*split).difference(units)
         units.update((u, older[u]) for u in new if u in older)
         self._learn([u for u in new if u not in older])
         return [b"".join(map(units.__getitem__, x)) for x in split]

@@ -341,6 +341,17 @@ def pieces_library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
 
 
+def test_units_end_at_punctuation_that_no_piece_joins(monkeypatch):
+    mine, matched = pieces.Pieces(PIECE_MODEL), []
+    match = mine._match
+    monkeypatch.setattr(mine, "_match", lambda units: (matched.extend(units), match(units)))
+    text = "x zorgat zorgat, zorgat. (zorgat) zorgat-zorgat zorgat².» «zorgat” zorgat…"
+    assert mine.encode([text]) == [pieces_library().encode(text)]
+    assert {u for u in matched if "zorgat" in u} == {"▁zorgat", "zorgat", "▁zorgat².»", "▁«zorgat”", "▁zorgat…"}
+    joined = pieces.unit_pattern([*"ab.!", "a.", "▁b"])
+    assert joined.findall("a.b▁!b▁▁a!b.a\n!a") == ["a.", "b", "▁!", "b", "▁▁a!", "b", ".a", "\n", "!a"]
+
+
 def test_units_in_use_outlive_a_full_store_and_are_matched_in_parts(monkeypatch):
     monkeypatch.setattr(pieces, "CODES", 60)
     mine, matched = pieces.Pieces(PIECE_MODEL, limit=30), []
