@@ -20,17 +20,20 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import slices, whole
+from opsframe.llm.common import slices, whole, written
 
 SCHEMA = "doc_id long, pos long, ids array<int>"
 PUNCTUATION = string.punctuation
+SIGNS = r"[!-/:-@\[-`{-~]"
+WHITE = str.maketrans("\n\t\r", "   ")
 #: New words that are encoded together.
 TOGETHER = 50
-#: Texts whose new chunks are encoded at once.
-TEXTS = 200
+#: Texts, and about as many characters, whose new chunks are encoded at once.
+TEXTS, CHARS = 1000, 4 << 20
 
 
 class ChunkEncoder:
@@ -40,7 +43,8 @@ class ChunkEncoder:
     lower-cased chunks between blanks; ASCII punctuation at a chunk's end is encoded by itself after a character
     that the tokenizer's normaliser turns into text that ends with a letter. These properties are tested when a
     vocabulary is loaded; one without them encodes whole texts. Texts whose case matters (special tokens, final
-    sigma) are not lower-cased here. Chunks seen before are looked up. Beyond ``limit`` bytes the store becomes
+    sigma, dotted I) are not lower-cased here. Punctuation after a letter from a to z at a chunk's end is made a chunk of its own first.
+    The distinct chunks of a batch are told by Arrow; each is looked up once and its ids are dealt to its places. Beyond ``limit`` bytes the store becomes
     the older generation: chunks in use move on, the others are forgotten at the next turn.
     """
 
@@ -55,6 +59,7 @@ class ChunkEncoder:
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunked = self._splits()
+        self.ends_apart = self.chunked and all(map(self._parts_before, string.ascii_lowercase))
 
     def _splits(self) -> bool:
         """Whether the vocabulary has the properties that chunks rest on."""
@@ -98,7 +103,7 @@ class ChunkEncoder:
         for c in chunks:
             if c in known:
                 continue
-            bare = c.rstrip(PUNCTUATION)
+            bare = c.rstrip(PUNCTUATION) if c[-1] in PUNCTUATION else c
             if bare and bare != c and "<|" not in c and parts(bare[-1]):
                 ends.append((c, bare, c[len(bare):]))
                 words.add(bare)
@@ -112,22 +117,38 @@ class ChunkEncoder:
         self.size += 200 * (len(chunks) + len(words)) + 5 * sum(map(len, chunks))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; all that is new in them is encoded at once."""
+        """Ids of each text; all that is new in about ``CHARS`` characters is encoded at once."""
         if not self.chunked:
             return self._each(texts)
-        split = []
+        out, part, chars = [], [], 0
         for text in texts:
-            if "<|" not in text and "\u03a3" not in text:
-                text = text.lower()
-            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+            part.append(text)
+            chars += len(text)
+            if chars > CHARS:
+                out += self._encode_part(part)
+                part, chars = [], 0
+        return out + self._encode_part(part) if part else out
+
+    def _encode_part(self, texts: list[str]) -> list[bytes]:
+        plain = ["<|" not in text for text in texts]
+        lowered = [text.lower() if p and not ("\u03a3" in text or "\u0130" in text) else text for text, p in zip(texts, plain)]
+        rows = pa.array([text.translate(WHITE) if "\t" in text or "\r" in text else text.replace("\n", " ") for text in lowered], pa.large_string())
+        if self.ends_apart:
+            apart = pc.replace_substring_regex(rows, f"([a-z])({SIGNS}+)( |$)", r"\1 \2\3")
+            rows = apart if all(plain) else pc.if_else(pa.array(plain), apart, rows)
+        split = pc.split_pattern(rows, " ")
+        found = split.values.dictionary_encode()
+        chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.size > self.limit:
             self.known, self.older, self.size = {"": b""}, self.known, 0
-        known = self.known
-        new = set().union(*split).difference(known)
+        new = set(chunks).difference(self.known)
         if new:
             self._learn(new)
-        find = known.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in split]
+        dealt = pa.array(map(self.known.__getitem__, chunks), pa.large_binary()).take(found.indices)
+        ends, packed = (np.frombuffer(x, kind) if x else np.empty(0, kind) for x, kind in zip(dealt.buffers()[1:], ("<i8", "u1")))
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        packed = packed.tobytes()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -195,8 +216,8 @@ def token_digest(tokens: DataFrame) -> DataFrame:
                 names=["file", "doc_id", "pos", "n_tokens", "ids_crc32"],
             )
 
-    rows = tokens.mapInArrow(run, "file long, doc_id long, pos long, n_tokens long, ids_crc32 long")
-    totals = tokens.groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("total"))
+    rows = written(tokens.mapInArrow(run, "file long, doc_id long, pos long, n_tokens long, ids_crc32 long"))  # the ids are read once
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("file", F.coalesce(before, F.lit(0)).alias("file_start"))
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))

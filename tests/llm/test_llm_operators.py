@@ -468,6 +468,19 @@ def test_chunk_encoder_equals_library():
         assert mine.encode(x) == np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
+def test_texts_with_dotted_i_and_words_before_punctuation(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, mine, learned = Tokenizer.from_file(WORD_TOKENIZER), token_files.ChunkEncoder(WORD_TOKENIZER), []
+    learn = mine._learn
+    monkeypatch.setattr(mine, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    xs = ["K’ <İ\u094d् ;b. ", "", "Zorgat zorgat, zorgat. (zorgat) zorgat...", "\t \r\n", "zorgat,<|endoftext|> É. é,", "x"]
+    monkeypatch.setattr(token_files, "CHARS", 30)
+    assert mine.encode_all(xs) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in xs]
+    assert mine.encode_all([]) == []
+    assert not {"zorgat.", "zorgat..."} & set(learned) and learned.count("zorgat") == 1
+
+
 def test_every_character_before_punctuation_equals_the_library():
     from tokenizers import Tokenizer
 
