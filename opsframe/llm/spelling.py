@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.common import written
 
+#: Joins of tables that grow with the vocabulary. Spark sizes them by the files of the words, a hundredth of the look-ups in memory, and would broadcast them.
+SHUFFLED = "merge"
 RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Three bigrams of a word hold two without a common letter.
@@ -134,7 +136,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ranks = gram_ranks(words)
     index, probe = _entries(words, ranks, False), _entries(words, ranks, True)
     w, v = F.col("i.word"), F.col("p.word")
-    found = index.alias("i").join(probe.alias("p"), "key").where(
+    found = index.alias("i").join(probe.alias("p").hint(SHUFFLED), "key").where(
         (F.col("i.last") >= F.col("p.last")) & (w != v) & (F.levenshtein(w, v, 1) == 1))
     first = w < v
     pick = lambda name, yes: F.when(first == F.lit(yes), F.col(f"i.{name}")).otherwise(F.col(f"p.{name}"))
@@ -150,7 +152,7 @@ def forms(words: DataFrame, pairs: DataFrame, ratio: int) -> DataFrame:
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     wins = -F.col("best.less") >= ratio * F.col("n")
-    return words.join(best, "word", "left").select(
+    return words.join(best.hint(SHUFFLED), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(wins, F.col("best.near")).alias("form"),
         F.when(wins, -F.col("best.less")).alias("form_n"))
 
@@ -160,7 +162,7 @@ def roots(found: DataFrame) -> DataFrame:
     links = written(found.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         step = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = links.join(step, "root", "left").select(
+        longer = links.join(step.hint(SHUFFLED), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         longer = written(longer)
         links = longer.select("word", "root")
@@ -175,5 +177,5 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     """
     words = written(words)
     found = written(forms(words, near_pairs(words), ratio))
-    return found.join(roots(found), "word", "left").select(
+    return found.join(roots(found).hint(SHUFFLED), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

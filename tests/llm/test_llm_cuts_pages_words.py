@@ -178,6 +178,17 @@ def test_variants_equal_all_pairs(spark):
     assert max(v[3] for v in got.values()) > 3 and any(v[0] and v[1] != v[0] for v in got.values())
 
 
+def test_look_ups_are_never_broadcast(spark, tmp_path):
+    """The files of the words are far below Spark's threshold for broadcasts; what is looked up is not."""
+    words = spark.createDataFrame([("garten", 50), ("gartem", 5), ("gartenn", 9)], "word string, n long")
+    words.write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    pairs = spelling.near_pairs(words)
+    for df in (pairs, spelling.forms(words, pairs, 5), spelling.variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_short_words_are_near_none(spark):
     words = spark.createDataFrame([("abc", 50), ("abd", 5), ("", 5), ("a", 5), ("abcd", 400), ("abce", 7)], "word string, n long")
     got = found_variants(words)
