@@ -48,16 +48,19 @@ def drop_history(df: DataFrame) -> DataFrame:
 
 
 def dedupe_readings(df: DataFrame, keys: Sequence[str] = ("ts", *SERIES), tiebreak: str = "event_id") -> DataFrame:
-    """First reading per key; a map-side combined aggregate, not a window."""
+    """First reading per key; a map-side combined aggregate, not a window.
+
+    Each column is picked by the same rule over the same rows, so all come from one reading; numbers need no sort, as a struct would.
+    """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), tiebreak).alias("r"))
-    return picked.select(*keys, "r.*").select(*df.columns)
+    return df.groupBy(*keys).agg(*[F.min_by(c, tiebreak).alias(c) for c in rest]).select(*df.columns)
 
 
 def fill_series(df: DataFrame, cols: Sequence[str], series: Sequence[str] = SERIES, order: Sequence[str] = ("ts",), seconds: int = DAY, dropped: Observation | None = None) -> DataFrame:
     """Forward fill, then back fill the leading gap; rows still incomplete are dropped.
 
-    ``dropped`` counts them as ``dropped`` when the plan runs, without a scan of its own.
+    A row without a value up to it in its chunk has the chunk's first value next, else that of a later chunk. No window is open
+    towards its end, which would take the square of its rows. ``dropped`` counts them as ``dropped`` when the plan runs, without a scan of its own.
     """
     base = with_chunk(df, order[0], seconds)
     keys = [*series, "_chunk"]
@@ -65,21 +68,15 @@ def fill_series(df: DataFrame, cols: Sequence[str], series: Sequence[str] = SERI
     ends = base.groupBy(*keys).agg(
         *[F.max_by(c, seen(c)).alias(f"_l_{c}") for c in cols], *[F.min_by(c, seen(c)).alias(f"_f_{c}") for c in cols]
     )
-    w = Window.partitionBy(*series).orderBy("_chunk")
-    past, future = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    past, future = (Window.partitionBy(*series).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_chunk", F.desc("_chunk")))
     carried = ends.select(
         *keys,
         *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(future).alias(f"_n_{c}") for c in cols],
+        *[F.coalesce(f"_f_{c}", F.last(f"_f_{c}", ignorenulls=True).over(future)).alias(f"_n_{c}") for c in cols],
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = base.join(carried, keys)
-    filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_p_{c}"), F.first(c, ignorenulls=True).over(ahead), F.col(f"_n_{c}"))
-        for c in cols
-    }
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_p_{c}"), F.col(f"_n_{c}")) for c in cols}
     out = out.withColumns(filled).select(*df.columns)
     if dropped is not None:
         gaps = F.lit(False)

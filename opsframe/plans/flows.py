@@ -50,7 +50,7 @@ def preprocess_telemetry(df: DataFrame, schema: telemetry.TelemetrySchema, tiebr
     timed = df.withColumn(ts, telemetry.parse_ts(F.col(ts))).where(F.col(ts).isNotNull())
     once = series.dedupe_readings(timed, [ts, *keys], tiebreak)
     numeric = schema.present(once, [*schema.counters, *schema.gauges])
-    once = once.withColumns({c: F.col(c).try_cast("double") for c in numeric})
+    once = cut_lineage(once.withColumns({c: F.col(c).try_cast("double") for c in numeric}))  # the fill and the manifest read it
     gaps = Observation()
     filled = series.fill_series(once, numeric, keys, [ts], dropped=gaps)
     rated = series.counter_rates(filled, schema.present(filled, schema.counters), clip_resets, keys, [ts])

@@ -219,3 +219,28 @@ def test_sources_roundtrip(spark, tmp_path):
 
     good, bad = readers.read_events_jsonl(spark, str(tmp_path / "e.jsonl"), T.StructType([T.StructField("a", T.IntegerType())]))
     assert good.count() == 1 and bad.first()["line"] == "not json"
+
+
+def test_fill_looks_at_no_row_twice(spark):
+    """A frame that ends with its partition is read anew for every row: the square of a day's, or a series', rows."""
+    day, rows, want = 86400, [], {}
+    values = {0: None, 1: 4.0, 2: None, day: None, day + 1: None, 3 * day: None, 3 * day + 1: 7.0, 5 * day: None}
+    filled = [4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 7.0, 7.0]
+    for (at, v), f in zip(values.items(), filled):
+        rows.append(("a", at, v))
+        want["a", at] = f
+    rows += [("b", 0, None), ("b", 2 * day, None), ("b", 4 * day, None), ("b", 4 * day + 5, 9.0), ("b", 9 * day, None), ("c", 0, None), ("c", day, None)]
+    want |= {("b", at): 9.0 for at in (0, 2 * day, 4 * day, 4 * day + 5, 9 * day)}
+    df = spark.createDataFrame(rows, "device_id string, at long, v double").withColumns({"ts": F.timestamp_seconds("at"), "interface_id": F.lit("x")})
+    out = series.fill_series(df, ["v"])
+    assert {(r.device_id, r["at"]): r.v for r in out.collect()} == want
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_reading_is_one_row_without_a_sort(spark):
+    rows = [(1, "a", 3, 30, None), (1, "a", 2, 20, 2.0), (1, "a", None, 5, 5.0), (2, "a", 4, None, 4.0), (2, "a", 4, None, 4.0), (3, "b", None, 1, 1.0), (1, None, 7, 70, None)]
+    df = spark.createDataFrame(rows, "t int, d string, id long, n int, v double")
+    out = series.dedupe_readings(df, ["t", "d"], "id")
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, "a", 2, 20, 2.0), (2, "a", 4, None, 4.0), (3, "b", None, None, None), (1, None, 7, 70, None)], key=str)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
