@@ -124,12 +124,13 @@ def expand(refs: DataFrame, sets: DataFrame) -> DataFrame:
     """Every reference with every row of its set, without ``set_id``.
 
     The result grows with references times members, so lists of both are joined, dealt evenly over the tasks and only then
-    listed: what is shuffled is a thousandth of the result, and no task has one set's pairs alone.
+    listed: what is shuffled is a thousandth of the result, and no task has one set's pairs alone. Generated code keeps all rows
+    that come of one input row, a million for two lists; the filter isn't compiled, so only those of one reference are kept.
     """
     tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = _blocks(refs, "ref").join(_blocks(sets, "row"), ["run_id", "set_id"]).repartition(tasks, "run_id", "set_id", "ref_at", "row_at")
-    return pairs.select("run_id", F.explode("ref").alias("ref"), "row").select("run_id", "ref.*", F.explode("row").alias("row")).select(
-        "run_id", *[c for c in refs.columns if c not in ("run_id", "set_id")], "row.*")
+    each = pairs.select("run_id", F.explode(F.filter("ref", lambda r: r.isNotNull())).alias("ref"), "row")
+    return each.select("run_id", *[F.col(f"ref.{c}") for c in refs.columns if c not in ("run_id", "set_id")], F.inline("row"))
 
 
 def set_name(kind: str, *keys: Column) -> Column:
@@ -137,15 +138,33 @@ def set_name(kind: str, *keys: Column) -> Column:
     return F.concat(F.lit(kind), *[x for k in keys for x in (F.lit("\x1f"), k)])
 
 
-def shared_sets(c: DataFrame) -> DataFrame:
-    """Every signal once per set that it belongs to."""
-    dev, raw_if = F.col("dev"), F.nullif("interface", F.lit(""))
-    sets = [
-        (F.col("attack"), set_name("attack")), (F.col("health"), set_name("health")), (F.col("health"), set_name("health", dev)),
-        ((F.col("engine") == ENGINE_C), set_name("config", dev, F.col("cif"))), (F.col("mac_flap"), set_name("moves", dev)),
-        (F.col("flap"), set_name("flaps", raw_if)), (F.col("auth") | F.col("exposed"), set_name("access", dev)),
-    ]
-    names = F.array_compact(F.array(*[F.when(cond, name) for cond, name in sets]))
+#: The sets that a rule's incidents take in; the other rules take none.
+TAKES = {
+    "LINK_DEGRADATION": ["health"], "CONFIG_EXPOSURE": ["attack"], "VLAN_POLICY_RISK": ["attack"], "SYSLOG_SNMP_AUTH_CAMPAIGN": ["attack"],
+    "PORT_INSTABILITY": ["health of device", "config"], "DUPLICATE_IP_CONFLICT": ["moves"], "POE_ENDPOINT_FAILURE": ["flaps", "config"],
+    "MANAGEMENT_ACCESS_EXPOSURE": ["access", "attack"],
+}
+
+
+def _set_names(dev: Column) -> dict[str, Column]:
+    """Ids of the sets by kind, from a row's device, port and interface."""
+    cif, raw_if = F.col("cif"), F.nullif("interface", F.lit(""))
+    return {
+        "attack": set_name("attack"), "health": set_name("health"), "health of device": set_name("health", dev), "config": set_name("config", dev, cif),
+        "moves": set_name("moves", dev), "flaps": set_name("flaps", raw_if), "access": set_name("access", dev),
+    }
+
+
+def shared_sets(c: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
+    """Every signal once per set that it belongs to; with ``rules`` those that they take."""
+    conds = {
+        "attack": F.col("attack"), "health": F.col("health"), "health of device": F.col("health"), "config": F.col("engine") == ENGINE_C,
+        "moves": F.col("mac_flap"), "flaps": F.col("flap"), "access": F.col("auth") | F.col("exposed"),
+    }
+    if rules is not None:
+        conds = {k: cond for k, cond in conds.items() if any(k in TAKES.get(r, []) for r in rules)}
+    c = c.where(functools.reduce(lambda x, y: x | y, conds.values(), F.lit(False)))
+    names = F.array_compact(F.array(*[F.when(cond, _set_names(F.col("dev"))[k]) for k, cond in conds.items()]).cast("array<string>"))
     return c.select("run_id", F.explode(names).alias("set_id"), "signal_id", *FACTS)
 
 
@@ -158,14 +177,23 @@ def _by_signal(rule: str) -> tuple[str, Column, Column, Column]:
 
 
 def own_rows(c: DataFrame, t: Thresholds = Thresholds(), rules: Sequence[str] | None = None) -> DataFrame:
-    """The rows that rules take by a signal's own flags and by totals of its run and device, of all rules in one pass."""
+    """The rows that rules take by a signal's own flags and by totals of its run and device, of all rules in one pass.
+
+    Only totals that the rules ask for are joined.
+    """
     flags = ("attack", "dos", "health", "degraded", "saturation")
     runs = c.groupBy("run_id").agg(*[F.bool_or(f).alias(f"any_{f}") for f in flags])
     auths = c.where("auth").groupBy("run_id", "group_dev").agg(F.sum("w").alias("auth_n"))
     loops = c.where("dev <> '' and (mac_flap or ring or topo)").groupBy("run_id", "dev").agg(
         F.bool_or("mac_flap").alias("has_mac"), F.bool_or("ring").alias("has_ring"), F.bool_or("topo").alias("has_topo"),
         F.sum(F.when(F.col("mac_flap"), F.col("w")).otherwise(0)).alias("moves"))
-    d = c.join(runs, "run_id").join(auths, ["run_id", "group_dev"], "left").join(loops, ["run_id", "dev"], "left")
+    wanted, d = set(RULES if rules is None else rules), c.where("run_id is not null")
+    if wanted & {"DOS_SATURATION", "LINK_DEGRADATION", "VLAN_POLICY_RISK"}:
+        d = d.join(runs, "run_id")
+    if "SYSLOG_SNMP_AUTH_CAMPAIGN" in wanted:
+        d = d.join(auths, ["run_id", "group_dev"], "left")
+    if "LOOP_OR_REDUNDANCY_INSTABILITY" in wanted:
+        d = d.join(loops, ["run_id", "dev"], "left")
     col, none = F.col, F.lit(None).cast("string")
     attacked = col("any_attack") | col("any_dos")
     engines = 2 + col("any_saturation").cast("int")  # intrusion and health signals are there, or the rule doesn't hold
@@ -185,30 +213,26 @@ def own_rows(c: DataFrame, t: Thresholds = Thresholds(), rules: Sequence[str] |
         (col("mgmt"), _by_device("MANAGEMENT_ACCESS_EXPOSURE")),
         (col("clock"), ("CLOCK_INTEGRITY_RISK", F.lit("run"), F.lit(""), none)),
     ]
+    own = [(cond, row) for cond, row in own if row[0] in wanted]
     hits = [
         F.when(cond, F.struct(F.lit(rule).alias("rule_id"), key.cast("string").alias("key"), place.cast("string").alias("place"), cap.cast("string").alias("cap")))
-        for cond, (rule, key, place, cap) in own if rules is None or rule in rules]
+        for cond, (rule, key, place, cap) in own]
+    d = d.where(functools.reduce(lambda x, y: x | y, [cond for cond, _ in own]))
     return d.select("run_id", F.explode(F.array_compact(F.array(*hits))).alias("m"), "signal_id", "group_dev", *FACTS).select(
         "run_id", "m.*", "signal_id", "group_dev", *FACTS)
 
 
 def set_refs(own: DataFrame) -> DataFrame:
     """The sets that each group of own rows takes in, one row each."""
-    dev, cif, raw_if = F.lower(F.trim("group_dev")), F.col("cif"), F.nullif("interface", F.lit(""))
-    wanted = {
-        "LINK_DEGRADATION": [set_name("health")], "CONFIG_EXPOSURE": [set_name("attack")], "VLAN_POLICY_RISK": [set_name("attack")],
-        "SYSLOG_SNMP_AUTH_CAMPAIGN": [set_name("attack")], "PORT_INSTABILITY": [set_name("health", dev), set_name("config", dev, cif)],
-        "DUPLICATE_IP_CONFLICT": [set_name("moves", dev)], "POE_ENDPOINT_FAILURE": [set_name("flaps", raw_if), set_name("config", dev, cif)],
-        "MANAGEMENT_ACCESS_EXPOSURE": [set_name("access", dev), set_name("attack")],
-    }
-    names = pick([(F.col("rule_id") == r, F.array_compact(F.array(*n))) for r, n in wanted.items()], F.array().cast("array<string>"))
+    kinds = _set_names(F.lower(F.trim("group_dev")))
+    names = pick([(F.col("rule_id") == r, F.array_compact(F.array(*[kinds[k] for k in ks]))) for r, ks in TAKES.items()], F.array().cast("array<string>"))
     return own.select(*INCIDENT, "place", "cap", F.explode(names).alias("set_id")).distinct()
 
 
 def cross_members(c: DataFrame, t: Thresholds = Thresholds(), rules: Sequence[str] | None = None) -> Membership:
     """Membership of all cross-engine rules, or of the named ones."""
     own = own_rows(c, t, rules)
-    sets = shared_sets(c)
+    sets = shared_sets(c, rules)
     refs = set_refs(own).join(sets.select("run_id", "set_id").distinct(), ["run_id", "set_id"], "left_semi")
     return Membership(own.drop("group_dev"), refs, sets)
 

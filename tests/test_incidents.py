@@ -1,5 +1,7 @@
 """Incident membership stays linear, and repeated signals count once."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from opsframe.operators import incidents as inc
@@ -82,3 +84,26 @@ def test_alike_incidents_share_their_pair_counts(spark, monkeypatch):
     seen, count = [], inc._pair_counts
     monkeypatch.setattr(inc, "_pair_counts", lambda part: seen.append(part.own.count()) or count(part))
     assert {tuple(r) for r in inc.pair_counts(m).collect()} == whole and len(whole) == 50 and seen == [1]
+
+
+def test_pairs_are_not_kept_by_the_million(spark):
+    """Generated code keeps all that comes of one input row, so lists of both sides must not be opened by the same code."""
+    refs = spark.range(300).selectExpr("'r' as run_id", "'s' as set_id", "'A' as rule_id", "string(id) as key")
+    sets = spark.range(300).selectExpr("'r' as run_id", "'s' as set_id", "string(id) as signal_id")
+    out = inc.expand(refs, sets)
+    assert len(out.collect()) == 300 * 300
+    opened = re.findall(r"(\*\(\d+\))? ?Generate (?:explode|inline)", out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    assert len(opened) == 2 and opened.count("") == 1
+
+
+def test_a_rule_reads_only_what_it_takes(spark):
+    rows = [signal(i, "engine_c", f"sw{i}", "x", category="port", interface="gi0/1") for i in range(4)] + [signal(9, "engine_a", "sw1", "attack"), signal(10, "engine_b", "sw1", "anomaly")]
+    poe = ("r", "S20", "syslog", "SYSLOG_POE_FAULT", "port", "high", "sw1", "Gi0/1", 1, False, False, True, "high", "t", "f", ["syslog"])
+    flap = ("r", "S21", "syslog", "SYSLOG_PORT_FLAP", "port", "high", "sw2", "Gi0/1", 1, False, False, True, "high", "t", "f", ["syslog"])
+    c = inc.classify(spark.createDataFrame([*rows, poe, flap, (None, *poe[1:])], SCHEMA))
+    m = inc.rule_poe(c)
+    assert sorted((r["key"], r["signal_id"]) for r in m.rows().collect()) == [("S20", "S1"), ("S20", "S20"), ("S20", "S21")]
+    assert {r["set_id"].split("\x1f")[0] for r in m.sets.collect()} == {"flaps", "config"}
+    assert "Join" not in m.own._jdf.queryExecution().optimizedPlan().toString()
+    every = inc.cross_members(c).rows().where("rule_id = 'POE_ENDPOINT_FAILURE'")
+    assert sorted((r["key"], r["signal_id"]) for r in every.collect()) == [("S20", "S1"), ("S20", "S20"), ("S20", "S21")]
